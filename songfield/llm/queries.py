@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import mixing, quality, sharding
+from songfield.llm import archives, mixing, nearest, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,5 +77,43 @@ r AS (
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op5_mixing": op5_mixing}
-ORACLE_SQL = {"op2_quality": OP2_SQL, "op5_mixing": OP5_SQL}
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 50."""
+    return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, list_dot_product(e, e) AS sq FROM v),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / sqrt(q.sq * c.sq) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to ARC files, converted to WARC and read back."""
+    found = archives.archived(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (
+  SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+           ((('0x' || sha1(h)[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::BIGINT >> (5 * (3 - i % 4))) & 31) + 1]), '') AS payload_digest
+  FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op10_archives": op10_archives}
+ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op10_archives": OP10_SQL}
