@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, mixing, nearest, quality, sharding
+from songfield.llm import archives, mixing, nearest, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,16 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a classifier that saw no held-out label."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model, bars = toxicity.train(docs.join(labels, "doc_id"))
+    found = toxicity.score(docs, model, bars)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "lang_threshold", "lang_toxic")
+
+
 def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to ARC files, converted to WARC and read back."""
     found = archives.archived(_table(spark, sf_dir, "pages"))
@@ -115,5 +125,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op10_archives": op10_archives}
+QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op8_toxicity": op8_toxicity, "op10_archives": op10_archives}
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op10_archives": OP10_SQL}
