@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, mixing, nearest, quality, sharding, toxicity
+from songfield.llm import archives, lattice, mixing, nearest, quality, sharding, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "lang_threshold", "lang_toxic")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, as runs of words."""
+    return lattice.encode(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return tokencounts.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
 def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to ARC files, converted to WARC and read back."""
     found = archives.archived(_table(spark, sf_dir, "pages"))
@@ -125,5 +135,14 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 FROM f
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_quality": op2_quality, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op8_toxicity": op8_toxicity, "op10_archives": op10_archives}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_nearest": op4_nearest,
+    "op5_mixing": op5_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
+    "op10_archives": op10_archives,
+}
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op10_archives": OP10_SQL}
