@@ -1,0 +1,42 @@
+"""Connected components by contraction, with no group gathered anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from songfield.llm.common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component) of every id in ``links`` (a, b): the component is its
+    smallest id.
+
+    In each round an id moves to the neighbour that a hash of the round puts
+    first, and links between what they moved to are left: a fraction of the ids
+    stays, so there are some log n rounds. A hub's links only ever meet in
+    aggregates, which combine before they shuffle, and in joins, whose hot keys
+    adaptive execution splits. Self-links and nulls don't count; no links give
+    no rows.
+    """
+    left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
+    moved = None
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        both = left.select(F.col("a").alias("id"), rank("b").alias("to")).unionByName(left.select(F.col("b").alias("id"), rank("a").alias("to")))
+        best = both.groupBy("id").agg(F.min("to").alias("to"))
+        parent = written(best.select("id", F.least(F.col("to"), rank("id"))["id"].alias("parent")), "parents")
+        if moved is None:
+            moved = parent.withColumnRenamed("parent", "at")
+        else:
+            on = parent.select(F.col("id").alias("at"), "parent")
+            moved = moved.join(on, "at", "left").select("id", F.coalesce("parent", "at").alias("at"))
+        moved = written(moved, "moved")
+        ends = left.join(parent.select(F.col("id").alias("a"), F.col("parent").alias("pa")), "a").join(parent.select(F.col("id").alias("b"), F.col("parent").alias("pb")), "b")
+        left = written(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), "links")
+    if moved is None:
+        return links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
+    least = moved.groupBy("at").agg(F.min("id").alias("component"))
+    return moved.join(least, "at").select("id", "component")
