@@ -208,8 +208,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", hot:
 
 
 def gathered(runs: DataFrame) -> DataFrame:
-    """(doc_id, ids): one row for each id, its runs in order."""
-    order = F.array_sort(F.collect_list(F.struct("first_word", "n_words", "ids")))
+    """(doc_id, ids): one row for each id, its runs in order. Repeated rows count once."""
+    order = F.array_sort(F.collect_set(F.struct("first_word", "n_words", "ids")))
     return runs.groupBy("doc_id").agg(F.flatten(F.transform(order, lambda r: r["ids"])).alias("ids"))
 
 

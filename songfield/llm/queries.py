@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, jaccard, lattice, mixing, nearest, quality, sharding, tokencounts, toxicity
+from songfield.llm import archives, jaccard, lattice, mixing, nearest, quality, sharding, substrings, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,11 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of all documents that repeat an earlier document's."""
+    return substrings.find(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component that their near copies make."""
     return jaccard.join(_table(spark, sf_dir, "documents"))
@@ -126,7 +131,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
-    model, bars = toxicity.train(docs.join(labels, "doc_id"))
+    model, bars = toxicity.train(docs, labels)
     found = toxicity.score(docs, model, bars)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "lang_threshold", "lang_toxic")
 
@@ -166,6 +171,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
     "op7_jaccard": op7_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
