@@ -19,6 +19,13 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once for each row. The optimizer copies a column's
+    expression into whatever reads it, into lambdas and pushed filters too, where
+    it would run for every element; it leaves alone what depends on the partition."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm.common import written
+from songfield.llm.common import once, written
 from songfield.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, SPACE, WORDS, Pieces, load
 
 #: Characters of a word that a bit mask of boundaries holds.
@@ -72,7 +72,7 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
         F.when(F.col("s") < 0, F.lit(0).cast("bigint")).otherwise((_bit(F.col("e")) - 1).bitwiseAND(F.bitwise_not(_bit(F.col("s") + 1) - 1))).alias("inner"),
     )
     grouped = found.groupBy("word", "n").agg(F.collect_list(edge).alias("all"))
-    return grouped.select("word", "n", F.array_sort(F.filter("all", lambda x: x["id"] >= 0)).alias("edges"))
+    return grouped.select("word", "n", once(F.array_sort(F.filter("all", lambda x: x["id"] >= 0))).alias("edges"))
 
 
 def _spelled(char: Column, pieces: Pieces) -> Column:
@@ -126,12 +126,11 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     lattice = edges(words.filter(F.length("word") <= WIDE), pieces)
     if pieces.unigram:
         states, mask = _viterbi_bounds(pieces)
-        # Both uses of the states read one column.
-        folded = lattice.withColumn("states", states).withColumn("mask", mask).filter(F.size("states") > 0)
+        folded = lattice.withColumn("states", once(states)).withColumn("mask", once(mask))
     else:
-        folded = lattice.withColumn("mask", _merge_bounds())
+        folded = lattice.withColumn("mask", once(_merge_bounds()))
     stands = lambda p: F.call_function("shiftright", F.col("mask"), p).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    bounds = folded.select("word", "edges", F.filter(F.sequence(F.lit(0), F.col("n")), stands).alias("at"))
+    bounds = folded.select("word", "edges", once(F.filter(F.sequence(F.lit(0), F.col("n")), stands)).alias("at"))
 
     def ids(s: Column, i: Column) -> Column:
         e = F.get(F.col("at"), i + 1)

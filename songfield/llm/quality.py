@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songfield.llm.common import SPACE, words_of
+from songfield.llm.common import SPACE, once, words_of
 
 #: Words in the windows whose repetition counts.
 WINDOW = 8
@@ -82,7 +82,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with MEASURES as bigint columns in place of nothing: columns of
     these names are replaced."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumns({"__w": words_of(F.col(text)), "__l": F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")})
+    with_words = docs.withColumns({"__w": once(words_of(F.col(text))), "__l": once(F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))})
     hashed = F.when(
         F.size("__w") >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size("__w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, F.lit(WINDOW)))),
@@ -95,13 +95,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint"),
             "n_lines": F.size("__l").cast("bigint"),
             "n_upper": F.length(F.regexp_replace(raw, r"[^\p{Lu}]+", "")).cast("bigint"),
-            "__h": hashed,
+            "__h": once(hashed),
         }
     ).drop("__w", "__l")
     # Most texts repeat no window: only the others are sorted.
     windows = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    some = counted.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), windows)).drop("__h")
-    return some.withColumn("n_repeat_words", F.when(F.col("__s").isNull(), F.lit(0).cast("bigint")).otherwise(_repeated(F.col("__s")))).drop("__s")
+    some = counted.withColumn("__s", once(F.when(F.size(F.array_distinct("__h")) < F.size("__h"), windows))).drop("__h")
+    return some.withColumn("n_repeat_words", once(F.when(F.col("__s").isNull(), F.lit(0).cast("bigint")).otherwise(_repeated(F.col("__s"))))).drop("__s")
 
 
 def ledger(measured: DataFrame) -> DataFrame:
