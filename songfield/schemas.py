@@ -1,10 +1,9 @@
 """Schemas of the catalogue's tables, and the engine's constants."""
 
-from pyspark.sql import types as T
 
-
-def _s(**fields: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))
+def _s(**fields: str) -> str:
+    """A schema as DDL, which needs no session to be stated."""
+    return ", ".join(f"{k} {v}" for k, v in fields.items())
 
 
 ARTISTS = _s(id="bigint", name="string", meta_json="string", legacy_json="string", similar_fetched_at="timestamp")

@@ -80,7 +80,7 @@ def replace_layout(layout: DataFrame, folder: str) -> None:
 def add_columns(rows: DataFrame, schema) -> DataFrame:
     """Additive migration: columns that a table of an older kind lacks are null."""
     empty = rows.sparkSession.createDataFrame([], schema)
-    return rows.unionByName(empty, allowMissingColumns=True).select(*schema.names)
+    return rows.unionByName(empty, allowMissingColumns=True).select(*empty.columns)
 
 
 def converted_legacy(rows: DataFrame, schema: str) -> DataFrame:
