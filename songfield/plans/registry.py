@@ -23,6 +23,7 @@ from songfield.operators import navigate as na
 from songfield.operators import queueing as qu
 from songfield.operators import similarity as si
 from songfield.plans.standins import SQL, Tables
+from songfield.streaming import listens as li
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -647,6 +648,20 @@ def _(t: Tables) -> DataFrame:
     return mv.regions(t.places())
 
 
+# --- streams -------------------------------------------------------------------
+
+
+@query(
+    "t6_sessions",
+    """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS "start", epoch_us(max(ts) + INTERVAL 30 MINUTE) AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
+)
+def _(t: Tables) -> DataFrame:
+    found = li.sessions(t.events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
 # --- walks and layout: no SQL ------------------------------------------------------
 
 
