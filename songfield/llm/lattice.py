@@ -25,26 +25,50 @@ their runs; other columns aren't carried; a null id keeps its text's runs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songfield.llm.common import once, written
-from songfield.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, SPACE, WORDS, Pieces, load
+from songfield.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, Pieces, load
+from songfield.llm.tokencounts import split
 
 #: Characters of a word that a bit mask of boundaries holds.
 WIDE = 60
 #: Words that are broadcast at most.
 HOT = 1 << 18
+#: Words whose edges are grouped in memory before a task sorts instead.
+GROUPS = 1 << 16
+#: Words that a worker counts before it hands them on, and bits of an id.
+HELD, ID_BITS = 1 << 18, 20
 RUN = "doc_id bigint, first_word bigint, n_words bigint, ids array<int>"
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text as the model sees it, with a space before it."""
-    spaced = F.concat(F.lit(" "), F.replace(text, F.lit(SPACE), F.lit(" ")))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(spaced, F.lit(WORDS), F.lit(0)))
+def word_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, n): the distinct words of all texts, with a space before a text as
+    the model puts it. Workers count what they read before it is shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(vars(pieces))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = Pieces(**shared.value), Counter()
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                found.update(split(text.as_py(), own))
+                if len(found) > HELD:
+                    yield flush()
+                    found.clear()
+        if found:
+            yield flush()
+
+    return texts.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _bit(at: Column) -> Column:
@@ -52,27 +76,41 @@ def _bit(at: Column) -> Column:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, score), and the row of the edge that every word has."""
-    rows = [(t, i, pieces.score_of[t]) for t, i in pieces.id_of.items()]
-    return spark.createDataFrame([*rows, ("", -1, 0.0)], "piece string, id int, score double").coalesce(1)
+    """(piece, low, score), and the row of the edge that every word has. ``low``
+    packs the id under the score's rank, the best first."""
+    if len(pieces.text_of) >= 1 << ID_BITS:
+        raise ValueError("more pieces than an edge has bits for")
+    rank = {s: r for r, s in enumerate(sorted(set(pieces.score_of.values()), reverse=True))}
+    rows = [(t, (rank[pieces.score_of[t]] << 32) | i, pieces.score_of[t]) for t, i in pieces.id_of.items()]
+    return spark.createDataFrame([*rows, ("", -1, 0.0)], "piece string, low bigint, score double").coalesce(1)
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, edges) of the column ``word``: its pieces (rank, s, e, id, score,
-    ends, inner), best score first; ``ends`` and ``inner`` are masks of boundaries."""
-    n = F.length("word")
-    starts = words.select("word", n.alias("n"), F.explode(F.sequence(F.lit(-1), n - 1)).alias("s"))
-    stop = F.when(F.col("s") < 0, F.lit(0)).otherwise(F.least(F.col("n"), F.col("s") + pieces.longest))
-    spans = starts.select("word", "n", "s", F.explode(F.sequence(F.col("s") + 1, stop)).alias("e"))
+    """(word, n, size, edges): the pieces in a word of ``size`` characters, best
+    score first, then from the left: (s, e, id, score, ends, inner), where ends and
+    inner are masks of boundaries. Rows of a word never leave their partition, so
+    nothing is shuffled where ``words`` comes out of a grouping by word."""
+    size = F.length("word")
+    starts = words.select("word", "n", size.alias("size"), F.explode(F.sequence(F.lit(-1), size - 1)).alias("s"))
+    stop = F.when(F.col("s") < 0, F.lit(0)).otherwise(F.least(F.col("size"), F.col("s") + pieces.longest))
+    spans = starts.select("word", "n", "size", "s", F.explode(F.sequence(F.col("s") + 1, stop)).alias("e"))
     cut = spans.withColumn("piece", F.when(F.col("s") < 0, F.lit("")).otherwise(F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))))
     found = cut.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")  # the model's size
-    edge = F.struct(
-        (-F.col("score")).alias("rank"), F.col("s"), F.col("e"), F.col("id"), F.col("score"),
-        F.when(F.col("s") < 0, F.lit(0).cast("bigint")).otherwise(_bit(F.col("s")).bitwiseOR(_bit(F.col("e")))).alias("ends"),
-        F.when(F.col("s") < 0, F.lit(0).cast("bigint")).otherwise((_bit(F.col("e")) - 1).bitwiseAND(F.bitwise_not(_bit(F.col("s") + 1) - 1))).alias("inner"),
-    )
-    grouped = found.groupBy("word", "n").agg(F.collect_list(edge).alias("all"))
-    return grouped.select("word", "n", once(F.array_sort(F.filter("all", lambda x: x["id"] >= 0))).alias("edges"))
+    place = (F.col("s") * 64 + F.col("e")).cast("bigint") * (1 << ID_BITS)  # below the rank's bits
+    edge = F.when(F.col("s") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("low") + place)
+    if pieces.unigram:
+        edge = F.struct(edge.alias("code"), F.col("score").alias("score"))
+    grouped = found.groupBy("word", "n", "size").agg(F.collect_list(edge).alias("all"))
+
+    def opened(x: Column) -> Column:
+        code = x["code"] if pieces.unigram else x
+        part = lambda low, bits: F.shiftright(code, low).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
+        s, e = part(ID_BITS + 6, 6), part(ID_BITS, 6)
+        fields = [s.alias("s"), e.alias("e"), part(0, ID_BITS).alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - 1).bitwiseAND(F.bitwise_not(_bit(s + 1) - 1)).alias("inner")]
+        return F.struct(*fields, *([x["score"].alias("score")] if pieces.unigram else []))
+
+    kept = F.filter("all", lambda x: (x["code"] if pieces.unigram else x) >= 0)
+    return grouped.select("word", "n", "size", once(F.transform(F.array_sort(kept) if pieces.unigram else F.sort_array(kept), opened)).alias("edges"))
 
 
 def _spelled(char: Column, pieces: Pieces) -> Column:
@@ -87,7 +125,7 @@ def _spelled(char: Column, pieces: Pieces) -> Column:
 
 def _merge_bounds() -> Column:
     """The mask of boundaries that the merges leave standing."""
-    n = F.col("n")
+    n = F.col("size")
     all_set = _bit(n + 1) - 1
 
     def step(mask: Column, _: Column) -> Column:
@@ -100,7 +138,7 @@ def _merge_bounds() -> Column:
 def _viterbi_bounds(pieces: Pieces) -> tuple[Column, Column]:
     """The states of all positions, and from them (the column ``states``) the
     mask of boundaries of the cut with the best sum of scores."""
-    n, unknown = F.col("n"), F.lit(pieces.unknown_score)
+    n, unknown = F.col("size"), F.lit(pieces.unknown_score)
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s")))
 
     def step(states: Column, e: Column) -> Column:
@@ -122,7 +160,7 @@ def _viterbi_bounds(pieces: Pieces) -> tuple[Column, Column]:
 
 
 def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids) of the distinct, non-empty column ``word``."""
+    """(word, n, ids) of distinct, not empty words (word, n)."""
     lattice = edges(words.filter(F.length("word") <= WIDE), pieces)
     if pieces.unigram:
         states, mask = _viterbi_bounds(pieces)
@@ -130,7 +168,7 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     else:
         folded = lattice.withColumn("mask", once(_merge_bounds()))
     stands = lambda p: F.call_function("shiftright", F.col("mask"), p).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    bounds = folded.select("word", "edges", once(F.filter(F.sequence(F.lit(0), F.col("n")), stands)).alias("at"))
+    bounds = folded.select("word", "n", "edges", once(F.filter(F.sequence(F.lit(0), F.col("size")), stands)).alias("at"))
 
     def ids(s: Column, i: Column) -> Column:
         e = F.get(F.col("at"), i + 1)
@@ -138,16 +176,16 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         return F.when(own.isNotNull(), F.array(own)).otherwise(_spelled(F.substring(F.col("word"), s + 1, F.lit(1)), pieces))
 
     inside = F.slice("at", F.lit(1), F.size("at") - 1)
-    narrow = bounds.select("word", F.flatten(F.transform(inside, ids)).alias("ids"))
+    narrow = bounds.select("word", "n", F.flatten(F.transform(inside, ids)).alias("ids"))
     shared = words.sparkSession.sparkContext.broadcast(vars(pieces))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(**shared.value)
         for batch in batches:
             found = [own.cut(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    wide = words.filter(F.length("word") > WIDE).select("word").mapInArrow(cut, "word string, ids array<int>")
+    wide = words.filter(F.length("word") > WIDE).select("word", "n").mapInArrow(cut, "word string, n bigint, ids array<int>")
     return narrow.unionByName(wide)
 
 
@@ -166,44 +204,73 @@ def _hot_count(vocabulary: DataFrame, most: int) -> int:
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """Runs of ids of every text of ``docs``."""
     spark, pieces = docs.sparkSession, load(model)
-    texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), words_of(F.col("text").cast("string")).alias("words"))
-    vocabulary = written(texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
-    least = _hot_count(vocabulary, hot)
-    ids = written(encoded_words(vocabulary.select("word"), pieces), "encoded")
-    common = ids.join(vocabulary.filter(F.col("n") >= least).select("word"), "word")
-    table = common.toArrow()  # at most ``hot`` rows
-    shared = spark.sparkContext.broadcast((table["word"].to_pylist(), table["ids"].to_pylist()))
+    texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # A partition's words fit a hash map; falling back to sorting them costs twice as much.
+    fallback = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(fallback)
+    spark.conf.set(fallback, str(GROUPS))
+    try:
+        ids = written(encoded_words(word_counts(texts, pieces), pieces), "encoded")
+    finally:
+        spark.conf.set(fallback, before)
+    table = ids.filter(F.col("n") >= _hot_count(ids, hot)).select("word", "ids").toArrow()  # at most ``hot`` rows
+    # A word's ids travel and stay as four bytes each: a fraction of a list's size.
+    codes = [np.array(x, "<i4").tobytes() for x in table["ids"].to_pylist()]
+    shared = spark.sparkContext.broadcast((vars(pieces), dict(zip(table["word"].to_pylist(), codes))))
+
+    def looked_up(batches: Iterable[pa.RecordBatch]):
+        """(batch, row, words, bytes of the ids of each or None) of every text."""
+        fields, known = shared.value
+        own = Pieces(**fields)
+        for batch in batches:
+            for row, text in enumerate(batch.column(1)):
+                parts = split(text.as_py(), own)
+                yield batch, row, parts, list(map(known.get, parts))
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(zip(*shared.value))
-        for batch in batches:
-            ends, flat = batch.column(1).offsets.to_pylist(), batch.column(1).values
-            for at in range(0, batch.num_rows, 64):
-                doc, first, count, sizes, values = [], [], [], [], []
-                for row in range(at, min(at + 64, batch.num_rows)):
-                    found = list(map(known.get, flat.slice(ends[row], ends[row + 1] - ends[row]).to_pylist()))
-                    start = 0
-                    gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
-                    for gap in [*gaps, len(found)]:
-                        if gap > start or not found:
-                            doc.append(row)
-                            first.append(start)
-                            count.append(gap - start)
-                            size = len(values)
-                            for x in found[start:gap]:
-                                values += x
-                            sizes.append(len(values) - size)
-                        start = gap + 1
-                offsets = [0]
-                for s in sizes:
-                    offsets.append(offsets[-1] + s)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), lists], ["doc_id", "first_word", "n_words", "ids"])
-
-    rest = texts.select("doc_id", F.posexplode("words").alias("first_word", "word"))
-    rest = rest.join(F.broadcast(common.select("word")), "word", "left_anti").join(ids, "word")
-    rest = rest.select("doc_id", F.col("first_word").cast("bigint").alias("first_word"), F.lit(1).cast("bigint").alias("n_words"), "ids")
-    return texts.mapInArrow(runs, RUN).unionByName(rest)
+        last, doc, first, count, offsets, values = None, [], [], [], [0], bytearray()
+
+        def flush():
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(bytes(values), "<i4")))
+            return pa.RecordBatch.from_arrays([last.column(0).take(pa.array(doc, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), lists], ["doc_id", "first_word", "n_words", "ids"])
+
+        for batch, row, parts, found in looked_up(batches):
+            if doc and (batch is not last or len(values) > 1 << 20):
+                yield flush()
+                doc, first, count, offsets, values = [], [], [], [0], bytearray()
+            last, start = batch, 0
+            gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
+            for gap in [*gaps, len(found)]:
+                if gap > start or not found:
+                    values += b"".join(found[start:gap])
+                    doc.append(row)
+                    first.append(start)
+                    count.append(gap - start)
+                    offsets.append(len(values) // 4)
+                start = gap + 1
+        if doc:
+            yield flush()
+
+    def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc, at, word = None, [], [], []
+
+        def flush():
+            return pa.RecordBatch.from_arrays([last.column(0).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64()), pa.array(word, pa.string())], ["doc_id", "first_word", "word"])
+
+        for batch, row, parts, found in looked_up(batches):
+            if doc and (batch is not last or len(doc) > 1 << 16):
+                yield flush()
+                doc, at, word = [], [], []
+            last = batch
+            for i in [i for i, x in enumerate(found) if x is None] if None in found else ():
+                doc.append(row)
+                at.append(i)
+                word.append(parts[i])
+        if doc:
+            yield flush()
+
+    rest = texts.mapInArrow(rare, "doc_id bigint, first_word bigint, word string").join(ids.select("word", "ids"), "word")
+    return texts.mapInArrow(runs, RUN).unionByName(rest.select("doc_id", "first_word", F.lit(1).cast("bigint").alias("n_words"), "ids"))
 
 
 def gathered(runs: DataFrame) -> DataFrame:

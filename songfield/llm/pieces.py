@@ -16,9 +16,6 @@ from dataclasses import dataclass, field
 #: Where the public tokenizers' files are, unless another path is given.
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words: letters with the spaces and marks before them, line ends, marks, spaces.
-#: No piece goes on past any of these ends; ``load`` checks that.
-WORDS = r" *+[^\p{L} \n]*+\p{L}+|\n| *+[^\p{L} \n]+| ++"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 
@@ -36,7 +33,7 @@ class Pieces:
     longest: int
     text_of: list[str]
     kind_of: list[int]
-    words: str  # WORDS for Python's own expressions
+    words: str  # letters with the spaces and marks before them, line ends, marks, spaces; no piece goes on past their ends
     _fits: dict = field(default_factory=dict, repr=False)
 
     def spelled(self, char: str) -> list[int]:
