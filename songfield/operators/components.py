@@ -16,19 +16,19 @@ def components(links: DataFrame) -> DataFrame:
     rounds leave none. Hubs meet in aggregates and joins only.
     """
     left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
-    moved, turn = None, 0
+    parents = []
     while not left.isEmpty():
-        turn += 1
+        turn = len(parents) + 1
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
         both = left.select(F.col("a").alias("id"), rank("b").alias("to")).unionByName(left.select(F.col("b").alias("id"), rank("a").alias("to")))
         parent = written(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least(F.col("to"), rank("id"))["id"].alias("parent")), "parents")
-        if moved is None:
-            moved = parent.withColumnRenamed("parent", "at")
-        else:
-            moved = moved.join(parent.select(F.col("id").alias("at"), "parent"), "at", "left").select("id", F.coalesce("parent", "at").alias("at"))
-        moved = written(moved, "moved")
+        parents.append(parent)
         ends = left.join(parent.select(F.col("id").alias("a"), F.col("parent").alias("pa")), "a").join(parent.select(F.col("id").alias("b"), F.col("parent").alias("pb")), "b")
         left = written(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), "links")
-    if moved is None:
+    if not parents:
         return links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
+    moved = parents[0].select("id", F.col("parent").alias("at"))
+    for parent in parents[1:]:
+        moved = moved.join(parent.select(F.col("id").alias("at"), "parent"), "at", "left").select("id", F.coalesce("parent", "at").alias("at"))
+    moved = written(moved, "moved")
     return moved.join(moved.groupBy("at").agg(F.min("id").alias("component")), "at").select("id", "component")
