@@ -2,11 +2,15 @@
 
 1. Every text becomes its set of n-gram hashes. Equal sets are one class; only
    one document of a class goes on, so copies cost nothing.
-2. N-grams are ordered globally, rare ones first: by the counts of a sketch of
-   fixed size over all documents, then by hash. Two sets that link share an
-   n-gram among the first few of both (as many as may be missing, plus one).
-   Sets are joined to the smallest class of each such n-gram they share with
-   another; what hangs together by that is a block, and no link leaves a block.
+2. N-grams are ordered globally, rare ones first. The quarter of all hashes
+   below a bound is counted over all documents and comes first, in steps of
+   how many documents hold it, then by hash; the rest comes after. Two sets that
+   link share an n-gram among the first few of both (as many as may be missing,
+   plus one). So a set whose first few are its own alone links with nothing, and
+   is done. The others are joined to the smallest class of each such n-gram they
+   share with another; what hangs together by that is a block, and no link leaves
+   a block. The steps are told by a bitmap of fixed size; where two n-grams meet
+   in it one comes later than it might, which costs time and no link.
 3. In a block the ordered sets are stored in a trie, and each set walks it:
    overlaps with all sets below a node are counted once, and a subtree is left
    when what remains of either side can't bring the overlap that a link needs,
@@ -37,10 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songfield.llm.common import written
-from songfield.llm.components import components
+from songfield.operators.components import components
 
-#: log2 of the counters that order n-grams.
-SKETCH_BITS = 18
+#: The part of all hashes that is counted, log2 of the bits of the bitmap, and
+#: the numbers of documents at which an n-gram comes a step later, a bit for each.
+COUNTED, BITS, STEPS = 0.25, 26, (2, 5, 20, 200)
 #: Sets that are walked in one trie.
 TILE = 512
 
@@ -84,13 +89,20 @@ def class_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def _bucket(own: np.ndarray) -> np.ndarray:
-    return (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def counted(own: np.ndarray) -> np.ndarray:
+    """Those of a sorted set that are counted."""
+    return own[: np.searchsorted(own, np.uint64(int(COUNTED * 2**64)))]
 
 
-def ordered(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order."""
-    return own[np.argsort(counts[_bucket(own)], kind="stable")]
+def steps(own: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """For each of a sorted set its step: 0 for one document's own, up to 4 by how
+    many hold it, 5 where that isn't counted."""
+    out = np.full(len(own), len(STEPS) + 1, np.int8)
+    n = len(counted(own))
+    slot = own[:n] & np.uint64((1 << (BITS - 2)) - 1)
+    four = (bitmap[(slot >> np.uint64(4)).astype(np.int64)] >> ((slot & np.uint64(15)) << np.uint64(2))) & np.uint64(15)
+    out[:n] = np.bitwise_count(four)
+    return out
 
 
 def prefix_size(size: int, percent: int) -> int:
@@ -194,12 +206,12 @@ class PrefixTree:
                 stack.append((child, depth, at, overlap, node))
 
 
-def join_sets(ids: list[int], sets: list[np.ndarray], counts: np.ndarray, percent: int, side: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
+def join_sets(ids: list[int], sets: list[np.ndarray], bitmap: np.ndarray, percent: int, side: list[int] | None = None, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what links connect among ``sets``. With ``side`` only
     sets of side 1 walk, among those of side 0."""
     every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
     place = np.empty(len(every), np.int64)
-    place[np.argsort(counts[_bucket(every)], kind="stable")] = np.arange(len(every))
+    place[np.argsort(steps(every, bitmap), kind="stable")] = np.arange(len(every))
     ranks = [np.sort(place[np.searchsorted(every, s)]) for s in sets]
     tree = PrefixTree(ranks, percent, known)
     order = sorted(range(len(ranks)), key=lambda i: (len(ranks[i]), ids[i]))
@@ -217,31 +229,37 @@ def join_sets(ids: list[int], sets: list[np.ndarray], counts: np.ndarray, percen
     return [(ids[a], ids[b]) for a, b in tree.links]
 
 
-def summaries(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, digest) of every document, and the sketch's counts."""
+def summaries(texts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, digest) of every document."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n_shingles", "digest", "bucket", "n"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for batch in batches:
-            sizes, keys = [], []
-            for text in batch.column(1):
-                own = gram_set(text.as_py(), n)
-                np.add.at(counts, _bucket(own), 1)
-                sizes.append(len(own))
-                keys.append(digest(own))
-            none = [None] * len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, kinds[1]), pa.array(keys, kinds[2]), pa.array(none, kinds[3]), pa.array(none, kinds[4])], names)
-        held = np.nonzero(counts)[0]
-        none = [None] * len(held)
-        yield pa.RecordBatch.from_arrays([pa.array(none, kinds[0]), pa.array(none, kinds[1]), pa.array(none, kinds[2]), pa.array(held.astype(np.int32)), pa.array(counts[held])], names)
-
-    both = written(docs.mapInArrow(rows, "doc_id bigint, n_shingles bigint, digest binary, bucket int, n bigint"), "summaries")
-    sums = both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # the sketch's size
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
-    return both.filter("bucket IS NULL").select("doc_id", "n_shingles", "digest"), counts
+            sets = [gram_set(text.as_py(), n) for text in batch.column(1)]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest"])
+
+    return written(texts.mapInArrow(rows, "doc_id bigint, n_shingles bigint, digest binary"), "summaries")
+
+
+def shared_bitmap(texts: DataFrame, n: int) -> np.ndarray:
+    """Four bits for each of 2 ** (BITS - 2) places: one for each of STEPS that a
+    counted n-gram there reaches. As large for any corpus."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = [counted(gram_set(text.as_py(), n)) for text in batch.column(0).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+
+    grams_ = texts.select("text").mapInArrow(rows, "gram bigint")
+    several = grams_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    slot = F.col("gram").bitwiseAND(F.lit((1 << (BITS - 2)) - 1).cast("bigint"))
+    reached = sum((F.when(F.col("n") >= at, 1 << i).otherwise(0) for i, at in enumerate(STEPS)), F.lit(0)).cast("bigint")
+    bits = F.call_function("shiftleft", reached, (slot.bitwiseAND(F.lit(15).cast("bigint")) * 4).cast("int"))
+    words = several.groupBy(F.shiftright(slot, 4).alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bitmap
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -249,29 +267,28 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     all that links, 100 * intersection >= percent * union, lead to."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own, counts = summaries(texts, n)
-    sketch = spark.sparkContext.broadcast(counts)
+    own = summaries(texts, n)
+    sketch = spark.sparkContext.broadcast(shared_bitmap(texts, n))
     classes = written(own.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sketch.value
+        bitmap = sketch.value
         for batch in batches:
-            found, cls = [], []
-            for text in batch.column(0):
-                grams_ = gram_set(text.as_py(), n)
-                if len(grams_):
-                    head = ordered(grams_, table)[: prefix_size(len(grams_), percent)]
-                    found.append(head)
-                    cls.append(np.full(len(head), class_of(digest(grams_)), np.int64))
-                if len(found) >= 512:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(cls))], ["gram", "cls"])
-                    found, cls = [], []
-            if found:
+            for at in range(0, batch.num_rows, 256):
+                found, cls = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for text in batch.column(0).slice(at, 256):
+                    grams_ = gram_set(text.as_py(), n)
+                    step = steps(grams_, bitmap)
+                    first = np.argsort(step, kind="stable")[: prefix_size(len(grams_), percent)] if len(grams_) else np.zeros(0, np.int64)
+                    head = grams_[first][step[first] > 0]
+                    if len(head):
+                        found.append(head)
+                        cls.append(np.full(len(head), class_of(digest(grams_)), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(cls))], ["gram", "cls"])
 
-    heads = texts.select("text").mapInArrow(prefixes, "gram bigint, cls bigint")
-    shared = heads.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("gram", "low")
-    near = heads.join(shared, "gram").filter("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
+    heads = written(texts.select("text").mapInArrow(prefixes, "gram bigint, cls bigint"), "prefixes")
+    several = heads.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("gram", "low")
+    near = heads.join(several, "gram").filter("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
     blocks = written(components(near), "blocks")
     sizes = blocks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
