@@ -11,9 +11,10 @@ each passage's length of text, whatever the text.
    first document of a group stands for it: others are compared with it, never
    with each other.
 2. The windows that two documents share give intervals at one offset. Where
-   intervals of enough hash functions overlap, there is a region to verify.
+   intervals of enough hash functions meet, there is a region to verify.
 3. Of the regions only the blocks of hashes that they need are fetched. A
-   passage is a stretch whose n-grams match the source's up to the similarity.
+   passage is a longest stretch whose n-grams match the source's up to the
+   similarity, counted over the whole stretch.
 
 A passage of ``least`` words that stands in two texts has the same smallest
 n-gram in both under every function, so an exact repeat always gets compared
@@ -116,7 +117,8 @@ def document_windows(ids: list[int], sequences: list[np.ndarray], least: int, fu
 
 
 def regions(hits: list[dict], width: int, enough: int) -> list[tuple[int, int, list[int]]]:
-    """(start, end, offsets) where windows of enough functions overlap."""
+    """(start, end, offsets) where windows of enough functions overlap or lie near
+    each other, with a block more on both sides: a near passage may go on there."""
     rows = []
     for h in hits:
         d = h["ac"] - h["c"]
@@ -127,7 +129,7 @@ def regions(hits: list[dict], width: int, enough: int) -> list[tuple[int, int, l
     open_: list[list] = []
     for s, e, d, f in rows:
         for region in open_:
-            if s <= region[1] + 1 and abs(d - region[4]) <= SLACK:
+            if s <= region[1] + 2 * BLOCK and abs(d - region[4]) <= SLACK:
                 region[1] = max(region[1], e)
                 region[2].add(d)
                 region[3].add(f)
@@ -135,13 +137,16 @@ def regions(hits: list[dict], width: int, enough: int) -> list[tuple[int, int, l
                 break
         else:
             open_.append([s, e, {d}, {f}, d])
-    return [(s, e, sorted(ds)) for s, e, ds, fs, _ in open_ if len(fs) >= enough]
+    return [(max(0, s - BLOCK), e + BLOCK, sorted(ds)) for s, e, ds, fs, _ in open_ if len(fs) >= enough]
 
 
 def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: int, similarity: float) -> list[tuple[int, int, int, float]]:
     """(start, end, offset, similarity) of the stretches of ``copy`` whose n-grams
     match ``source`` at the offsets. A stretch of L n-grams of which M match is
-    M / (2 L - M) similar; a mismatch costs what keeps that at the similarity."""
+    M / (2 L - M) similar; a mismatch costs what keeps that at the similarity, so
+    a stretch is similar enough if its sum isn't negative. Found are the longest such
+    stretches that begin and end with a match, which may overlap; one below ``width``
+    is filled up with what doesn't match if the similarity allows that."""
     match, by = np.zeros(len(copy), bool), np.zeros(len(copy), np.int64)
     for d in offsets:
         low, high = max(0, -d), min(len(copy), len(source) - d)
@@ -150,21 +155,24 @@ def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: in
             match[low:high] |= new
             by[low:high][new] = d
     edge = np.diff(np.concatenate([[0], match.astype(np.int8), [0]]))
-    cost = 2 * similarity / (1 - similarity)
-    out, now = [], None
-    for s, e in zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist()):
-        gap = cost * (s - now[1]) if now else 0
-        if now and now[2] > gap:
-            now = [now[0], e, now[2] - gap + e - s]
-        else:
-            out.append(now)
-            now = [s, e, float(e - s)]
-    out.append(now)
-    found = []
-    for x in out:
-        if x and x[1] - x[0] >= width:
-            size, same = x[1] - x[0], int(match[x[0] : x[1]].sum())
-            found.append((x[0], x[1], int(by[x[0]]), same / (2 * size - same)))
+    first, last = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    if not len(first):
+        return []
+    sums = np.concatenate([[0.0], np.cumsum(np.where(match, 1.0, -2 * similarity / (1 - similarity)))])
+    # A start counts if no earlier one has as small a sum; its end is the last one with a sum as large.
+    lowest = np.minimum.accumulate(sums[first])
+    begins = np.nonzero(np.concatenate([[True], sums[first[1:]] < lowest[:-1]]))[0]
+    highest = np.maximum.accumulate(sums[last][::-1])[::-1]
+    found, reached = [], -1
+    for i, j in zip(begins.tolist(), (np.searchsorted(-highest, 1e-6 - sums[first[begins]], side="right") - 1).tolist()):
+        if j > reached:
+            reached, s, e = j, int(first[i]), int(last[j])
+            same = int(match[s:e].sum())
+            # Changed words at an end leave too little that matches; what is missing lies before or after it.
+            s = max(0, min(s, e - width))
+            e = min(len(copy), max(e, s + width))
+            if e - s >= width and sums[e] - sums[s] >= -1e-6:
+                found.append((s, e, int(by[first[i]]), same / (2 * (e - s) - same)))
     return found
 
 

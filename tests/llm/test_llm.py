@@ -329,6 +329,37 @@ def test_passages_are_found_and_removed(spark, docs):
     assert substrings.find(docs.limit(0)).count() == 0
 
 
+def test_near_passages_hold_whatever_word_is_changed():
+    """Every stretch as similar as asked lies in one that is found, and no other is found."""
+    rng = np.random.default_rng(5)
+    width = 46
+
+    def grams_of(words):
+        return substrings.grams(np.array(words, np.uint64), 5)
+
+    for size in (54, 60, 75, 94, 120):
+        passage = rng.integers(1, 1 << 60, size).tolist()
+        origin = rng.integers(1, 1 << 60, 20).tolist() + passage + rng.integers(1, 1 << 60, 20).tolist()
+        changes = [(i,) for i in range(size)] + [(i, j) for i in range(0, size, 3) for j in range(i + 1, size, 4)]
+        for places in changes:
+            words = list(passage)
+            for i in places:
+                words[i] = 7
+            copy = grams_of(rng.integers(1, 1 << 60, 30).tolist() + words + rng.integers(1, 1 << 60, 30).tolist())
+            source = grams_of(origin)
+            match = np.concatenate([np.zeros(30, bool), copy[30 : 26 + size] == source[20 : 16 + size], np.zeros(34, bool)])
+            got = substrings.passages(copy, source, [-10], width, 0.8)
+            sums = np.concatenate([[0], np.cumsum(np.where(match, 1, -8))])
+            for s in np.nonzero(match)[0]:
+                ends = np.nonzero((sums >= sums[s]) & (np.arange(len(sums)) >= s + width))[0]
+                assert not len(ends) or any(a <= s and b >= np.nonzero(match[: ends[-1]])[0][-1] + 1 for a, b, _, _ in got)
+            for a, b, d, like in got:
+                same = int(match[a:b].sum())
+                assert d == -10 and b - a >= width and like == same / (2 * (b - a) - same) >= 0.8
+            if len(places) == 1:
+                assert got
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 
