@@ -98,7 +98,7 @@ SELECT * FROM r WHERE rank <= 5
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages of all documents that repeat an earlier document's."""
-    return substrings.find(_table(spark, sf_dir, "documents"))
+    return substrings.find(_table(spark, sf_dir, "documents")).drop("digest").distinct()
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

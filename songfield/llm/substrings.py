@@ -176,87 +176,94 @@ def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: in
     return found
 
 
-WINDOW = "key bigint, doc bigint, f int, c int, l int, r int"
-REGION = "doc bigint, source bigint, start int, end int, offsets array<int>"
-PASSAGE = "doc_id bigint, start_word int, end_word int, source_id bigint, source_start int, similarity double"
+WINDOW = "key bigint, doc bigint, digest bigint, f int, c int, l int, r int"
+REGION = "doc bigint, digest bigint, source bigint, source_digest bigint, start int, end int, offsets array<int>"
+PASSAGE = "doc_id bigint, start_word int, end_word int, source_id bigint, source_start int, similarity double, digest bigint"
 
 
 def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
-    """(doc_id, start_word, end_word, source_id, source_start, similarity): words
-    start_word up to end_word of a document are a copy of its source's."""
+    """(doc_id, start_word, end_word, source_id, source_start, similarity, digest):
+    words start_word up to end_word of a document are a copy of its source's. Where
+    rows of one id have several texts, digest, xxhash64 of the text, says which."""
     width = least - GRAM + 1
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.col("text").cast("string").alias("text")).filter("doc IS NOT NULL")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text")).filter("doc IS NOT NULL")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "f", "c", "l", "r"]
+        names = ["key", "doc", "digest", "f", "c", "l", "r"]
 
-        def flush(ids, held):
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in document_windows(ids, held, least, functions)], names)
+        def rows(own, held, at=0):
+            key, row, f, *places = document_windows(list(range(len(own))), held, least, functions)
+            doc, digest = np.array(own, np.int64).reshape(-1, 2)[row].T
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, digest, f, *((x + at).astype(np.int32) for x in places))], names)
 
-        ids, held, size = [], [], 0
+        own, held, size = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = sequence(text.as_py())
+            for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                whole = sequence(text.as_py())
                 # Beyond what a place can number, a text goes on in a row of its own, overlapping by a passage.
-                for at in range(0, max(1, len(own)), SLICE):
-                    part = own if len(own) <= SLICE else own[at : at + SLICE + width]
+                for at in range(0, max(1, len(whole)), SLICE):
+                    part = whole if len(whole) <= SLICE else whole[at : at + SLICE + width]
                     if at == 0 and len(part) >= width:
-                        ids.append(doc)
+                        own.append((doc, digest))
                         held.append(part)
                         size += len(part) + 1
                     elif len(part) >= width:
-                        key, d, f, c, l, r = document_windows([doc], [part], least, functions)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, d, f, (c + at).astype(np.int32), (l + at).astype(np.int32), (r + at).astype(np.int32))], names)
+                        yield rows([(doc, digest)], [part], at)
                 if size >= SLICE:
-                    yield flush(ids, held)
-                    ids, held, size = [], [], 0
-        if ids:
-            yield flush(ids, held)
+                    yield rows(own, held)
+                    own, held, size = [], [], 0
+        if own:
+            yield rows(own, held)
 
     every = written(texts.mapInArrow(windows, WINDOW), "windows")
-    firsts = every.groupBy("key").agg(F.min(F.struct("doc", "c", "l", "r")).alias("first"), F.max("doc").alias("last")).filter("first.doc < last")
-    firsts = written(firsts.select("key", F.col("first.doc").alias("source"), F.col("first.c").alias("ac"), F.col("first.l").alias("al"), F.col("first.r").alias("ar")), "firsts")
+    firsts = every.groupBy("key").agg(F.min(F.struct("doc", "digest", "c", "l", "r")).alias("first"), F.max("doc").alias("last")).filter("first.doc < last")
+    firsts = written(firsts.select("key", F.col("first.doc").alias("source"), F.col("first.digest").alias("source_digest"), F.col("first.c").alias("ac"), F.col("first.l").alias("al"), F.col("first.r").alias("ar")), "firsts")
     hits = every.join(firsts, "key").filter("doc <> source")
-    pairs = hits.groupBy("doc", "source").agg(F.collect_list(F.struct("f", "c", "l", "r", "ac", "al", "ar")).alias("hits"))
+    key = ["doc", "digest", "source", "source_digest", "start", "end", "offsets"]
+    pairs = hits.groupBy("doc", "digest", "source", "source_digest").agg(F.collect_list(F.struct("f", "c", "l", "r", "ac", "al", "ar")).alias("hits"))
 
     def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, source, own in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(doc, source, s, e, ds) for s, e, ds in regions(own, width, enough)]
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc", "source", "start", "end", "offsets"])
+            for *of, own in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(*of, s, e, ds) for s, e, ds in regions(own, width, enough)]
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], key)
 
     found = written(pairs.mapInArrow(swept, REGION), "regions")
-    key = ["doc", "source", "start", "end", "offsets"]
     first_block = F.floor(F.greatest(F.lit(0), F.col("start") + F.array_min("offsets")) / BLOCK)
     last_block = F.floor((F.col("end") + F.array_max("offsets")) / BLOCK)
-    in_copy = found.select(*key, F.lit(0).alias("side"), F.col("doc").alias("of"), F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))).alias("block"))
-    in_source = found.select(*key, F.lit(1).alias("side"), F.col("source").alias("of"), F.explode(F.sequence(first_block, last_block)).alias("block"))
+    in_copy = found.select(*key, F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("digest").alias("of_digest"), F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))).alias("block"))
+    in_source = found.select(*key, F.lit(1).alias("side"), F.col("source").alias("of"), F.col("source_digest").alias("of_digest"), F.explode(F.sequence(first_block, last_block)).alias("block"))
     needs = in_copy.unionByName(in_source)
-    of_doc = needs.select("of", "block").distinct().groupBy("of").agg(F.collect_list("block").alias("blocks"))
+    of_text = needs.select("of", "of_digest", "block").distinct().groupBy("of", "of_digest").agg(F.collect_list("block").alias("blocks"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, number, hashes = [], [], []
-            for doc, text, blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            of, digests, number, hashes = [], [], [], []
+            for doc, digest, text, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 own = sequence(text.as_py()).astype(np.uint32)
                 for b in blocks:
                     part = own[b * BLOCK : (b + 1) * BLOCK]
                     if len(part):
                         of.append(doc)
+                        digests.append(digest)
                         number.append(b)
                         hashes.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(number, pa.int64()), pa.array(hashes, pa.binary())], ["of", "block", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(digests, pa.int64()), pa.array(number, pa.int64()), pa.array(hashes, pa.binary())], ["of", "of_digest", "block", "hashes"])
 
-    fetched = texts.join(of_doc, F.col("doc") == F.col("of")).select("doc", "text", "blocks").mapInArrow(cut, "of bigint, block bigint, hashes binary")
-    both = needs.join(fetched, ["of", "block"]).groupBy(*key).agg(F.collect_list(F.struct("side", "block", "hashes")).alias("parts"))
+    same = (F.col("doc") == F.col("of")) & (F.col("digest") == F.col("of_digest"))
+    fetched = texts.join(of_text, same).select("doc", "digest", "text", "blocks").mapInArrow(cut, "of bigint, of_digest bigint, block bigint, hashes binary")
+    # Equal rows of an id cut equal blocks, of which one is kept.
+    fetched = fetched.groupBy("of", "of_digest", "block").agg(F.first("hashes").alias("hashes"))
+    both = needs.join(fetched, ["of", "of_digest", "block"]).groupBy(*key).agg(F.collect_list(F.struct("side", "block", "hashes")).alias("parts"))
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, source, start, end, offsets, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, digest, source, _, start, end, offsets, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 side = ([], [])
                 for p in sorted(parts, key=lambda p: (p["side"], p["block"])):
                     side[p["side"]].append((p["block"], np.frombuffer(p["hashes"], np.uint32)))
@@ -266,10 +273,10 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
                 copy = np.concatenate([h for _, h in side[0]])[start - b0 : end + 1 - b0]
                 origin = np.concatenate([h for _, h in side[1]])
                 for s, e, d, like in passages(copy, origin, [x + start - a0 for x in offsets], width, similarity):
-                    out.append((doc, start + s, start + e + GRAM - 1, source, a0 + s + d, like))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start_word", "end_word", "source_id", "source_start", "similarity"])
+                    out.append((doc, start + s, start + e + GRAM - 1, source, a0 + s + d, like, digest))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start_word", "end_word", "source_id", "source_start", "similarity", "digest"])
 
     return both.mapInArrow(verified, PASSAGE).distinct()
 
@@ -281,7 +288,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     import re
 
     word = re.compile(rb"[^\x20\x09-\x0D]+")
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("__spans"))
+    spans = found.groupBy("doc_id", F.col("digest").alias("__digest")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("__spans"))
 
     @F.pandas_udf("string")
     def rest(texts, spans):
@@ -309,7 +316,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, "doc_id", "left").withColumn("__rest", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest("text", "__spans")))
+    joined = docs.withColumn("__digest", F.xxhash64(F.col("text").cast("string"))).join(spans, ["doc_id", "__digest"], "left").withColumn("__rest", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest("text", "__spans")))
     left = joined.filter(F.col("__spans").isNull() | F.col("__rest").isNotNull()).withColumn("text", F.col("__rest"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))

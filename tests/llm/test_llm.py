@@ -360,6 +360,24 @@ def test_near_passages_hold_whatever_word_is_changed():
                 assert got
 
 
+def test_passages_of_repeated_rows_and_ids(spark):
+    """Equal rows are one text; different texts of one id don't mix."""
+    rng = random.Random(21)
+    whole, other, late = text(rng, 300), text(rng, 300), text(rng, 170)
+    start = " ".join(late.split()[:60]) + " " + other
+    docs = table(spark, [(1, whole, "s"), (1, whole, "s"), (2, other, "s"), (5, whole, "s"), (5, whole, "s"), (6, start, "s"), (6, late + " " + whole, "s"), (7, late, "s")])
+    found = substrings.find(docs)
+    got = collections.defaultdict(set)
+    for r in found.collect():
+        got[r["doc_id"], r["source_id"]].add((r["start_word"], r["end_word"], r["source_start"]))
+    assert got[5, 1] == {(0, 300, 0)}
+    assert got[6, 1] == {(170, 470, 0)} and got[6, 2] == {(60, 360, 0)}
+    covered = {i for (d, s), spans in got.items() if d == 7 for a, b, _ in spans for i in range(a, b)}
+    assert covered == set(range(170))
+    left = sorted((r["doc_id"], r["text"]) for r in substrings.remove(docs, found).collect())
+    assert left == [(1, whole), (1, whole), (2, other), (6, " ".join(late.split()[:60]) + " "), (6, late + " ")]
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 
