@@ -7,20 +7,23 @@ c..r. The windows are the subtrees of the sequence's Cartesian tree, of which
 only those count that hold a stretch as long as a passage: some two of them for
 each passage's length of text, whatever the text.
 
-1. The windows of some hash functions are grouped by their smallest n-gram. The
-   first document of a group stands for it: others are compared with it, never
-   with each other.
-2. The windows that two documents share give intervals at one offset. Where
-   intervals of enough hash functions meet, there is a region to verify.
+1. The windows of some hash functions whose smallest n-gram several documents
+   hold are joined within a text: around the smallest n-grams under two functions
+   at once. The first document of those that share both stands for them.
+2. The windows that two documents share give intervals at one offset. Where they
+   overlap or lie near each other, there is a region to verify.
 3. Of the regions only the blocks of hashes that they need are fetched. A
    passage is a longest stretch whose n-grams match the source's up to the
    similarity, counted over the whole stretch.
+4. Where a passage doesn't hold a window whole, all stretches of ``least`` words
+   in the windows of its key meet by a hash of the stretch: here the first
+   document shares just what the others share.
+5. A window that lies in no passage yet is compared with all windows of its key
+   in earlier documents.
 
 A passage of ``least`` words that stands in two texts has the same smallest
-n-gram in both under every function, so an exact repeat always gets compared
-with the group's first; a near one does as likely as a minimum survives. A
-passage that the first document of its groups lacks is found when those
-documents meet under another function.
+n-gram in both under every function, so by 4 every exact repeat is found; a near
+one is as likely as two functions' minima survive.
 
 The later document (larger id) is the copy. Repeats inside one document aren't
 looked for. Null ids and null or short texts have no passages; rows that repeat
@@ -30,11 +33,12 @@ each other; equal texts are copies of the one with the smallest id.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songfield.llm.common import written
@@ -116,28 +120,55 @@ def document_windows(ids: list[int], sequences: list[np.ndarray], least: int, fu
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def regions(hits: list[dict], width: int, enough: int) -> list[tuple[int, int, list[int]]]:
-    """(start, end, offsets) where windows of enough functions overlap or lie near
-    each other, with a block more on both sides: a near passage may go on there."""
-    rows = []
+def joint_windows(own: list[dict], width: int, functions: int, enough: int) -> list[tuple]:
+    """(key, exact, c, c2, l, r) of one text's windows under ``enough`` functions at
+    once: around the smallest n-grams of all of them, keyed by these. ``exact`` marks
+    the first functions; every stretch of ``width`` is in just one such window."""
+    names = ("key", "c", "l", "r")
+    of = [np.array([[w[n] for n in names] for w in sorted((w for w in own if w["f"] == f), key=lambda w: w["c"])], np.int64).reshape(-1, 4).T for f in range(functions)]
+    out = []
+    for number, chosen in enumerate(itertools.combinations(range(functions), enough)):
+        key, c, l, r = of[chosen[0]]
+        low = high = c
+        last = c
+        for f in chosen[1:]:
+            key2, c2, l2, r2 = of[f]
+            # The other's places inside a window are neighbours in its order.
+            begin, end = np.searchsorted(c2, l), np.searchsorted(c2, r, side="right")
+            i = np.repeat(np.arange(len(l)), end - begin)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
+            low, high = np.minimum(low[i], c2[j]), np.maximum(high[i], c2[j])
+            l, r, c, last = np.maximum(l[i], l2[j]), np.minimum(r[i], r2[j]), c[i], c2[j]
+            key = mixed(key[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key2[j].view(np.uint64)).view(np.int64)
+            fits = (l <= low) & (r >= high) & (r - l + 1 >= width)
+            key, c, last, low, high, l, r = (x[fits] for x in (key, c, last, low, high, l, r))
+        out += zip(key.tolist(), [number == 0] * len(key), c.tolist(), last.tolist(), l.tolist(), r.tolist())
+    return out
+
+
+def regions(hits: list[dict], width: int) -> list[tuple[int, int, list[int]]]:
+    """(start, end, offsets) where shared windows overlap or lie near each other,
+    with a block more on both sides: a near passage may go on there."""
+    rows = set()
     for h in hits:
-        d = h["ac"] - h["c"]
-        s, e = max(h["l"], h["al"] - d), min(h["r"], h["ar"] - d)
-        if e - s + 1 >= width:
-            rows.append((s, e, d, h["f"]))
-    rows.sort()
-    open_: list[list] = []
-    for s, e, d, f in rows:
+        ds = (h["ac"] - h["c"], h["ac2"] - h["c2"])
+        for d in ds:
+            s, e = max(h["l"], h["al"] - d), min(h["r"], h["ar"] - d)
+            if e - s + 1 >= width and abs(ds[0] - ds[1]) <= SLACK:
+                rows.add((s, e, d))
+    done, open_ = [], []
+    for s, e, d in sorted(rows):
+        done += [region for region in open_ if s > region[1] + 2 * BLOCK]
+        open_ = [region for region in open_ if s <= region[1] + 2 * BLOCK]
         for region in open_:
-            if s <= region[1] + 2 * BLOCK and abs(d - region[4]) <= SLACK:
+            if abs(d - region[3]) <= SLACK:
                 region[1] = max(region[1], e)
                 region[2].add(d)
-                region[3].add(f)
-                region[4] = d
+                region[3] = d
                 break
         else:
-            open_.append([s, e, {d}, {f}, d])
-    return [(max(0, s - BLOCK), e + BLOCK, sorted(ds)) for s, e, ds, fs, _ in open_ if len(fs) >= enough]
+            open_.append([s, e, {d}, d])
+    return [(max(0, s - BLOCK), e + BLOCK, sorted(ds)) for s, e, ds, _ in done + open_]
 
 
 def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: int, similarity: float) -> list[tuple[int, int, int, float]]:
@@ -176,7 +207,16 @@ def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: in
     return found
 
 
+def stretch_hashes(own: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every stretch of ``width`` n-grams."""
+    return grams(own, width)
+
+
 WINDOW = "key bigint, doc bigint, digest bigint, f int, c int, l int, r int"
+JOINT = "key bigint, doc bigint, digest bigint, exact boolean, c int, c2 int, l int, r int"
+#: Columns of a window, as those of a source's.
+SOURCE = {"doc": "source", "digest": "source_digest", "c": "ac", "c2": "ac2", "l": "al", "r": "ar"}
+STRETCH = "key bigint, doc bigint, digest bigint, at int"
 REGION = "doc bigint, digest bigint, source bigint, source_digest bigint, start int, end int, offsets array<int>"
 PASSAGE = "doc_id bigint, start_word int, end_word int, source_id bigint, source_start int, similarity double, digest bigint"
 
@@ -217,17 +257,85 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
             yield rows(own, held)
 
     every = written(texts.mapInArrow(windows, WINDOW), "windows")
-    firsts = every.groupBy("key").agg(F.min(F.struct("doc", "digest", "c", "l", "r")).alias("first"), F.max("doc").alias("last")).filter("first.doc < last")
-    firsts = written(firsts.select("key", F.col("first.doc").alias("source"), F.col("first.digest").alias("source_digest"), F.col("first.c").alias("ac"), F.col("first.l").alias("al"), F.col("first.r").alias("ar")), "firsts")
-    hits = every.join(firsts, "key").filter("doc <> source")
+    several = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
+    own = every.join(written(several, "several"), "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("f", "key", "c", "l", "r")).alias("own"))
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [(w[0], doc, digest, *w[1:]) for doc, digest, own in zip(*(c.to_pylist() for c in part.columns)) for w in joint_windows(own, width, functions, enough)]
+                cols = list(zip(*out)) or [()] * 8
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()] + [pa.int32()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["key", "doc", "digest", "exact", "c", "c2", "l", "r"])
+
+    def heads_of(rows: DataFrame) -> DataFrame:
+        """The first window of each key that several documents have."""
+        firsts = rows.groupBy("key").agg(F.min(F.struct("doc", "digest", "c", "c2", "l", "r")).alias("first"), F.max("doc").alias("last")).filter("first.doc < last")
+        return written(firsts.select("key", *(F.col(f"first.{a}").alias(b) for a, b in SOURCE.items())), "heads")
+
+    def spread(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """``rows`` beside the passages found in their text."""
+        spans = found.groupBy(F.col("doc_id").alias("doc"), "digest").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+        return rows.join(spans, ["doc", "digest"], "left")
+
+    def inside(start, end) -> Column:
+        held = F.exists("spans", lambda p: (p["start_word"] <= start) & (p["end_word"] >= end))
+        return F.coalesce(held, F.lit(False))
+
+    joint = written(own.mapInArrow(joined, JOINT), "joint")
+    heads = heads_of(joint)
+    joint = written(joint.join(heads.select("key"), "key"), "shared")
+    found = written(_verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity), "passages")
+
+    # Exact stretches in windows that a passage doesn't hold whole meet by a hash of all their n-grams.
+    low, high = F.least("c", "c2"), F.greatest("c", "c2")
+    begin, end = F.greatest("l", high - (width - 1)), F.least("r", low + (width - 1))
+    exact = joint.filter("exact")
+    partly = spread(exact, found).join(heads, "key").filter((F.col("doc") > F.col("source")) & ~inside(begin, end + GRAM)).select("key").distinct()
+    wanted = exact.join(partly, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct(begin.alias("begin"), end.alias("end"))).alias("wanted"))
+
+    def stretched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, digest, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
+                own = stretch_hashes(sequence(text.as_py()), width)
+                at = np.unique(np.concatenate([np.arange(p["begin"], p["end"] - width + 2) for p in spans]))
+                yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array([doc] * len(at), pa.int64()), pa.array([digest] * len(at), pa.int64()), pa.array(at.astype(np.int32))], ["key", "doc", "digest", "at"])
+
+    stretches = written(texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
+    places = stretches.select("key", "doc", "digest", "at", F.col("at").alias("c"), F.col("at").alias("c2"), F.col("at").alias("l"), (F.col("at") + width - 1).alias("r"))
+    copies = spread(places, found).filter(~inside(F.col("at"), F.col("at") + least)).drop("spans")
+    found = written(found.unionByName(_verified(texts, copies.join(heads_of(places), "key").filter("doc > source"), width, similarity)), "passages")
+
+    # Windows that still lie in no passage meet all windows of their key in earlier documents.
+    left = spread(joint, found).join(heads.select("key", "source"), "key").filter((F.col("doc") > F.col("source")) & ~inside(low, high + GRAM)).drop("spans", "source")
+    every = joint.select("key", *(F.col(a).alias(b) for a, b in SOURCE.items()))
+    return _longest(found.unionByName(_verified(texts, written(left, "left").join(every, "key").filter("doc > source"), width, similarity)))
+
+
+def _longest(found: DataFrame) -> DataFrame:
+    """``found`` without what lies in a longer passage at the same offset."""
+    own = ["doc_id", "digest", "source_id"]
+    offset = (F.col("source_start") - F.col("start_word")).alias("offset")
+    each = found.distinct().groupBy(*own, offset).agg(F.collect_list(F.struct("start_word", "end_word", "source_start", "similarity")).alias("all"))
+
+    def longer(x: Column) -> Column:
+        return F.exists("all", lambda y: (y["start_word"] <= x["start_word"]) & (y["end_word"] >= x["end_word"]) & (y["end_word"] - y["start_word"] > x["end_word"] - x["start_word"]))
+
+    kept = each.select(*own, F.explode(F.filter("all", lambda x: ~longer(x))).alias("p"))
+    return kept.select("doc_id", "p.start_word", "p.end_word", "source_id", "p.source_start", "p.similarity", "digest")
+
+
+def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The passages in the regions that windows shared by two texts make."""
     key = ["doc", "digest", "source", "source_digest", "start", "end", "offsets"]
-    pairs = hits.groupBy("doc", "digest", "source", "source_digest").agg(F.collect_list(F.struct("f", "c", "l", "r", "ac", "al", "ar")).alias("hits"))
+    pairs = hits.groupBy("doc", "digest", "source", "source_digest").agg(F.collect_list(F.struct("c", "c2", "l", "r", "ac", "ac2", "al", "ar")).alias("hits"))
 
     def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for *of, own in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(*of, s, e, ds) for s, e, ds in regions(own, width, enough)]
+                out += [(*of, s, e, ds) for s, e, ds in regions(own, width)]
             cols = list(zip(*out)) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], key)

@@ -378,6 +378,28 @@ def test_passages_of_repeated_rows_and_ids(spark):
     assert left == [(1, whole), (1, whole), (2, other), (6, " ".join(late.split()[:60]) + " "), (6, late + " ")]
 
 
+def test_passages_are_found_behind_documents_that_share_less(spark):
+    """The smallest documents hold each 5-gram, or pieces of 35 words, of what later ones share whole."""
+    rng = random.Random(22)
+    rows, near = [], {}
+    for i in range(30):
+        words = text(rng, 60).split()
+        rows.append((i, " ".join(f"{' '.join(words[j : j + 5])} {text(rng, 8)}" for j in range(56)), "s"))
+        rows += [(100 + i, f"{text(rng, 60)} {' '.join(words[:35])} {text(rng, 60)}", "s"), (200 + i, f"{text(rng, 60)} {' '.join(words[25:])} {text(rng, 60)}", "s")]
+        rows += [(k + i, f"{text(rng, 10 + i)} {' '.join(words[:50])} {text(rng, 50)}", "s") for k in (300, 400)]
+        words[rng.randrange(60)] = "changed"
+        near[500 + i] = " ".join(words)
+    rows += [(i, f"{text(rng, 30)} {near[i]} {text(rng, 30)}", "s") for i in near]
+    rows += [(1000 + i, f"{text(rng, 20)} {t} {text(rng, 50)}".replace(t.split()[3], "other", 1), "s") for i, t in near.items()]
+    held = collections.defaultdict(set)
+    for r in substrings.find(table(spark, rows)).collect():
+        held[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        assert r["similarity"] >= 0.8
+    assert all(set(range(10 + i, 60 + i)) <= held[400 + i] for i in range(30))
+    assert not any(held[k + i] for k in (0, 100, 200) for i in range(30))
+    assert sum(len(held[i + 1000] & set(range(20, 80))) >= 46 for i in near) >= 26
+
+
 # --- toxicity ------------------------------------------------------------------------
 
 
