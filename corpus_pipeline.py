@@ -19,10 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id, and of
+    """Of each component of near copies, whose five-word shingles are 80 percent
+    the same, the document with the smallest id, and of
     repeated rows one. A document without an id can't be told from others by
     name, so it stays."""
-    stays = jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    stays = jaccard.join(docs, n=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 

@@ -378,6 +378,16 @@ def test_passages_of_repeated_rows_and_ids(spark):
     assert left == [(1, whole), (1, whole), (2, other), (6, " ".join(late.split()[:60]) + " "), (6, late + " ")]
 
 
+def test_pipeline_removes_near_copies_by_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    whole = text(rng, 200).split()
+    rows = [(1, " ".join(whole), "s"), (2, " ".join(whole[:90] + text(rng, 15).split() + whole[105:]), "s"), (3, " ".join(whole[:90] + text(rng, 30).split() + whole[120:]), "s")]
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows), "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
 def test_passages_are_found_behind_documents_that_share_less(spark):
     """The smallest documents hold each 5-gram, or pieces of 35 words, of what later ones share whole."""
     rng = random.Random(22)
