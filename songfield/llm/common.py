@@ -27,9 +27,14 @@ def once(value: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share. Where none is set, one machine
+    gets a temporary one; on a cluster that is an error, as executors would write to
+    folders that no other machine sees."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="songfield-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,116 +1,160 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts fall apart into words that the model cuts one by one, so distinct words
-are encoded once. Their substrings, no longer than the longest piece, are
-exploded and equi-joined to the piece table; the joined edges are grouped by
-word, and a higher-order ``aggregate`` folds each word's lattice into its cut.
-
-For a unigram model the fold is Viterbi: it goes from position to position and
-keeps the best sum of scores. A BPE model's scores say which merge comes first
-and don't add up, so Viterbi over them gives other ids than the model's; there
-the fold merges: its state is a bit mask of the boundaries still standing, and
-each step takes down the one inside the best-scored edge that spans just two
-neighbours, the leftmost of equals. Both give the model's own ids.
-
-Documents then look their words up. The commonest words, at most ``HOT``, are
-broadcast; the rest is joined on the word. A document comes back as rows, each
-a run of words with its ids: (doc_id, first_word, n_words, ids). Its encoding
-is its runs in the order of first_word. So no document's text is shuffled, and
-no exchange carries a common word. ``gathered`` makes one row per document.
-
-A null or empty text is one run of no words. A word beyond ``WIDE`` characters,
-which no bit mask holds, is cut by a heap in time n log n. Repeated rows repeat
-their runs; other columns aren't carried; a null id keeps its text's runs.
+Texts fall apart into words that no piece reaches across, so distinct words are
+encoded once. Their substrings, no longer than the longest piece, are exploded
+and equi-joined to the piece table; the joined edges are grouped by word, and
+a higher-order ``aggregate`` folds each word's lattice into its best cut.
+
+For a unigram table the fold is Viterbi: it takes the edges by where they end,
+keeps for each place the least cost that leads there, and goes back from the
+word's end. A BPE model's own scores don't add up; for one the fold merges: its
+state is a bit mask of the boundaries still standing, and each step takes down
+the one inside the best-scored edge that spans just two neighbours. Words beyond
+``WIDE`` (for merges ``MASKED``) characters are cut by the same rules in the worker.
+
+A worker reads its texts once, and deals them into slices: a slice has at most
+about ``HELD`` distinct words and ``LONG`` words, or one document beyond that. Of
+a slice there are its distinct words, numbered, and each document's words as
+those numbers. The words go to where they are encoded, one row for each slice
+that has the word, and their ids come back to the slice, where documents are put
+together. So the result is one row for each row of ``docs``, whatever the size or
+the commonness of words; no text is shuffled, nothing is broadcast but the pieces,
+and a task holds one slice at a time.
+
+A null or empty text has no ids; an empty table has no rows; a very long text
+is a slice of its own; repeated rows repeat their result; a null id keeps its
+text's ids; other columns aren't carried.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from songfield.llm.common import once, written
+from songfield.llm.common import once
 from songfield.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, Pieces, load
 from songfield.llm.tokencounts import split
 
-#: Characters of a word that a bit mask of boundaries holds.
-WIDE = 60
-#: Words that are broadcast at most.
-HOT = 1 << 18
-#: Words whose edges are grouped in memory before a task sorts instead.
-GROUPS = 1 << 16
-#: Words that a worker counts before it hands them on, and bits of an id.
-HELD, ID_BITS = 1 << 18, 20
-RUN = "doc_id bigint, first_word bigint, n_words bigint, ids array<int>"
-
-
-def word_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n): the distinct words of all texts, with a space before a text as
-    the model puts it. Workers count what they read before it is shuffled."""
-    shared = texts.sparkSession.sparkContext.broadcast(vars(pieces))
-
-    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = Pieces(**shared.value), Counter()
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+#: Characters of a word that is folded: places in an edge's code, and bits of a mask.
+WIDE, MASKED = 1000, 60
+#: Distinct words and words of a slice, words of one row of them, bytes of a batch.
+HELD, LONG, CHUNK, BATCH = 1 << 18, 1 << 22, 4096, 1 << 20
+#: Bits of an edge's places, id and cost: its end, its cost, its start and its id, from the top.
+PLACE_BITS, ID_BITS, COST_BITS = 10, 17, 26
+NO_PIECE = (1 << ID_BITS) - 1
+SLICED = "slice bigint, doc_id bigint, codes binary, first int, words array<string>"
+ENCODED = "doc_id bigint, n_words bigint, ids array<int>"
+
+
+def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """SLICED rows of two kinds: a document with the numbers of its words in its
+    slice, and the words of a slice from number ``first`` on."""
+    shared = texts.sparkSession.sparkContext.broadcast(vars(pieces))  # the model's size
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number, size, length = Pieces(**shared.value), TaskContext.get().partitionId() << 24, 0, 0
+        known, ids, codes = defaultdict(count().__next__), [], []
+
+        def documents():
+            n = len(ids)
+            columns = [pa.array([number] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, ["slice", "doc_id", "codes", "first", "words"])
+
+        def vocabulary():
+            words = list(known)
+            for at in range(0, len(words), CHUNK):
+                part = pa.array([words[at : at + CHUNK]], pa.list_(pa.string()))
+                columns = [pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), part]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "doc_id", "codes", "first", "words"])
 
         for batch in batches:
-            for text in batch.column(0):
-                found.update(split(text.as_py(), own))
-                if len(found) > HELD:
-                    yield flush()
-                    found.clear()
-        if found:
-            yield flush()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = split(text.as_py(), own)
+                numbers = np.fromiter(map(known.__getitem__, words), "<u4", len(words))
+                ids.append(doc)
+                codes.append(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())  # by bytes of one weight: the upper ones are mostly 0
+                size += len(codes[-1])
+                length += len(words)
+                full = len(known) >= HELD or length >= LONG
+                if size >= BATCH or full:
+                    yield documents()
+                    ids, codes, size = [], [], 0
+                if full:
+                    yield from vocabulary()
+                    number, length, known = number + 1, 0, defaultdict(count().__next__)
+        if ids:
+            yield documents()
+        if known:
+            yield from vocabulary()
+
+    return texts.mapInArrow(rows, SLICED)
+
+
+def _words(slices: DataFrame) -> DataFrame:
+    """(word, slice, number) of all slices."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, first, words in zip(batch.column(0), batch.column(3), batch.column(4)):
+                if words.is_valid:
+                    n = len(words)
+                    columns = [words.values, pa.array(np.full(n, number.as_py())), pa.array(np.arange(first.as_py(), first.as_py() + n, dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["word", "slice", "number"])
 
-    return texts.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return slices.mapInArrow(rows, StructType([StructField("word", StringType(), False), StructField("slice", LongType(), False), StructField("number", IntegerType(), False)]))
 
 
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
 
 
+def _part(code: Column, low: int, bits: int) -> Column:
+    return F.shiftright(code, low).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, low, score), and the row of the edge that every word has. ``low``
-    packs the id under the score's rank, the best first."""
-    if len(pieces.text_of) >= 1 << ID_BITS:
+    """(piece, low): a piece's id and cost in the low bits of an edge's code, for
+    merges its id below the rank of its score, the best first."""
+    if len(pieces.text_of) >= NO_PIECE:
         raise ValueError("more pieces than an edge has bits for")
-    rank = {s: r for r, s in enumerate(sorted(set(pieces.score_of.values()), reverse=True))}
-    rows = [(t, (rank[pieces.score_of[t]] << 32) | i, pieces.score_of[t]) for t, i in pieces.id_of.items()]
-    return spark.createDataFrame([*rows, ("", -1, 0.0)], "piece string, low bigint, score double").coalesce(1)
+    if pieces.unigram:
+        if min(pieces.unknown_score, *pieces.score_of.values()) <= -(1 << COST_BITS) or max(pieces.score_of.values()) > 0:
+            raise ValueError("a score that an edge has no bits for")
+        rows = [(t, (-pieces.score_of[t] << (PLACE_BITS + ID_BITS)) | i) for t, i in pieces.id_of.items()]
+    else:
+        rank = {s: r for r, s in enumerate(sorted(set(pieces.score_of.values()), reverse=True))}
+        rows = [(t, (rank[pieces.score_of[t]] << (12 + ID_BITS)) | i) for t, i in pieces.id_of.items()]
+    return spark.createDataFrame(rows, "piece string, low bigint").coalesce(1)
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, size, edges): the pieces in a word of ``size`` characters, best
-    score first, then from the left: (s, e, id, score, ends, inner), where ends and
-    inner are masks of boundaries. Rows of a word never leave their partition, so
-    nothing is shuffled where ``words`` comes out of a grouping by word."""
+    """(word, size, edges): the codes, in order, of the pieces in a word of ``size``
+    characters; a character that is no piece is an edge with the id NO_PIECE. Rows
+    of a word never leave their partition, so nothing is shuffled where ``words``
+    is dealt by word."""
     size = F.length("word")
-    starts = words.select("word", "n", size.alias("size"), F.explode(F.sequence(F.lit(-1), size - 1)).alias("s"))
-    stop = F.when(F.col("s") < 0, F.lit(0)).otherwise(F.least(F.col("size"), F.col("s") + pieces.longest))
-    spans = starts.select("word", "n", "size", "s", F.explode(F.sequence(F.col("s") + 1, stop)).alias("e"))
-    cut = spans.withColumn("piece", F.when(F.col("s") < 0, F.lit("")).otherwise(F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))))
-    found = cut.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")  # the model's size
-    place = (F.col("s") * 64 + F.col("e")).cast("bigint") * (1 << ID_BITS)  # below the rank's bits
-    edge = F.when(F.col("s") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("low") + place)
+    starts = words.select("word", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("s"))
+    stop = F.least(F.col("size"), F.col("s") + pieces.longest)
+    spans = starts.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, stop)).alias("e"))
+    cut = spans.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
+    found = cut.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece", "left")  # the model's size
+    found = found.filter(F.col("low").isNotNull() | (F.col("e") == F.col("s") + 1))
+    s, e = F.col("s").cast("bigint"), F.col("e").cast("bigint")
     if pieces.unigram:
-        edge = F.struct(edge.alias("code"), F.col("score").alias("score"))
-    grouped = found.groupBy("word", "n", "size").agg(F.collect_list(edge).alias("all"))
-
-    def opened(x: Column) -> Column:
-        code = x["code"] if pieces.unigram else x
-        part = lambda low, bits: F.shiftright(code, low).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
-        s, e = part(ID_BITS + 6, 6), part(ID_BITS, 6)
-        fields = [s.alias("s"), e.alias("e"), part(0, ID_BITS).alias("id"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - 1).bitwiseAND(F.bitwise_not(_bit(s + 1) - 1)).alias("inner")]
-        return F.struct(*fields, *([x["score"].alias("score")] if pieces.unigram else []))
-
-    kept = F.filter("all", lambda x: (x["code"] if pieces.unigram else x) >= 0)
-    return grouped.select("word", "n", "size", once(F.transform(F.array_sort(kept) if pieces.unigram else F.sort_array(kept), opened)).alias("edges"))
+        unknown = F.lit((-pieces.unknown_score << (PLACE_BITS + ID_BITS)) | NO_PIECE).cast("bigint")
+        place = (e * (1 << (COST_BITS + PLACE_BITS)) + s) * (1 << ID_BITS)
+    else:
+        unknown = F.lit((1 << 60) | NO_PIECE).cast("bigint")
+        place = (s * 64 + e) * (1 << ID_BITS)
+    return found.groupBy("word", "size").agg(F.sort_array(F.collect_list(F.coalesce("low", unknown) + place)).alias("edges"))
 
 
 def _spelled(char: Column, pieces: Pieces) -> Column:
@@ -123,173 +167,145 @@ def _spelled(char: Column, pieces: Pieces) -> Column:
     return F.transform(F.sequence(F.lit(1), F.octet_length(char)), lambda i: F.element_at(table, one(i) + 1))
 
 
-def _merge_bounds() -> Column:
-    """The mask of boundaries that the merges leave standing."""
-    n = F.col("size")
-    all_set = _bit(n + 1) - 1
-
-    def step(mask: Column, _: Column) -> Column:
-        fits = F.filter("edges", lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), mask)
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), all_set, step)
+def _viterbi(lattice: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) with the least sum of costs; of equals the last piece that begins
+    first. An edge's end only grows, so what leads to the ends before is settled."""
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).alias("e"), F.lit(0).cast("bigint").alias("best"))
+    long = lambda x: F.lit(x).cast("bigint")
+    below, place = long((1 << (COST_BITS + PLACE_BITS + ID_BITS)) - 1), long((1 << (PLACE_BITS + ID_BITS)) - 1)
+
+    def step(a: Column, x: Column) -> Column:
+        # A state is laid out as an edge below its end is: the cost so far, where the last piece begins, its id.
+        e, s = F.shiftright(x, COST_BITS + PLACE_BITS + ID_BITS).cast("int"), _part(x, ID_BITS, PLACE_BITS)
+        before = F.when(s == a["e"], a["best"]).otherwise(F.get(a["done"], s))
+        new = x.bitwiseAND(below) + before.bitwiseAND(F.bitwise_not(place))
+        same = e == a["e"]
+        return F.struct(
+            F.when(same, a["done"]).otherwise(F.concat(a["done"], F.array(a["best"]))).alias("done"),
+            e.alias("e"),
+            F.when(same, F.least(a["best"], new)).otherwise(new).alias("best"),
+        )
 
+    states = F.aggregate("edges", start, step, lambda a: F.concat(a["done"], F.array(a["best"])))
 
-def _viterbi_bounds(pieces: Pieces) -> tuple[Column, Column]:
-    """The states of all positions, and from them (the column ``states``) the
-    mask of boundaries of the cut with the best sum of scores."""
-    n, unknown = F.col("size"), F.lit(pieces.unknown_score)
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s")))
+    def back(a: Column, _: Column) -> Column:
+        x = F.get(F.col("states"), a["at"])
+        own = _part(x, 0, ID_BITS)
+        ids = F.when(own == NO_PIECE, _spelled(F.substring(F.col("word"), a["at"], F.lit(1)), pieces)).otherwise(F.array(own))
+        return F.when(a["at"] <= 0, a).otherwise(F.struct(_part(x, ID_BITS, PLACE_BITS).alias("at"), F.concat(ids, a["ids"]).alias("ids")))
 
-    def step(states: Column, e: Column) -> Column:
-        into = F.transform(
-            F.filter("edges", lambda x: x["e"] == e),
-            lambda x: F.struct((F.get(states, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s")),
-        )
-        alone = F.struct((F.get(states, e - 1)["score"] + unknown).alias("score"), (e - 1).alias("s"))
-        return F.concat(states, F.array(F.array_max(F.concat(into, F.array(alone)))))
+    end = F.struct(F.col("size").alias("at"), F.array().cast("array<int>").alias("ids"))
+    ids = F.aggregate(F.sequence(F.lit(1), F.col("size")), end, back, lambda a: a["ids"])
+    return lattice.select("word", "size", once(states).alias("states")).select("word", once(ids).alias("ids"))
 
-    states = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    start = F.struct(n.alias("at"), _bit(n).alias("mask"))
 
-    def back(a: Column, _: Column) -> Column:
-        s = F.get(F.col("states"), a["at"])["s"]
-        return F.when(a["at"] <= 0, a).otherwise(F.struct(s.alias("at"), a["mask"].bitwiseOR(_bit(s)).alias("mask")))
+def _merged(lattice: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) by the model's merges."""
 
-    return states, F.aggregate(F.sequence(F.lit(1), n), start, back, lambda a: a["mask"])
+    def opened(code: Column) -> Column:
+        s, e = _part(code, ID_BITS + 6, 6), _part(code, ID_BITS, 6)
+        ends, inner = _bit(s).bitwiseOR(_bit(e)), (_bit(e) - 1).bitwiseAND(F.bitwise_not(_bit(s + 1) - 1))
+        return F.struct(s.alias("s"), e.alias("e"), _part(code, 0, ID_BITS).alias("id"), ends.alias("ends"), inner.alias("inner"))
 
+    def step(mask: Column, _: Column) -> Column:
+        fits = F.filter("edges", lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1))
+        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), mask)
 
-def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, n, ids) of distinct, not empty words (word, n)."""
-    lattice = edges(words.filter(F.length("word") <= WIDE), pieces)
-    if pieces.unigram:
-        states, mask = _viterbi_bounds(pieces)
-        folded = lattice.withColumn("states", once(states)).withColumn("mask", once(mask))
-    else:
-        folded = lattice.withColumn("mask", once(_merge_bounds()))
+    whole = lattice.withColumn("edges", once(F.transform("edges", opened)))
+    mask = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))), _bit(F.col("size") + 1) - 1, step)
     stands = lambda p: F.call_function("shiftright", F.col("mask"), p).bitwiseAND(F.lit(1).cast("bigint")) == 1
-    bounds = folded.select("word", "n", "edges", once(F.filter(F.sequence(F.lit(0), F.col("size")), stands)).alias("at"))
+    bounds = whole.withColumn("mask", once(mask)).select("word", "edges", once(F.filter(F.sequence(F.lit(0), F.col("size")), stands)).alias("at"))
 
     def ids(s: Column, i: Column) -> Column:
-        e = F.get(F.col("at"), i + 1)
-        own = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        return F.when(own.isNotNull(), F.array(own)).otherwise(_spelled(F.substring(F.col("word"), s + 1, F.lit(1)), pieces))
+        own = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == F.get(F.col("at"), i + 1))), F.lit(0))["id"]
+        return F.when(own == NO_PIECE, _spelled(F.substring(F.col("word"), s + 1, F.lit(1)), pieces)).otherwise(F.array(own))
 
     inside = F.slice("at", F.lit(1), F.size("at") - 1)
-    narrow = bounds.select("word", "n", F.flatten(F.transform(inside, ids)).alias("ids"))
-    shared = words.sparkSession.sparkContext.broadcast(vars(pieces))
+    return bounds.select("word", once(F.flatten(F.transform(inside, ids))).alias("ids"))
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(**shared.value)
-        for batch in batches:
-            found = [own.cut(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
-    wide = words.filter(F.length("word") > WIDE).select("word", "n").mapInArrow(cut, "word string, n bigint, ids array<int>")
-    return narrow.unionByName(wide)
+def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of distinct words, none too wide to fold."""
+    lattice = edges(words, pieces)
+    return _viterbi(lattice, pieces) if pieces.unigram else _merged(lattice, pieces)
 
 
-def _hot_count(vocabulary: DataFrame, most: int) -> int:
-    """The least count such that no more than ``most`` words have it."""
-    steps = F.floor(F.log2("n") * 4).cast("int")
-    rows = sorted(vocabulary.groupBy(steps.alias("step")).agg(F.min("n"), F.count(F.lit(1))).collect(), reverse=True)
-    least, held = None, 0
-    for _, low, n in rows:
-        if held + n > most:
-            break
-        held, least = held + n, low
-    return least if least is not None else (rows[0][1] + 1 << 10 if rows else 1)
+def taken(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``values`` that ``at`` names, strung together, and their sizes."""
+    own = sizes[at]
+    ends = np.cumsum(own)
+    where = np.repeat(starts[at] - (ends - own), own)
+    where += np.arange(len(where))
+    return values[where], own
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", hot: int = HOT) -> DataFrame:
-    """Runs of ids of every text of ``docs``."""
-    spark, pieces = docs.sparkSession, load(model)
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scores: str = "rank") -> DataFrame:
+    """(doc_id, n_words, ids) of every row of ``docs``. ``scores`` says which scores:
+    "rank" for the unigram table of the model's pieces, "model" for the file's own."""
+    spark, pieces = docs.sparkSession, load(model, scores)
     texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # A partition's words fit a hash map; falling back to sorting them costs twice as much.
-    fallback = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(fallback)
-    spark.conf.set(fallback, str(GROUPS))
-    try:
-        ids = written(encoded_words(word_counts(texts, pieces), pieces), "encoded")
-    finally:
-        spark.conf.set(fallback, before)
-    table = ids.filter(F.col("n") >= _hot_count(ids, hot)).select("word", "ids").toArrow()  # at most ``hot`` rows
-    # A word's ids travel and stay as four bytes each: a fraction of a list's size.
-    codes = [np.array(x, "<i4").tobytes() for x in table["ids"].to_pylist()]
-    shared = spark.sparkContext.broadcast((vars(pieces), dict(zip(table["word"].to_pylist(), codes))))
-
-    def looked_up(batches: Iterable[pa.RecordBatch]):
-        """(batch, row, words, bytes of the ids of each or None) of every text."""
-        fields, known = shared.value
-        own = Pieces(**fields)
-        for batch in batches:
-            for row, text in enumerate(batch.column(1)):
-                parts = split(text.as_py(), own)
-                yield batch, row, parts, list(map(known.get, parts))
-
-    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, doc, first, count, offsets, values = None, [], [], [], [0], bytearray()
-
-        def flush():
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(bytes(values), "<i4")))
-            return pa.RecordBatch.from_arrays([last.column(0).take(pa.array(doc, pa.int64())), pa.array(first, pa.int64()), pa.array(count, pa.int64()), lists], ["doc_id", "first_word", "n_words", "ids"])
-
-        for batch, row, parts, found in looked_up(batches):
-            if doc and (batch is not last or len(values) > 1 << 20):
-                yield flush()
-                doc, first, count, offsets, values = [], [], [], [0], bytearray()
-            last, start = batch, 0
-            gaps = [i for i, x in enumerate(found) if x is None] if None in found else []
-            for gap in [*gaps, len(found)]:
-                if gap > start or not found:
-                    values += b"".join(found[start:gap])
-                    doc.append(row)
-                    first.append(start)
-                    count.append(gap - start)
-                    offsets.append(len(values) // 4)
-                start = gap + 1
-        if doc:
-            yield flush()
-
-    def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, doc, at, word = None, [], [], []
-
-        def flush():
-            return pa.RecordBatch.from_arrays([last.column(0).take(pa.array(doc, pa.int64())), pa.array(at, pa.int64()), pa.array(word, pa.string())], ["doc_id", "first_word", "word"])
-
-        for batch, row, parts, found in looked_up(batches):
-            if doc and (batch is not last or len(doc) > 1 << 16):
-                yield flush()
-                doc, at, word = [], [], []
-            last = batch
-            for i in [i for i, x in enumerate(found) if x is None] if None in found else ():
-                doc.append(row)
-                at.append(i)
-                word.append(parts[i])
-        if doc:
-            yield flush()
-
-    rest = texts.mapInArrow(rare, "doc_id bigint, first_word bigint, word string").join(ids.select("word", "ids"), "word")
-    return texts.mapInArrow(runs, RUN).unionByName(rest.select("doc_id", "first_word", F.lit(1).cast("bigint").alias("n_words"), "ids"))
-
-
-def gathered(runs: DataFrame) -> DataFrame:
-    """(doc_id, ids): one row for each id, its runs in order. Repeated rows count once."""
-    order = F.array_sort(F.collect_set(F.struct("first_word", "n_words", "ids")))
-    return runs.groupBy("doc_id").agg(F.flatten(F.transform(order, lambda r: r["ids"])).alias("ids"))
+    slices = sliced(texts, pieces).repartition("slice")
+    words = _words(slices).repartition("word")
+    # Read whole, so that one exchange serves this and the join: a filter pushed below it would make another.
+    first = words.groupBy("word").agg(F.min("slice").alias("slice"), F.min("number").alias("number"))
+    narrow = F.when((F.spark_partition_id() >= 0) & (F.col("slice") >= 0) & (F.col("number") >= 0), F.length("word") <= (WIDE if pieces.unigram else MASKED))
+    ids = words.join(encoded_words(first.filter(narrow).select("word"), pieces), "word", "left")
+    back = ids.select("slice", "number", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("wide"))
+    shared = spark.sparkContext.broadcast(vars(pieces))  # the model's size
+
+    def assembled(rows: pa.Table, words: pa.Table) -> pa.Table:
+        lists = words["ids"].combine_chunks()
+        sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        values = lists.flatten().to_numpy()
+        starts = np.cumsum(sizes) - sizes
+        if lists.null_count:
+            own = Pieces(**shared.value)
+            for i in np.nonzero(lists.is_null().to_numpy(zero_copy_only=False))[0].tolist():
+                found = np.array(own.cut(words["wide"][i].as_py()), np.int32)
+                starts[i], sizes[i] = len(values), len(found)
+                values = np.concatenate([values, found])
+        place = np.empty(len(sizes), np.int64)
+        place[words["number"].to_numpy()] = np.arange(len(sizes))
+        starts, sizes = starts[place], sizes[place]
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        out = []
+        for batch in rows.select(["doc_id", "codes"]).to_batches():
+            batch = batch.filter(batch.column(1).is_valid())
+            if batch.num_rows:
+                codes = [np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for c in batch.column(1).to_pylist()]
+                counts = np.array([len(c) for c in codes], np.int64)
+                found, own = taken(starts, sizes, values, np.concatenate(codes))
+                ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
+                out.append(pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype(np.int32)))], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    return slices.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(assembled, ENCODED)
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids", into: str = "text") -> DataFrame:
-    """``encoded`` with the text of its ids: pieces are strung together, bytes
-    put together to characters, and the space before the text is dropped.
-    No ids give an empty text, as null ids do."""
+    """``encoded`` with the text of its ids in the column ``into``, which is replaced if
+    there is one: pieces are strung together, bytes put together to characters, and
+    the space before the text is dropped. No ids and null give an empty text. An id
+    that the model doesn't have, or null, gives U+FFFD."""
     pieces = load(model)
-    code = ["" if k == CONTROL else f"{pieces.byte_id.index(i):02X}" if k == BYTE else t.encode().hex().upper() for i, (t, k) in enumerate(zip(pieces.text_of, pieces.kind_of))]
-    shared = encoded.sparkSession.sparkContext.broadcast(code)
+    code = [b"" if k == CONTROL else bytes([pieces.byte_id.index(i)]) if k == BYTE else t.encode() for i, (t, k) in enumerate(zip(pieces.text_of, pieces.kind_of))]
+    shared = encoded.sparkSession.sparkContext.broadcast([*code, "�".encode()])  # the model's size
 
     @F.pandas_udf("string")
     def spelled(column):
+        import pandas as pd
+
         table = shared.value
-        return column.map(lambda x: bytes.fromhex("".join([table[i] for i in x])).decode("utf-8", "replace")[1:] if x is not None else "")
+        sizes = np.array([len(c) for c in table], np.int64)
+        values, starts, last = np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, len(table) - 1
+
+        def text(x) -> str:
+            if x is None or not len(x):
+                return ""
+            at = np.asarray(x, np.float64) if not isinstance(x, np.ndarray) or x.dtype.kind != "i" else x
+            at = np.where((at >= 0) & (at < last), at, last).astype(np.int64)  # null comes as NaN
+            return taken(starts, sizes, values, at)[0].tobytes().decode("utf-8", "replace").removeprefix(" ")
+
+        return pd.Series([text(x) for x in column], dtype=object)
 
     return encoded.withColumn(into, spelled(F.col(ids)))

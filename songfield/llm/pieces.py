@@ -5,11 +5,19 @@ two kinds of models differ in how a word is cut into pieces: a unigram model
 takes the cut with the best sum of scores, a BPE model the one its merges
 lead to. Both only ever cut a word where its text allows, so a text falls apart
 into words that are cut by themselves.
+
+A BPE model's own scores say which merge comes first and don't add up. ``load``
+can therefore read any model's pieces as a unigram table by a stated rule
+(``scores="rank"``): a piece's probability falls as one over its place among the
+model's pieces (Zipf's law), so its score is minus the logarithm of that place.
+Scores of unigram tables are whole millionths, so that sums are exact, equal
+wherever they are computed, and ties are ties.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -18,6 +26,8 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+#: A unigram score's unit is one millionth.
+UNIT = 1_000_000
 
 
 @dataclass
@@ -26,7 +36,7 @@ class Pieces:
 
     unigram: bool
     id_of: dict[str, int]
-    score_of: dict[str, float]
+    score_of: dict[str, float]  # whole millionths in a unigram table
     byte_id: list[int]
     unknown_id: int
     unknown_score: float
@@ -74,8 +84,9 @@ class Pieces:
         return out
 
     def best(self, word: str) -> list[str]:
-        """A word's pieces with the best sum of scores."""
-        total, start = [0.0], [0]
+        """A word's pieces with the best sum of scores; of equals the last piece that
+        begins first."""
+        total, start = [0], [0]
         for end in range(1, len(word) + 1):
             options = [(total[end - 1] + self.score_of.get(word[end - 1], self.unknown_score), end - 1)]
             for s in range(max(0, end - self.longest), end - 1):
@@ -104,19 +115,13 @@ class Pieces:
             known = self._fits[key] = self.merged(left + right) == [x for x in key if x]
         return known
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids, with the space that encoding puts before it removed."""
-        out = bytearray()
-        for i in ids:
-            if self.kind_of[i] == BYTE:
-                out.append(self.byte_id.index(i))
-            elif self.kind_of[i] != CONTROL:
-                out += self.text_of[i].encode()
-        return out.decode("utf-8", "replace")[1:]
-
 
-def load(path: str = DEFAULT_MODEL) -> Pieces:
-    """Reads a model file, and checks that it is one whose words stand apart."""
+def load(path: str = DEFAULT_MODEL, scores: str = "model") -> Pieces:
+    """Reads a model file, and checks that it is one whose words stand apart.
+    ``scores`` is "model" for the file's own, or "rank" for the unigram table that
+    follows from the places of its pieces."""
+    if scores not in ("model", "rank"):
+        raise ValueError(f"scores are the model's or by rank, not {scores!r}")
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
@@ -138,9 +143,12 @@ def load(path: str = DEFAULT_MODEL) -> Pieces:
         for a, b in zip(t, t[1:]):
             if (letter.match(a) and not letter.match(b)) or (b == " " and a != " ") or "\n" in (a, b):
                 raise ValueError(f"piece {t!r} goes on past the end of a word")
-    score_of = {t: proto.pieces[i].score for t, i in id_of.items()}
     byte_id = [i for i, k in enumerate(kind_of) if k == BYTE]
+    unigram = kind == 1 or scores == "rank"
+    own = {t: proto.pieces[i].score for t, i in id_of.items()} if scores == "model" else {t: -math.log(place) for place, t in enumerate(id_of, 1)}
+    score_of = {t: round(x * UNIT) for t, x in own.items()} if unigram else own
+    unknown = min(score_of.values()) - UNKNOWN_PENALTY * (UNIT if unigram else 1)
     return Pieces(
-        kind == 1, id_of, score_of, byte_id, proto.trainer_spec.unk_id, min(score_of.values()) - UNKNOWN_PENALTY,
+        unigram, id_of, score_of, byte_id, proto.trainer_spec.unk_id, int(unknown) if unigram else unknown,
         max(map(len, id_of)), text_of, kind_of, rf" *+{others}*+{letters}+|\n| *+{others}+| ++",
     )

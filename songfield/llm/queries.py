@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, jaccard, lattice, mixing, nearest, quality, sharding, substrings, tokencounts, toxicity
+from songfield.llm import archives, jaccard, lattice, mixing, nearest, pieces, quality, sharding, substrings, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,8 +137,59 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of all documents, as runs of words."""
-    return lattice.encode(_table(spark, sf_dir, "documents"))
+    """The ids of all documents, and a digest of what they decode to."""
+    found = lattice.decode(lattice.encode(_table(spark, sf_dir, "documents")), into="decoded")
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
+
+
+def pieces_sql(model: str = pieces.DEFAULT_MODEL) -> str:
+    """Common table expressions: ``p`` (t, id, cost), the unigram table of the model's
+    pieces by its rule, and ``i`` (word, ids), the cheapest cut of each word of the
+    documents. Words are parted at spaces and line ends only; no piece reaches across."""
+    own = pieces.load(model, "rank")
+    ids = list(own.id_of.values())
+    if ids != list(range(ids[0], ids[0] + len(ids))) or own.byte_id != list(range(own.byte_id[0], own.byte_id[0] + 256)) or any("\n" in t for t in own.id_of):
+        raise ValueError("pieces or bytes aren't numbered in a row")
+    text = "\n".join(own.id_of).replace("'", "''")
+    return rf"""
+l AS (SELECT string_split('{text}', chr(10)) AS l),
+p AS (SELECT unnest(l) AS t, generate_subscripts(l, 1) + {ids[0] - 1} AS id, round(1000000 * ln(generate_subscripts(l, 1)))::BIGINT AS cost FROM l),
+x AS (SELECT max(cost) + 10000000 AS unknown FROM p),
+d AS (SELECT doc_id, coalesce(text, '') AS text,
+             CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(' ' || replace(text, '{pieces.SPACE}', ' '), ' *[^ 
+]+|
+| +') END AS words
+      FROM documents),
+v AS (SELECT DISTINCT unnest(words) AS word FROM d),
+s AS (SELECT word, unnest(range(length(word)))::INTEGER AS s FROM v),
+c AS (SELECT word, s, unnest(range(1, least({own.longest}, length(word) - s) + 1))::INTEGER AS n FROM s),
+e AS (SELECT word, s, s + n AS e, coalesce(id, -1) AS id, coalesce(cost, unknown) AS cost FROM c CROSS JOIN x LEFT JOIN p ON t = substring(word, s + 1, n) WHERE id IS NOT NULL OR n = 1),
+g AS (SELECT word, e, list({{'cost': cost, 's': s, 'id': id}}) AS into_e FROM e GROUP BY word, e),
+r AS (SELECT word, 0 AS e, [{{'cost': 0::BIGINT, 's': 0, 'id': 0::BIGINT}}] AS states FROM v
+      UNION ALL
+      SELECT r.word, r.e + 1, list_append(states, list_min(list_transform(into_e, lambda y: {{'cost': states[y.s + 1].cost + y.cost, 's': y.s, 'id': y.id}})))
+      FROM r JOIN g ON g.word = r.word AND g.e = r.e + 1),
+b AS (SELECT word, states, e AS pos, []::BIGINT[] AS ids FROM r WHERE e = length(word)
+      UNION ALL
+      SELECT word, states, states[pos + 1].s,
+             CASE WHEN states[pos + 1].id >= 0 THEN [states[pos + 1].id]
+                  ELSE list_transform(range(strlen(word[pos:pos])), lambda k: ('0x' || hex(word[pos:pos])[2 * k + 1:2 * k + 2])::BIGINT + {own.byte_id[0]}) END || ids
+      FROM b WHERE pos > 0),
+i AS (SELECT word, ids FROM b WHERE pos = 0),
+q AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
+o AS (SELECT doc_id, flatten(list(ids ORDER BY place)) AS ids FROM q JOIN i USING (word) GROUP BY doc_id)
+"""
+
+
+def _op3_sql() -> str:
+    return f"""WITH RECURSIVE {pieces_sql()}
+SELECT doc_id, len(coalesce(ids, []))::BIGINT AS n_ids, list_transform(coalesce(ids, []), lambda z: z::INTEGER) AS ids, md5(replace(text, '{pieces.SPACE}', ' ')) AS decoded_md5
+FROM d LEFT JOIN o USING (doc_id)"""
+
+
+def _op9_sql() -> str:
+    return f"""WITH RECURSIVE {pieces_sql()}
+SELECT doc_id, lang, source, len(coalesce(ids, []))::BIGINT AS n_tokens FROM documents LEFT JOIN o USING (doc_id)"""
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,4 +228,9 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_archives": op10_archives,
 }
+#: SQL that needs no more than the tables; ``oracle_sql`` adds what is made from a model's pieces.
 ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_archives": OP10_SQL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLE_SQL | {"op3_sentencepiece": _op3_sql(), "op9_token_counts": _op9_sql()}

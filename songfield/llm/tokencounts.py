@@ -7,15 +7,16 @@ below it. The state at a word's end is its count; a document's count is the
 sum over its words. Counts of the words met first stay with the worker, up to a
 fixed number.
 
-For a unigram model the forward state holds the best score. For a BPE model
-scores say when to merge and don't add up, so a sum of them gives other cuts
-than the model's; there the state holds the last piece, and the next piece is
-the one that the merges put after it. The cut of a text's start is the start of
-its cut in either kind, which is what makes states of prefixes enough.
+For a unigram table the forward state holds the best score. A BPE model's own
+scores say when to merge and don't add up; with ``scores="model"`` on one the
+state holds the last piece, and the next piece is the one that the merges put
+after it. The cut of a text's start is the start of its cut in either kind,
+which is what makes states of prefixes enough.
 
 A null or empty text has no tokens; a word costs time in proportion to its
 length, however long; repeated rows give repeated results; there is no
-exchange, and no task keeps more than a slice of documents and a bounded store.
+exchange, and no task keeps more than a slice of documents and a bounded store;
+an empty table gives no rows. A column that is called as the count is replaced.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class Trie:
         self.word = ""
         self.count = [0]
         self.last = [""]  # BPE: the piece that ends here
-        self.total = [0.0]  # unigram: the best score up to here
+        self.total = [0]  # unigram: the best score up to here
         self.nodes = 0
 
     def insert(self, word: str) -> int:
@@ -79,7 +80,7 @@ class Trie:
             piece = word[start:end]
         last.append(piece)
         self.count.append(self.count[start] + self._cost(piece))
-        self.total.append(0.0)
+        self.total.append(0)
 
     def _unigram(self, word: str, end: int) -> None:
         p, total = self.p, self.total
@@ -106,10 +107,11 @@ def counts(texts: list[str | None], pieces: Pieces, kept: dict[str, int]) -> lis
     return out
 
 
-def count_tokens(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", into: str = "n_tokens") -> DataFrame:
-    """``docs`` without its text but with its token count. Columns that are
+def count_tokens(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", into: str = "n_tokens", scores: str = "rank") -> DataFrame:
+    """``docs`` without its text but with its token count, by the unigram table of the
+    model's pieces or (``scores="model"``) by the model's own scores. Columns that are
     neither an id nor short belong elsewhere: select before."""
-    shared = docs.sparkSession.sparkContext.broadcast(vars(load(model)))  # the model file's size
+    shared = docs.sparkSession.sparkContext.broadcast(vars(load(model, scores)))  # the model file's size
     rest = [f for f in docs.schema.fields if f.name not in (text, into)]
     names = [f.name for f in rest]
 

@@ -127,13 +127,13 @@ def unigram(tmp_path_factory):
 
 
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
-def test_ids_are_the_librarys(spark, docs, odd_texts, unigram, kind):
+def test_ids_are_the_librarys(spark, odd_texts, unigram, kind):
     import sentencepiece
 
     path = pieces.DEFAULT_MODEL if kind == "bpe" else unigram
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = table(spark, [(i, t, "x") for i, t in enumerate(odd_texts)])
-    got = {r["doc_id"]: r for r in lattice.decode(lattice.gathered(lattice.encode(rows, path, hot=100)), path).collect()}
+    got = {r["doc_id"]: r for r in lattice.decode(lattice.encode(rows, path, scores="model"), path).collect()}
     for i, t in enumerate(odd_texts):
         want = library.encode(t or "")
         if kind == "bpe":
@@ -143,6 +143,51 @@ def test_ids_are_the_librarys(spark, docs, odd_texts, unigram, kind):
         assert got[i]["text"] == (t or "").replace("▁", " ")
 
 
+def plain_viterbi(text, own):
+    """The cheapest cut of a whole text, looked for at every place, without words."""
+    text = " " + text.replace("▁", " ") if text else ""
+    best = [(0, 0, [])]
+    for e in range(1, len(text) + 1):
+        options = []
+        for s in range(max(0, e - own.longest), e):
+            piece = text[s:e]
+            if piece in own.id_of:
+                options.append((best[s][0] - own.score_of[piece], s, [own.id_of[piece]]))
+            elif s == e - 1:
+                options.append((best[s][0] - own.unknown_score, s, [own.byte_id[x] for x in piece.encode()]))
+        cost, s, ids = min(options)
+        best.append((cost, s, ids))
+    out, e = [], len(text)
+    while e:
+        out[:0] = best[e][2]
+        e = best[e][1]
+    return out
+
+
+def test_cuts_by_rank_are_the_cheapest(spark, odd_texts, monkeypatch):
+    """Whole texts against brute force, whatever the slices; repeats, null ids and wide words too."""
+    own = pieces.load(scores="rank")
+    texts = [*odd_texts, odd_texts[4], "x" * 1500 + "é" * 600 + " end", "it's a (tale) of " * 4000]
+    rows = spark.createDataFrame([*[(i, t, 9) for i, t in enumerate(texts)], (None, "no id", 9), (3, texts[3], 9)], "doc_id bigint, text string, ids int")
+    want = collections.Counter({(i, tuple(plain_viterbi(t or "", own))): 1 for i, t in enumerate(texts)})
+    want.update([(None, tuple(plain_viterbi("no id", own))), (3, tuple(plain_viterbi(texts[3], own)))])
+    for held in (lattice.HELD, 5):
+        monkeypatch.setattr(lattice, "HELD", held)
+        got = lattice.decode(lattice.encode(rows)).collect()
+        assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+        assert all(r["text"] == (texts[r["doc_id"]] or "").replace("▁", " ") for r in got if r["doc_id"] is not None)
+    counts = collections.Counter((r["doc_id"], r["n_tokens"]) for r in tokencounts.count_tokens(rows).collect())
+    assert counts == collections.Counter((i, len(ids)) for i, ids in want.elements())
+    assert lattice.encode(rows.limit(0)).count() == 0 and tokencounts.count_tokens(rows.limit(0)).count() == 0
+
+
+def test_decode_of_ids_that_arent_there(spark):
+    rows = spark.createDataFrame([(1, [-1, 500, 40000, None]), (2, None), (3, []), (4, [1, 0xE6 + 3, 0x97 + 3, 0xA5 + 3])], "doc_id bigint, ids array<int>")
+    got = {r["doc_id"]: r["text"] for r in lattice.decode(rows).collect()}
+    piece = pieces.load().text_of[500]
+    assert got == {1: f"�{piece}��", 2: "", 3: "", 4: "日"}
+
+
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_counts_are_the_librarys(spark, odd_texts, unigram, kind):
     import sentencepiece
@@ -150,7 +195,7 @@ def test_counts_are_the_librarys(spark, odd_texts, unigram, kind):
     path = pieces.DEFAULT_MODEL if kind == "bpe" else unigram
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = table(spark, [(i, t, "x") for i, t in enumerate(odd_texts)])
-    got = {r["doc_id"]: r["n_tokens"] for r in tokencounts.count_tokens(rows, path).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencounts.count_tokens(rows, path, scores="model").collect()}
     assert got == {i: len(library.encode(t or "")) for i, t in enumerate(odd_texts)}
 
 
