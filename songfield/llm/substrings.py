@@ -17,13 +17,14 @@ each passage's length of text, whatever the text.
    similarity, counted over the whole stretch.
 4. Where a passage doesn't hold a window whole, all stretches of ``least`` words
    in the windows of its key meet by a hash of the stretch: here the first
-   document shares just what the others share.
-5. A window that lies in no passage yet is compared with all windows of its key
-   in earlier documents.
+   document shares just what the others share. So every exact repeat is found.
+5. A passage as similar as 0.8 has a word changed in some 50 at most, so a run of
+   21 n-grams in it is whole. Around windows that lie in no passage yet, all such
+   runs meet by a hash of the run, again with the first document that has it.
 
-A passage of ``least`` words that stands in two texts has the same smallest
-n-gram in both under every function, so by 4 every exact repeat is found; a near
-one is as likely as two functions' minima survive.
+In 1, 4 and 5 a document is only ever compared with the first that has a key, so
+the work grows with the text and not with the square of a group, however many
+documents share a line.
 
 The later document (larger id) is the copy. Repeats inside one document aren't
 looked for. Null ids and null or short texts have no passages; rows that repeat
@@ -120,19 +121,20 @@ def document_windows(ids: list[int], sequences: list[np.ndarray], least: int, fu
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def joint_windows(own: list[dict], width: int, functions: int, enough: int) -> list[tuple]:
-    """(key, exact, c, c2, l, r) of one text's windows under ``enough`` functions at
-    once: around the smallest n-grams of all of them, keyed by these. ``exact`` marks
-    the first functions; every stretch of ``width`` is in just one such window."""
-    names = ("key", "c", "l", "r")
-    of = [np.array([[w[n] for n in names] for w in sorted((w for w in own if w["f"] == f), key=lambda w: w["c"])], np.int64).reshape(-1, 4).T for f in range(functions)]
+def joint_windows(row, f, key, c, l, r, width: int, functions: int, enough: int) -> list[np.ndarray]:
+    """(row, key, exact, c, c2, l, r) arrays of the windows of texts (``row`` says whose)
+    under ``enough`` functions at once: around the smallest n-grams of all of them,
+    keyed by these. ``exact`` marks the first functions; every stretch of ``width`` is
+    in just one such window."""
+    base = row << 32  # texts one after another, so that a window's neighbours are its text's
+    order = np.argsort(base + c, kind="stable")
+    every = [np.stack([key, base + c, base + l, base + r])[:, order[f[order] == g]] for g in range(functions)]
     out = []
     for number, chosen in enumerate(itertools.combinations(range(functions), enough)):
-        key, c, l, r = of[chosen[0]]
-        low = high = c
-        last = c
-        for f in chosen[1:]:
-            key2, c2, l2, r2 = of[f]
+        key, c, l, r = every[chosen[0]]
+        low = high = last = c
+        for g in chosen[1:]:
+            key2, c2, l2, r2 = every[g]
             # The other's places inside a window are neighbours in its order.
             begin, end = np.searchsorted(c2, l), np.searchsorted(c2, r, side="right")
             i = np.repeat(np.arange(len(l)), end - begin)
@@ -142,33 +144,36 @@ def joint_windows(own: list[dict], width: int, functions: int, enough: int) -> l
             key = mixed(key[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key2[j].view(np.uint64)).view(np.int64)
             fits = (l <= low) & (r >= high) & (r - l + 1 >= width)
             key, c, last, low, high, l, r = (x[fits] for x in (key, c, last, low, high, l, r))
-        out += zip(key.tolist(), [number == 0] * len(key), c.tolist(), last.tolist(), l.tolist(), r.tolist())
-    return out
-
-
-def regions(hits: list[dict], width: int) -> list[tuple[int, int, list[int]]]:
-    """(start, end, offsets) where shared windows overlap or lie near each other,
-    with a block more on both sides: a near passage may go on there."""
-    rows = set()
-    for h in hits:
-        ds = (h["ac"] - h["c"], h["ac2"] - h["c2"])
-        for d in ds:
-            s, e = max(h["l"], h["al"] - d), min(h["r"], h["ar"] - d)
-            if e - s + 1 >= width and abs(ds[0] - ds[1]) <= SLACK:
-                rows.add((s, e, d))
-    done, open_ = [], []
-    for s, e, d in sorted(rows):
-        done += [region for region in open_ if s > region[1] + 2 * BLOCK]
-        open_ = [region for region in open_ if s <= region[1] + 2 * BLOCK]
-        for region in open_:
-            if abs(d - region[3]) <= SLACK:
-                region[1] = max(region[1], e)
-                region[2].add(d)
-                region[3] = d
-                break
-        else:
-            open_.append([s, e, {d}, d])
-    return [(max(0, s - BLOCK), e + BLOCK, sorted(ds)) for s, e, ds, _ in done + open_]
+        own = c >> 32
+        out.append((own, key, np.full(len(key), number == 0), *((x - (own << 32)).astype(np.int32) for x in (c, last, l, r))))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def regions(row, c, c2, l, r, ac, ac2, al, ar, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, offsets' ends, offsets) where windows that two texts share
+    (``row`` says which two) overlap or lie near each other at offsets that differ
+    little, with a block more on both sides: a near passage may go on there."""
+    d = np.concatenate([ac - c, ac2 - c2])
+    row, l, r, al, ar = (np.concatenate([x, x]) for x in (row, l, r, al, ar))
+    s, e = np.maximum(l, al - d), np.minimum(r, ar - d)
+    near = np.abs((ac - c) - (ac2 - c2)) <= SLACK
+    fits = (e - s + 1 >= width) & np.concatenate([near, near])
+    row, s, e, d = (x[fits] for x in (row, s, e, d))
+    order = np.lexsort((d, row))
+    row, s, e, d = (x[order] for x in (row, s, e, d))
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (d[1:] - d[:-1] > SLACK)
+    band = np.cumsum(first)
+    order = np.lexsort((s, band))
+    row, s, e, d, band = (x[order] for x in (row, s, e, d, band))
+    reach = np.maximum.accumulate((band << 32) + e)  # of what came before in the band
+    first[1:] = (band[1:] != band[:-1]) | (s[1:] > reach[:-1] - (band[1:] << 32) + 2 * BLOCK)
+    number = np.cumsum(first) - 1
+    at = np.nonzero(first)[0]
+    end = np.maximum.reduceat(e, at) if len(at) else e
+    pairs = np.unique(np.stack([number, d], axis=1), axis=0)
+    ends = np.cumsum(np.bincount(pairs[:, 0], minlength=len(at))) if len(at) else np.zeros(0, np.int64)
+    return row[at], np.maximum(0, s[at] - BLOCK), end + BLOCK, ends, pairs[:, 1]
 
 
 def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: int, similarity: float) -> list[tuple[int, int, int, float]]:
@@ -207,6 +212,12 @@ def passages(copy: np.ndarray, source: np.ndarray, offsets: list[int], width: in
     return found
 
 
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of lists of structs of integers: whose each struct is, and the fields."""
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), counts), [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()]
+
+
 def stretch_hashes(own: np.ndarray, width: int) -> np.ndarray:
     """A hash of every stretch of ``width`` n-grams."""
     return grams(own, width)
@@ -216,7 +227,7 @@ WINDOW = "key bigint, doc bigint, digest bigint, f int, c int, l int, r int"
 JOINT = "key bigint, doc bigint, digest bigint, exact boolean, c int, c2 int, l int, r int"
 #: Columns of a window, as those of a source's.
 SOURCE = {"doc": "source", "digest": "source_digest", "c": "ac", "c2": "ac2", "l": "al", "r": "ar"}
-STRETCH = "key bigint, doc bigint, digest bigint, at int"
+STRETCH = "key bigint, doc bigint, digest bigint, at int, size int"
 REGION = "doc bigint, digest bigint, source bigint, source_digest bigint, start int, end int, offsets array<int>"
 PASSAGE = "doc_id bigint, start_word int, end_word int, source_id bigint, source_start int, similarity double, digest bigint"
 
@@ -226,6 +237,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     words start_word up to end_word of a document are a copy of its source's. Where
     rows of one id have several texts, digest, xxhash64 of the text, says which."""
     width = least - GRAM + 1
+    run = _whole_run(width, similarity)
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text")).filter("doc IS NOT NULL")
 
@@ -262,12 +274,11 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [(w[0], doc, digest, *w[1:]) for doc, digest, own in zip(*(c.to_pylist() for c in part.columns)) for w in joint_windows(own, width, functions, enough)]
-                cols = list(zip(*out)) or [()] * 8
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()] + [pa.int32()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["key", "doc", "digest", "exact", "c", "c2", "l", "r"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                row, own = flat(part.column(2))
+                row, *found = joint_windows(row, *own, width, functions, enough)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *map(pa.array, found[1:])], ["key", "doc", "digest", "exact", "c", "c2", "l", "r"])
 
     def heads_of(rows: DataFrame) -> DataFrame:
         """The first window of each key that several documents have."""
@@ -283,34 +294,55 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
         held = F.exists("spans", lambda p: (p["start_word"] <= start) & (p["end_word"] >= end))
         return F.coalesce(held, F.lit(False))
 
+    def by_stretches(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Passages where a stretch of ``size`` n-grams, somewhere from begin to end and not
+        in a passage yet, is that of the first document that has it."""
+        wanted = rows.groupBy("doc", "digest").agg(F.collect_set(F.struct("size", "begin", "end")).alias("wanted"))
+
+        def stretched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    row, (sizes, first, last) = flat(part.column(3))
+                    found = []
+                    for i, text in enumerate(part.column(2)):
+                        whole = sequence(text.as_py())
+                        for size in np.unique(sizes[row == i]).tolist():
+                            own, mine = stretch_hashes(whole, size), (row == i) & (sizes == size)
+                            steps = np.zeros(len(own) + 1, np.int64)
+                            np.add.at(steps, first[mine], 1)
+                            np.add.at(steps, np.minimum(last[mine] - size + 2, len(own)), -1)
+                            where = np.nonzero(np.cumsum(steps[:-1]) > 0)[0]
+                            found.append((own[where], np.full(len(where), i), where, np.full(len(where), size)))
+                    key, of, where, size = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(c).take(pa.array(of)) for c in (0, 1)), pa.array(where.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "doc", "digest", "at", "size"])
+
+        stretches = written(texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
+        places = stretches.select("key", "doc", "digest", F.col("at").alias("c"), F.col("at").alias("c2"), F.col("at").alias("l"), (F.col("at") + F.col("size") - 1).alias("r"))
+        copies = spread(places, found).filter(~inside(F.col("l"), F.col("r") + GRAM)).drop("spans")
+        return _verified(texts, copies.join(heads_of(places), "key").filter("doc > source"), width, similarity, run)
+
     joint = written(own.mapInArrow(joined, JOINT), "joint")
     heads = heads_of(joint)
     joint = written(joint.join(heads.select("key"), "key"), "shared")
     found = written(_verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity), "passages")
 
-    # Exact stretches in windows that a passage doesn't hold whole meet by a hash of all their n-grams.
     low, high = F.least("c", "c2"), F.greatest("c", "c2")
     begin, end = F.greatest("l", high - (width - 1)), F.least("r", low + (width - 1))
-    exact = joint.filter("exact")
-    partly = spread(exact, found).join(heads, "key").filter((F.col("doc") > F.col("source")) & ~inside(begin, end + GRAM)).select("key").distinct()
-    wanted = exact.join(partly, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct(begin.alias("begin"), end.alias("end"))).alias("wanted"))
-
-    def stretched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, digest, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                own = stretch_hashes(sequence(text.as_py()), width)
-                at = np.unique(np.concatenate([np.arange(p["begin"], p["end"] - width + 2) for p in spans]))
-                yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), pa.array([doc] * len(at), pa.int64()), pa.array([digest] * len(at), pa.int64()), pa.array(at.astype(np.int32))], ["key", "doc", "digest", "at"])
+    beside = written(spread(joint, found).join(heads, "key").select("key", "exact", ((F.col("doc") > F.col("source")) & ~inside(begin, end + GRAM)).alias("partly"), ((F.col("doc") > F.col("source")) & ~inside(low, high + GRAM)).alias("left")).filter("partly OR left"), "beside")
+    # Exact stretches in windows that a passage doesn't hold whole meet by a hash of all their n-grams;
+    # in windows that lie in no passage, what a near passage leaves whole meets by a hash of it.
+    exact = joint.filter("exact").join(beside.filter("exact AND partly").select("key").distinct(), "key").select("doc", "digest", F.lit(width).alias("size"), begin.alias("begin"), end.alias("end"))
+    near = joint.join(beside.filter("left").select("key").distinct(), "key").select("doc", "digest", F.lit(run).alias("size"), begin.alias("begin"), end.alias("end"))
+    return _longest(found.unionByName(by_stretches(exact.unionByName(near), found)))
 
-    stretches = written(texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
-    places = stretches.select("key", "doc", "digest", "at", F.col("at").alias("c"), F.col("at").alias("c2"), F.col("at").alias("l"), (F.col("at") + width - 1).alias("r"))
-    copies = spread(places, found).filter(~inside(F.col("at"), F.col("at") + least)).drop("spans")
-    found = written(found.unionByName(_verified(texts, copies.join(heads_of(places), "key").filter("doc > source"), width, similarity)), "passages")
 
-    # Windows that still lie in no passage meet all windows of their key in earlier documents.
-    left = spread(joint, found).join(heads.select("key", "source"), "key").filter((F.col("doc") > F.col("source")) & ~inside(low, high + GRAM)).drop("spans", "source")
-    every = joint.select("key", *(F.col(a).alias(b) for a, b in SOURCE.items()))
-    return _longest(found.unionByName(_verified(texts, written(left, "left").join(every, "key").filter("doc > source"), width, similarity)))
+def _whole_run(width: int, similarity: float) -> int:
+    """The n-grams that follow each other unchanged somewhere in any passage of at
+    least ``width``: each word that is changed, or put in, takes GRAM - 1 of them or
+    more, and one more part is left than such words."""
+    most = lambda n: int(n - 2 * n * similarity / (1 + similarity) + 1e-9)  # noqa: E731  n-grams of n that may differ
+    return min(-(-(n - most(n)) // (most(n) // (GRAM - 1) + 1)) for n in range(width, 20 * width))
 
 
 def _longest(found: DataFrame) -> DataFrame:
@@ -326,19 +358,18 @@ def _longest(found: DataFrame) -> DataFrame:
     return kept.select("doc_id", "p.start_word", "p.end_word", "source_id", "p.source_start", "p.similarity", "digest")
 
 
-def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The passages in the regions that windows shared by two texts make."""
+def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float, held: int | None = None) -> DataFrame:
+    """The passages in the regions that windows shared by two texts make, where these
+    have ``held`` n-grams (``width`` of them if not given) in common."""
     key = ["doc", "digest", "source", "source_digest", "start", "end", "offsets"]
     pairs = hits.groupBy("doc", "digest", "source", "source_digest").agg(F.collect_list(F.struct("c", "c2", "l", "r", "ac", "ac2", "al", "ar")).alias("hits"))
 
     def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for *of, own in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(*of, s, e, ds) for s, e, ds in regions(own, width)]
-            cols = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], key)
+            row, own = flat(batch.column(4))
+            row, start, end, ends, offsets = regions(row, *own, held or width)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(offsets.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(4)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), lists], key)
 
     found = written(pairs.mapInArrow(swept, REGION), "regions")
     first_block = F.floor(F.greatest(F.lit(0), F.col("start") + F.array_min("offsets")) / BLOCK)
