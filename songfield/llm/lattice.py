@@ -121,8 +121,9 @@ def _part(code: Column, low: int, bits: int) -> Column:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, low): a piece's id and cost in the low bits of an edge's code, for
-    merges its id below the rank of its score, the best first."""
+    """(hash, text, low): a piece's id and cost in the low bits of an edge's code, for
+    merges its id below the rank of its score, the best first. Pieces are found by
+    a hash of their text, which a join looks up faster, and then compared."""
     if len(pieces.text_of) >= NO_PIECE:
         raise ValueError("more pieces than an edge has bits for")
     if pieces.unigram:
@@ -132,7 +133,7 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     else:
         rank = {s: r for r, s in enumerate(sorted(set(pieces.score_of.values()), reverse=True))}
         rows = [(t, (rank[pieces.score_of[t]] << (12 + ID_BITS)) | i) for t, i in pieces.id_of.items()]
-    return spark.createDataFrame(rows, "piece string, low bigint").coalesce(1)
+    return spark.createDataFrame(rows, "text string, low bigint").coalesce(1).select(F.xxhash64("text").alias("hash"), "text", "low")
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -145,8 +146,8 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     stop = F.least(F.col("size"), F.col("s") + pieces.longest)
     spans = starts.select("word", "size", "s", F.explode(F.sequence(F.col("s") + 1, stop)).alias("e"))
     cut = spans.withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s")))
-    found = cut.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece", "left")  # the model's size
-    found = found.filter(F.col("low").isNotNull() | (F.col("e") == F.col("s") + 1))
+    found = cut.withColumn("hash", F.xxhash64("piece")).join(F.broadcast(piece_table(words.sparkSession, pieces)), "hash", "left")  # the model's size
+    found = found.withColumn("low", F.when(F.col("text") == F.col("piece"), F.col("low"))).filter(F.col("low").isNotNull() | (F.col("e") == F.col("s") + 1))
     s, e = F.col("s").cast("bigint"), F.col("e").cast("bigint")
     if pieces.unigram:
         unknown = F.lit((-pieces.unknown_score << (PLACE_BITS + ID_BITS)) | NO_PIECE).cast("bigint")
@@ -249,7 +250,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scor
     # Read whole, so that one exchange serves this and the join: a filter pushed below it would make another.
     first = words.groupBy("word").agg(F.min("slice").alias("slice"), F.min("number").alias("number"))
     narrow = F.when((F.spark_partition_id() >= 0) & (F.col("slice") >= 0) & (F.col("number") >= 0), F.length("word") <= (WIDE if pieces.unigram else MASKED))
-    ids = words.join(encoded_words(first.filter(narrow).select("word"), pieces), "word", "left")
+    ids = words.join(encoded_words(first.filter(narrow).select("word"), pieces).hint("shuffle_hash"), "word", "left")  # a partition's distinct words
     back = ids.select("slice", "number", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("wide"))
     shared = spark.sparkContext.broadcast(vars(pieces))  # the model's size
 
@@ -269,14 +270,20 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scor
         starts, sizes = starts[place], sizes[place]
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int32()))])
         out = []
-        for batch in rows.select(["doc_id", "codes"]).to_batches():
-            batch = batch.filter(batch.column(1).is_valid())
-            if batch.num_rows:
-                codes = [np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for c in batch.column(1).to_pylist()]
-                counts = np.array([len(c) for c in codes], np.int64)
-                found, own = taken(starts, sizes, values, np.concatenate(codes))
-                ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
-                out.append(pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype(np.int32)))], schema=schema))
+        docs = rows.select(["doc_id", "codes"]).filter(rows["codes"].is_valid())
+        codes, at = docs["codes"], 0
+        while at < len(codes):  # some BATCH bytes at a time, or one document
+            own, size = [], 0
+            while at + len(own) < len(codes) and (not own or size + len(own[-1]) < BATCH):
+                own.append(codes[at + len(own)].as_buffer())
+                size += len(own[-1])
+            numbers = [np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for c in own]
+            counts = np.array([len(c) for c in numbers], np.int64)
+            found, each = taken(starts, sizes, values, np.concatenate(numbers))
+            ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
+            ids = docs["doc_id"].slice(at, len(own)).combine_chunks()
+            out.append(pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], schema=schema))
+            at += len(own)
         return pa.Table.from_batches(out, schema)
 
     return slices.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(assembled, ENCODED)

@@ -150,5 +150,5 @@ def load(path: str = DEFAULT_MODEL, scores: str = "model") -> Pieces:
     unknown = min(score_of.values()) - UNKNOWN_PENALTY * (UNIT if unigram else 1)
     return Pieces(
         unigram, id_of, score_of, byte_id, proto.trainer_spec.unk_id, int(unknown) if unigram else unknown,
-        max(map(len, id_of)), text_of, kind_of, rf" *+{others}*+{letters}+|\n| *+{others}+| ++",
+        max(map(len, id_of)), text_of, kind_of, rf" ?{letters}++| *+{others}++(?:{letters}++)?|\n| ++{letters}++| ++",
     )
