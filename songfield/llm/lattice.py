@@ -46,45 +46,51 @@ from songfield.llm.tokencounts import split
 #: Characters of a word that is folded: places in an edge's code, and bits of a mask.
 WIDE, MASKED = 1000, 60
 #: Distinct words and words of a slice, words of one row of them, bytes of a batch.
-HELD, LONG, CHUNK, BATCH = 1 << 18, 1 << 22, 4096, 1 << 20
+HELD, LONG, CHUNK, BATCH = 1 << 19, 1 << 23, 1 << 14, 1 << 20
+#: Words whose ids are sorted by slice at once.
+TOGETHER = 1 << 17
 #: Bits of an edge's places, id and cost: its end, its cost, its start and its id, from the top.
 PLACE_BITS, ID_BITS, COST_BITS = 10, 17, 26
 NO_PIECE = (1 << ID_BITS) - 1
-SLICED = "slice bigint, doc_id bigint, codes binary, first int, words array<string>"
+SLICED = "slice bigint, docs array<bigint>, counts array<int>, codes binary, first int, words binary, size int"
+ENTRIES = "slice bigint, steps array<int>, sizes array<smallint>, ids array<int>, wide array<string>"
 ENCODED = "doc_id bigint, n_words bigint, ids array<int>"
 
 
 def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
-    """SLICED rows of two kinds: a document with the numbers of its words in its
-    slice, and the words of a slice from number ``first`` on."""
+    """SLICED rows of two kinds: some documents with how many words each has and their
+    numbers in the slice, and the words of a slice from number ``first`` on."""
     shared = texts.sparkSession.sparkContext.broadcast(vars(pieces))  # the model's size
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number, size, length = Pieces(**shared.value), TaskContext.get().partitionId() << 24, 0, 0
         known, ids, codes = defaultdict(count().__next__), [], []
+        names, kinds = ["slice", "docs", "counts", "codes", "first", "words", "size"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((number, *values), kinds)], names)
 
         def documents():
-            n = len(ids)
-            columns = [pa.array([number] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, ["slice", "doc_id", "codes", "first", "words"])
+            # By bytes of one weight, of which the upper ones are mostly 0.
+            planes = np.concatenate(codes).view(np.uint8).reshape(-1, 4).T.tobytes()
+            return row(ids, [len(c) for c in codes], pa.compress(planes, "zstd", asbytes=True), None, None, None)
 
         def vocabulary():
             words = list(known)
             for at in range(0, len(words), CHUNK):
-                part = pa.array([words[at : at + CHUNK]], pa.list_(pa.string()))
-                columns = [pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), part]
-                yield pa.RecordBatch.from_arrays(columns, ["slice", "doc_id", "codes", "first", "words"])
+                # One word a line; the only word that holds a line end is that itself, and no word is empty.
+                text = "\n".join([w if w != "\n" else "" for w in words[at : at + CHUNK]]).encode()
+                yield row(None, None, None, at, pa.compress(text, "zstd", asbytes=True), len(text))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = split(text.as_py(), own)
-                numbers = np.fromiter(map(known.__getitem__, words), "<u4", len(words))
                 ids.append(doc)
-                codes.append(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())  # by bytes of one weight: the upper ones are mostly 0
-                size += len(codes[-1])
+                codes.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)))
+                size += len(words)
                 length += len(words)
                 full = len(known) >= HELD or length >= LONG
-                if size >= BATCH or full:
+                if size >= BATCH // 4 or full:
                     yield documents()
                     ids, codes, size = [], [], 0
                 if full:
@@ -103,15 +109,52 @@ def _words(slices: DataFrame) -> DataFrame:
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, first, words in zip(batch.column(0), batch.column(3), batch.column(4)):
+            for number, first, words, size in zip(*(batch.column(i) for i in (0, 4, 5, 6))):
                 if words.is_valid:
-                    n = len(words)
-                    columns = [words.values, pa.array(np.full(n, number.as_py())), pa.array(np.arange(first.as_py(), first.as_py() + n, dtype=np.int32))]
+                    lines = pa.decompress(words.as_buffer(), size.as_py(), "zstd", asbytes=True).decode().split("\n")
+                    own, n = pa.array([w or "\n" for w in lines], pa.string()), len(lines)
+                    columns = [own, pa.array(np.full(n, number.as_py())), pa.array(np.arange(first.as_py(), first.as_py() + n, dtype=np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, ["word", "slice", "number"])
 
     return slices.mapInArrow(rows, StructType([StructField("word", StringType(), False), StructField("slice", LongType(), False), StructField("number", IntegerType(), False)]))
 
 
+def _entries(words: DataFrame) -> DataFrame:
+    """ENTRIES: the words (slice, number, ids, wide) of one slice that are at hand
+    together in one row, by their numbers, each as its step from the one before. A
+    word too wide to be folded has the size -1 and its text."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            table = table.take(pa.array(np.lexsort((table["number"].to_numpy(), table["slice"].to_numpy()))))
+            own, numbers, lists = table["slice"].to_numpy(), table["number"].to_numpy(), table["ids"].combine_chunks()
+            new = own[1:] != own[:-1]
+            ends = np.append(np.nonzero(new)[0] + 1, len(own))
+            steps = np.concatenate([numbers[:1], np.where(new, numbers[1:], numbers[1:] - numbers[:-1])])
+            sizes = lists.value_lengths().fill_null(-1).to_numpy().astype(np.int16)
+            upto = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)[ends - 1]]).astype(np.int32))
+            each = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            wide = table["wide"].combine_chunks()
+            columns = [pa.array(own[ends - 1]), *(pa.ListArray.from_arrays(each, pa.array(x)) for x in (steps, sizes))]
+            columns += [pa.ListArray.from_arrays(upto(np.maximum(sizes, 0)), lists.flatten()), pa.ListArray.from_arrays(upto(sizes < 0), wide.drop_null())]
+            return pa.RecordBatch.from_arrays(columns, ["slice", "steps", "sizes", "ids", "wide"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= TOGETHER:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    return words.select("slice", "number", "ids", "wide").mapInArrow(rows, ENTRIES)
+
+
 def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
 
@@ -251,39 +294,34 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scor
     first = words.groupBy("word").agg(F.min("slice").alias("slice"), F.min("number").alias("number"))
     narrow = F.when((F.spark_partition_id() >= 0) & (F.col("slice") >= 0) & (F.col("number") >= 0), F.length("word") <= (WIDE if pieces.unigram else MASKED))
     ids = words.join(encoded_words(first.filter(narrow).select("word"), pieces).hint("shuffle_hash"), "word", "left")  # a partition's distinct words
-    back = ids.select("slice", "number", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("wide"))
+    back = _entries(ids.withColumn("wide", F.when(F.col("ids").isNull(), F.col("word"))))
     shared = spark.sparkContext.broadcast(vars(pieces))  # the model's size
 
     def assembled(rows: pa.Table, words: pa.Table) -> pa.Table:
-        lists = words["ids"].combine_chunks()
-        sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-        values = lists.flatten().to_numpy()
-        starts = np.cumsum(sizes) - sizes
-        if lists.null_count:
+        steps, sizes, values = (words[c].combine_chunks().flatten().to_numpy() for c in ("steps", "sizes", "ids"))
+        counts, sizes, numbers = words["steps"].combine_chunks().value_lengths().to_numpy(), sizes.astype(np.int64), np.cumsum(steps, dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        numbers -= np.repeat(numbers[first] - steps[first], counts)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        wide = np.nonzero(sizes < 0)[0]
+        if len(wide):
             own = Pieces(**shared.value)
-            for i in np.nonzero(lists.is_null().to_numpy(zero_copy_only=False))[0].tolist():
-                found = np.array(own.cut(words["wide"][i].as_py()), np.int32)
-                starts[i], sizes[i] = len(values), len(found)
-                values = np.concatenate([values, found])
+            cut = [own.cut(w) for w in words["wide"].combine_chunks().flatten().to_pylist()]
+            sizes[wide] = [len(x) for x in cut]
+            starts[wide] = len(values) + np.cumsum(sizes[wide]) - sizes[wide]
+            values = np.concatenate([values, np.array([i for x in cut for i in x], np.int32)])
         place = np.empty(len(sizes), np.int64)
-        place[words["number"].to_numpy()] = np.arange(len(sizes))
+        place[numbers] = np.arange(len(sizes))
         starts, sizes = starts[place], sizes[place]
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int32()))])
         out = []
-        docs = rows.select(["doc_id", "codes"]).filter(rows["codes"].is_valid())
-        codes, at = docs["codes"], 0
-        while at < len(codes):  # some BATCH bytes at a time, or one document
-            own, size = [], 0
-            while at + len(own) < len(codes) and (not own or size + len(own[-1]) < BATCH):
-                own.append(codes[at + len(own)].as_buffer())
-                size += len(own[-1])
-            numbers = [np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for c in own]
-            counts = np.array([len(c) for c in numbers], np.int64)
-            found, each = taken(starts, sizes, values, np.concatenate(numbers))
+        rows = rows.filter(rows["codes"].is_valid())
+        for docs, counts, codes in zip(rows["docs"], rows["counts"], rows["codes"]):
+            counts = counts.values.to_numpy().astype(np.int64)
+            planes = pa.decompress(codes.as_buffer(), 4 * int(counts.sum()), "zstd")
+            found, each = taken(starts, sizes, values, np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel())
             ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
-            ids = docs["doc_id"].slice(at, len(own)).combine_chunks()
-            out.append(pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], schema=schema))
-            at += len(own)
+            out.append(pa.RecordBatch.from_arrays([docs.values, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], schema=schema))
         return pa.Table.from_batches(out, schema)
 
     return slices.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(assembled, ENCODED)
