@@ -53,7 +53,7 @@ TOGETHER = 1 << 17
 PLACE_BITS, ID_BITS, COST_BITS = 10, 17, 26
 NO_PIECE = (1 << ID_BITS) - 1
 SLICED = "slice bigint, docs array<bigint>, counts array<int>, codes binary, first int, words binary, size int"
-ENTRIES = "slice bigint, steps array<int>, sizes array<smallint>, ids array<int>, wide array<string>"
+ENTRIES = "slice bigint, steps array<int>, sizes array<smallint>, ids array<{id}>, wide array<string>"
 ENCODED = "doc_id bigint, n_words bigint, ids array<int>"
 
 
@@ -73,14 +73,14 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
         def documents():
             # By bytes of one weight, of which the upper ones are mostly 0.
             planes = np.concatenate(codes).view(np.uint8).reshape(-1, 4).T.tobytes()
-            return row(ids, [len(c) for c in codes], pa.compress(planes, "zstd", asbytes=True), None, None, None)
+            return row(ids, [len(c) for c in codes], pa.Codec("zstd", 9).compress(planes, asbytes=True), None, None, None)
 
         def vocabulary():
             words = list(known)
             for at in range(0, len(words), CHUNK):
                 # One word a line; the only word that holds a line end is that itself, and no word is empty.
                 text = "\n".join([w if w != "\n" else "" for w in words[at : at + CHUNK]]).encode()
-                yield row(None, None, None, at, pa.compress(text, "zstd", asbytes=True), len(text))
+                yield row(None, None, None, at, pa.Codec("zstd", 9).compress(text, asbytes=True), len(text))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -119,10 +119,11 @@ def _words(slices: DataFrame) -> DataFrame:
     return slices.mapInArrow(rows, StructType([StructField("word", StringType(), False), StructField("slice", LongType(), False), StructField("number", IntegerType(), False)]))
 
 
-def _entries(words: DataFrame) -> DataFrame:
+def _entries(words: DataFrame, pieces: Pieces) -> DataFrame:
     """ENTRIES: the words (slice, number, ids, wide) of one slice that are at hand
     together in one row, by their numbers, each as its step from the one before. A
     word too wide to be folded has the size -1 and its text."""
+    kind, code = ("smallint", np.int16) if len(pieces.text_of) <= 1 << 15 else ("int", np.int32)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -139,7 +140,7 @@ def _entries(words: DataFrame) -> DataFrame:
             each = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             wide = table["wide"].combine_chunks()
             columns = [pa.array(own[ends - 1]), *(pa.ListArray.from_arrays(each, pa.array(x)) for x in (steps, sizes))]
-            columns += [pa.ListArray.from_arrays(upto(np.maximum(sizes, 0)), lists.flatten()), pa.ListArray.from_arrays(upto(sizes < 0), wide.drop_null())]
+            columns += [pa.ListArray.from_arrays(upto(np.maximum(sizes, 0)), pa.array(lists.flatten().to_numpy().astype(code))), pa.ListArray.from_arrays(upto(sizes < 0), wide.drop_null())]
             return pa.RecordBatch.from_arrays(columns, ["slice", "steps", "sizes", "ids", "wide"])
 
         for batch in batches:
@@ -152,7 +153,7 @@ def _entries(words: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return words.select("slice", "number", "ids", "wide").mapInArrow(rows, ENTRIES)
+    return words.select("slice", "number", "ids", "wide").mapInArrow(rows, ENTRIES.format(id=kind))
 
 
 def _bit(at: Column) -> Column:
@@ -294,11 +295,12 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scor
     first = words.groupBy("word").agg(F.min("slice").alias("slice"), F.min("number").alias("number"))
     narrow = F.when((F.spark_partition_id() >= 0) & (F.col("slice") >= 0) & (F.col("number") >= 0), F.length("word") <= (WIDE if pieces.unigram else MASKED))
     ids = words.join(encoded_words(first.filter(narrow).select("word"), pieces).hint("shuffle_hash"), "word", "left")  # a partition's distinct words
-    back = _entries(ids.withColumn("wide", F.when(F.col("ids").isNull(), F.col("word"))))
+    back = _entries(ids.withColumn("wide", F.when(F.col("ids").isNull(), F.col("word"))), pieces)
     shared = spark.sparkContext.broadcast(vars(pieces))  # the model's size
 
     def assembled(rows: pa.Table, words: pa.Table) -> pa.Table:
         steps, sizes, values = (words[c].combine_chunks().flatten().to_numpy() for c in ("steps", "sizes", "ids"))
+        values = values.astype(np.int32)
         counts, sizes, numbers = words["steps"].combine_chunks().value_lengths().to_numpy(), sizes.astype(np.int64), np.cumsum(steps, dtype=np.int64)
         first = np.cumsum(counts) - counts
         numbers -= np.repeat(numbers[first] - steps[first], counts)
