@@ -51,3 +51,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def refuse_clash(columns: list[str], *added: str) -> None:
+    """An error where a caller's columns are called as those that an operator adds:
+    neither is replaced in silence."""
+    if clash := sorted(set(columns) & set(added)):
+        raise ValueError(f"columns {clash} are the operator's own: rename them before")

@@ -26,7 +26,8 @@ common n-gram or block is ever gathered beyond a tile.
 Texts without words, and null texts, have an empty set and link with nothing.
 Equal sets link whatever their ids; a null id is never a component's id, and
 takes part only through sets equal to its own. Rows that repeat an id are one
-document with several texts. Other columns aren't carried.
+document with several texts, and are of one component. A very long text is one
+set like any other; an empty table has no rows. Other columns aren't carried.
 """
 
 from __future__ import annotations
@@ -328,6 +329,11 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         pairs = other.select("block", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "known", "doc_id", "digest", "text")
         across = pairs.groupBy("block", "t", "u").applyInArrow(group(True), "a bigint, b bigint")
         links = written(links.unionByName(across), "links")
-    joined = components(links).select(F.col("id").alias("first"), "component")
+    # Classes that one document's texts belong to are linked as well.
+    of_one = own.join(classes, "digest").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("first").alias("firsts")).filter(F.size("firsts") > 1)
+    same = of_one.select(F.explode("firsts").alias("a"), F.array_min("firsts").alias("b"))
+    joined = components(links.unionByName(same)).select(F.col("id").alias("first"), "component")
     named = classes.join(joined, "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
-    return own.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = own.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    by_id = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("of_id"))  # a text without words beside one that has some
+    return rows.join(by_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("of_id", "component_id").alias("component_id"))

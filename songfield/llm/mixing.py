@@ -9,8 +9,8 @@ Each document decides alone, so a source that holds a third of all rows is
 split like any other data, and a rerun emits the same rows.
 
 A null text has size 0; a null source is a source like the others, last in
-order; repeated rows (same id and size) share their draw; an empty table
-gives an empty mix.
+order; repeated rows (same id and size) share their draw; a very long text counts
+with all its words, and no copy of it is cut; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songfield.llm.common import words_of, written
+from songfield.llm.common import refuse_clash, words_of, written
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -70,16 +70,23 @@ def uniform(seed: int, *parts: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def planned(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``docs`` with size, source_size, target, rate and ``copies``."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    rates = targets(sized, "size", weights, most).select(F.col("source").alias("__source"), "source_size", "target", "rate")
-    joined = sized.drop("source_size", "target", "rate", "copies").join(rates, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    whole = F.floor("rate")
-    return joined.withColumn("copies", (whole + (uniform(seed, "doc_id", "size") < F.col("rate") - whole).cast("bigint")).cast("bigint"))
-
-
-def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: each document as often as its copies say, numbered by ``copy``."""
-    plan = planned(docs, seed, weights, most)
-    return plan.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns, "copy")
+def planned(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, prefix: str = "") -> DataFrame:
+    """``docs`` with size, source_size, target, rate and ``copies``, whose names begin
+    with ``prefix``; a column that is called like one of them is an error."""
+    size, source_size, target, rate, copies = (prefix + x for x in ("size", "source_size", "target", "rate", "copies"))
+    refuse_clash(docs.columns, size, source_size, target, rate, copies)
+    sized = docs.withColumn(size, word_count(F.col("text")))
+    rates = targets(sized, size, weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
+    joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    whole = F.floor(F.col(rate))
+    return joined.withColumn(copies, (whole + (uniform(seed, "doc_id", size) < F.col(rate) - whole).cast("bigint")).cast("bigint"))
+
+
+def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, number: str | None = "copy") -> DataFrame:
+    """The mix itself: each document as often as its copies say, numbered from 1 by the
+    column ``number`` (None for none). All columns of ``docs`` keep their values."""
+    if number:
+        refuse_clash(docs.columns, number)
+    plan = planned(docs, seed, weights, most, "__mix_").filter(F.col("__mix_copies") > 0)
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__mix_copies"))).alias(number or "__mix_copy")
+    return plan.select(*docs.columns, copies).select(*docs.columns, *([number] if number else []))

@@ -8,8 +8,10 @@ last two touch no text, so a new policy version costs no new measurement.
 
 Everything is a built-in column function on one row: there is no exchange, and
 a long text costs n log n of its own length. Nulls and empty texts have no
-words and fail the base rule; repeated rows get equal results; other columns
-pass through.
+words and fail the base rule; repeated rows get equal results; an empty table
+gives no rows; other columns pass through, and one that is called like a column
+which the ledger adds is an error. ``accepted`` keeps documents as they are,
+whatever their columns are called.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songfield.llm.common import SPACE, once, words_of
+from songfield.llm.common import SPACE, once, refuse_clash, words_of
 
 #: Words in the windows whose repetition counts.
 WINDOW = 8
@@ -79,8 +81,8 @@ def _repeated(windows: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with MEASURES as bigint columns in place of nothing: columns of
-    these names are replaced."""
+    """``docs`` with MEASURES as bigint columns; a column of such a name is an error."""
+    refuse_clash(docs.columns, *MEASURES, "__w", "__l", "__h", "__s")
     raw = F.coalesce(F.col(text), F.lit(""))
     with_words = docs.withColumns({"__w": once(words_of(F.col(text))), "__l": once(F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != ""))})
     hashed = F.when(
@@ -134,5 +136,13 @@ def ablations(led: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """``docs`` measured, with the ledger, ``base_failed`` and ``kept``."""
+    refuse_clash(docs.columns, "fail_bits", "base_failed", "kept")
     led = apply_policy(ledger(measure(docs)), version)
     return led.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(mask(BASE)).cast("bigint")) != 0).withColumn("kept", F.col("kept") & ~F.col("base_failed"))
+
+
+def accepted(docs: DataFrame, version: str = CURRENT, text: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with their own columns only."""
+    own = [f"__own_{i}" for i in range(len(docs.columns))]  # so that none is called like a measure
+    judged = quality(docs.toDF(*own).withColumn(text, F.col(own[docs.columns.index(text)])), version)
+    return judged.filter("kept").select(*own).toDF(*docs.columns)

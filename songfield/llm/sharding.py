@@ -11,7 +11,10 @@ evenly, so no task holds a whole shard.
 Blocks and orders come from hashes of the keys under a seed, never from where
 a row happens to be: a recomputed task gives the same places. Rows that agree
 in all keys are interchangeable, and keep one place each. Equal texts get
-independent places. An empty table gives no rows.
+independent places. Nulls are values like others; texts of any length are hashed
+whole. An empty table gives no rows. Columns called shard or slot are an error.
+Places follow from the keys, the seed and ``n_blocks``; give the latter where
+sessions with other numbers of shuffle partitions must agree.
 
 The exchanges carry the columns that the caller selects. For long texts, place
 the keys and join the places back, or select the texts too.
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from songfield.llm.common import partitions
+from songfield.llm.common import partitions, refuse_clash
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -68,6 +71,7 @@ def shard(rows: DataFrame, n_shards: int = 8, keys: list[str] | None = None, see
     sees one count for each block.
     """
     spark = rows.sparkSession
+    refuse_clash(rows.columns, "shard", "slot")
     n_blocks = n_blocks or 8 * partitions(spark)
     keys = keys or rows.columns
 

@@ -206,6 +206,43 @@ def test_trie_shares_prefixes():
     assert trie.nodes == len(" inform") + len("al") + len("tion") + len("ed")
 
 
+# --- columns that clash ------------------------------------------------------------
+
+
+def test_callers_columns_are_kept_or_refused(spark):
+    names = ["shard", "slot", "size", "rate", "target", "source_size", "copies", "copy", "n_words", "kept", "fail_bits", "component_id", "ids", "key"]
+    rows = [(i, " ".join(["w%d" % (k % 37) for k in range(40 * i)]), "en", "s", 7, *[99] * len(names)) for i in range(1, 4)] + [(9, None, "en", None, 0, *[99] * len(names))]
+    clash = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} int" for n in names))
+    for call in (lambda: sharding.shard(clash, 2), lambda: mixing.planned(clash), lambda: mixing.mix(clash), lambda: quality.quality(clash)):
+        with pytest.raises(ValueError):
+            call()
+    for out in (mixing.mix(clash, number=None), quality.accepted(clash), substrings.remove(clash, substrings.find(clash))):
+        assert out.columns == clash.columns
+        assert all(r[n] == 99 for r in out.collect() for n in names)
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns and all(r[n] == 99 for r in out.collect() for n in names), name
+
+
+def test_sharding_query_equals_the_law(spark, docs, tmp_path):
+    import zlib
+
+    from songfield.llm import queries
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_sharding(spark, str(tmp_path)).collect()
+    want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert all(r["law"] == "rows" and r["grown_shard"] is None for r in got)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert set(by) == set(range(8)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 # --- nearest -----------------------------------------------------------------------
 
 
@@ -306,6 +343,13 @@ def test_jaccard_equals_brute_force(spark, docs, monkeypatch, tile):
     assert jaccard.join(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = text(random.Random(1), 60), text(random.Random(2), 60)
+    rows = table(spark, [(3, a, "x"), (5, a, "x"), (5, b, "x"), (5, None, "x"), (9, b, "x"), (11, text(random.Random(3), 60), "x")])
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard.join(rows).collect())
+    assert got == {(3, 3): 1, (5, 3): 3, (9, 3): 1, (11, 11): 1}
+
+
 def test_prefix_tree_finds_what_pairs_do():
     rng = random.Random(2)
     for _ in range(60):
