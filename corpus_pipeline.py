@@ -14,8 +14,9 @@ from songfield.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current policy."""
-    return quality.quality(docs).filter("kept").select(*docs.columns)
+    """Documents that pass the current policy; a null or empty text doesn't. Repeated
+    rows fare alike; columns keep their values, whatever they are called."""
+    return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,17 +30,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller id has too."""
+    """Texts without the passages that a document with a smaller id has too. A null or
+    empty text, and one without an id, stays as it is; equal rows are cut alike."""
     return substrings.remove(docs, substrings.find(docs)).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate says."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Each document as often as its source's rate says; a null source is a source, and
+    equal rows share their draw. Columns keep their values, whatever they are called."""
+    return mixing.mix(docs, number=None)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of SentencePiece ids; a repeated document repeats its runs."""
+    """SentencePiece ids of each row, by the unigram table of the model's pieces; none
+    for a null or empty text. A repeated row repeats its ids."""
     return lattice.encode(docs)
 
 
