@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songfield.llm.common import written
+from songfield.llm.common import dropped, written
 from songfield.llm.jaccard import grams, mixed, word_hashes
 
 #: Words of an n-gram, words of a passage, hash functions, and how many must agree.
@@ -270,7 +270,8 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
 
     every = written(texts.mapInArrow(windows, WINDOW), "windows")
     several = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
-    own = every.join(written(several, "several"), "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("f", "key", "c", "l", "r")).alias("own"))
+    several = written(several, "several")
+    own = every.join(several, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("f", "key", "c", "l", "r")).alias("own"))
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,12 +320,15 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
 
         stretches = written(texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
         places = stretches.select("key", "doc", "digest", F.col("at").alias("c"), F.col("at").alias("c2"), F.col("at").alias("l"), (F.col("at") + F.col("size") - 1).alias("r"))
+        dropped(beside, joint, heads)
         copies = spread(places, found).filter(~inside(F.col("l"), F.col("r") + GRAM)).drop("spans")
         return _verified(texts, copies.join(heads_of(places), "key").filter("doc > source"), width, similarity, run)
 
-    joint = written(own.mapInArrow(joined, JOINT), "joint")
-    heads = heads_of(joint)
-    joint = written(joint.join(heads.select("key"), "key"), "shared")
+    every_joint = written(own.mapInArrow(joined, JOINT), "joint")
+    dropped(every, several)
+    heads = heads_of(every_joint)
+    joint = written(every_joint.join(heads.select("key"), "key"), "shared")
+    dropped(every_joint)
     found = written(_verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity), "passages")
 
     low, high = F.least("c", "c2"), F.greatest("c", "c2")
