@@ -19,21 +19,19 @@ from songfield.sources.tables import written
 
 
 def memberships(distances: np.ndarray, k: int) -> np.ndarray:
-    """V33 for one row's distances: 1 at the nearest that isn't at 0, falling so
-    that all sum to a logarithm of k."""
-    positive = distances[distances > 0]
-    rho = positive.min() if len(positive) else 0.0
-    target, low, high, sigma = np.log2(k + 1) - 1, 0.0, np.inf, 1.0
-    for _ in range(64):
-        total = np.exp(-np.maximum(0, distances - rho) / sigma).sum()
-        if abs(total - target) < 1e-5:
-            break
-        if total > target:
-            high, sigma = sigma, (low + sigma) / 2
-        else:
-            low, sigma = sigma, sigma * 2 if np.isinf(high) else (sigma + high) / 2
-    sigma = max(sigma, 1e-3 * distances.mean(), 1e-12)
-    return np.exp(-np.maximum(0, distances - rho) / sigma)
+    """For each row of distances (inf where there is none) 1 at the nearest that
+    isn't at 0, falling so that all sum to a logarithm of k. The sums grow with the
+    widths, so all rows' widths are halved in at once, on a logarithmic scale."""
+    there = np.isfinite(distances)
+    rho = np.where(there & (distances > 0), distances, np.inf).min(axis=1, initial=np.inf, keepdims=True)
+    beyond = np.maximum(0, distances - np.where(np.isfinite(rho), rho, 0.0))
+    low, high = np.full((len(distances), 1), -28.0), np.full((len(distances), 1), 14.0)
+    for _ in range(50):
+        middle = (low + high) / 2
+        over = np.exp(-beyond / np.exp(middle)).sum(axis=1, keepdims=True) > np.log2(k + 1) - 1
+        low, high = np.where(over, low, middle), np.where(over, middle, high)
+    mean = np.where(there, distances, 0).sum(axis=1, keepdims=True) / np.maximum(1, there.sum(axis=1, keepdims=True))
+    return np.exp(-beyond / np.maximum(np.exp(low), np.maximum(1e-3 * mean, 1e-12)))
 
 
 def fuzzy_graph(rows: DataFrame, k: int = UMAP_K) -> DataFrame:
@@ -43,7 +41,11 @@ def fuzzy_graph(rows: DataFrame, k: int = UMAP_K) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def weigh(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda own: memberships(np.array([x["d"] for x in own]), k))
+        sizes = [len(own) for own in lists]
+        distances = np.full((len(sizes), max(sizes, default=0)), np.inf)
+        for row, own in zip(distances, lists):
+            row[: len(own)] = [x["d"] for x in own]
+        return pd.Series([row[:n] for row, n in zip(memberships(distances, k), sizes)], dtype=object)
 
     one = lists.withColumn("w", weigh("n")).select("src", F.explode(F.arrays_zip("n", "w")).alias("x")).select("src", F.col("x.n.dst").alias("dst"), F.col("x.w").alias("w"))
     both = one.select("src", "dst", "w", F.lit(0.0).alias("v")).unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("w"), F.col("w").alias("v")))

@@ -263,10 +263,10 @@ def _(t: Tables) -> DataFrame:
     return ca.fallback(answers)
 
 
-@query("s20_exported", "SELECT seq AS pos, track_id AS id, reason AS ref FROM queue WHERE priority = 2 AND seq <= 500")
+@query("s20_exported", "SELECT seq AS pos, track_id AS id, reason AS ref FROM queue WHERE priority = 2")
 def _(t: Tables) -> DataFrame:
     refs = t.queue().select(F.col("track_id").alias("id"), F.col("priority").cast("string").alias("provider"), F.col("reason").alias("ref"))
-    return ca.exported(t.queue().filter("seq <= 500").select(F.col("seq").alias("pos"), F.col("track_id").alias("id")), refs, "2")
+    return ca.exported(t.queue().select(F.col("seq").alias("pos"), F.col("track_id").alias("id")), refs, "2")
 
 
 @query("s23_upserted", "SELECT t.id, coalesce(upper(n.title), t.title) AS title, coalesce(CASE WHEN t.id % 10 = 0 THEN NULL ELSE n.duration + 1 END, t.duration) AS duration, least(t.seed_distance, 2) AS seed_distance FROM tracks t LEFT JOIN tracks n ON n.id = t.id AND t.id % 2 = 0 WHERE t.id % 2 = 0 UNION ALL SELECT id, title, duration, seed_distance FROM tracks WHERE id % 2 = 1")
@@ -299,9 +299,9 @@ def _(t: Tables) -> DataFrame:
     return ca.pending_analysis(t.tracks(), t.features(), t.blocked(), t.failures(), "F", limit=100).select("id", "seed_distance")
 
 
-@query("p8_pending_mix", "SELECT seq AS row_no, track_id AS id FROM queue WHERE seq <= 2000 AND track_id NOT IN (SELECT track_id FROM features WHERE extractor_version = 'O') AND track_id NOT IN (SELECT track_id FROM failures)")
+@query("p8_pending_mix", "SELECT seq AS row_no, track_id AS id FROM queue WHERE track_id NOT IN (SELECT track_id FROM features WHERE extractor_version = 'O') AND track_id NOT IN (SELECT track_id FROM failures)")
 def _(t: Tables) -> DataFrame:
-    asked = t.queue().filter("seq <= 2000").select(F.col("seq").alias("row_no"), F.col("track_id").alias("id"))
+    asked = t.queue().select(F.col("seq").alias("row_no"), F.col("track_id").alias("id"))
     return ca.pending_mix(asked, t.features().select("track_id", F.col("extractor_version").alias("version"), F.lit(True).alias("drops")), t.failures(), "O")
 
 
@@ -549,15 +549,25 @@ def _(t: Tables) -> DataFrame:
 # --- functions -----------------------------------------------------------------
 
 
-@query("f2_keys", r"SELECT doc_id, trim(regexp_replace(lower(text[1:60]), '[^\p{L}\p{N}]+', ' ', 'g')) || '|' || lang AS key, regexp_replace(lower(text[1:60]), '[^\p{L}\p{N}]+', '', 'g') AS squashed FROM documents")
+@query("f2_keys", r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || '|' || lang AS key, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS squashed FROM documents")
 def _(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 60)
-    return t.documents.select("doc_id", tx.key(head, F.col("lang")).alias("key"), tx.squash(head).alias("squashed"))
+    return t.documents.select("doc_id", tx.key(F.col("text"), F.col("lang")).alias("key"), tx.squash(F.col("text")).alias("squashed"))
 
 
-@query("f1_song_titles")
+_HAS = lambda part, names: f"list_has_any(regexp_extract_all({part}, '[\\p{{L}}\\p{{N}}]+'), {names!r})"
+_RELEASE = lambda part: f"({_HAS(part, tx.RELEASE_WORDS)} AND NOT {_HAS(part, tx.PERFORMANCE_WORDS)})"
+
+
+@query(
+    "f1_song_titles",
+    rf"""WITH s AS (SELECT doc_id, regexp_extract_all(lower(text || ' (Remastered) - Single Version'), '(?s)[^(\[]+|\([^)]*\)|\[[^\]]*\]|[(\[].*') AS pieces FROM documents),
+    b AS (SELECT doc_id, list_filter(pieces, lambda x: NOT (regexp_matches(x, '(?s)^(\(.*\)|\[.*\])$') AND {_RELEASE("x")})) AS kept FROM s),
+    p AS (SELECT doc_id, string_split(array_to_string(list_transform(kept, lambda x: CASE WHEN regexp_matches(x, '(?s)^(\(.*\)|\[.*\])$') THEN ' ' || x[2:-2] || ' ' ELSE x END), ''), ' - ') AS parts FROM b),
+    l AS (SELECT doc_id, parts, list_max(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN {_RELEASE("parts[i]")} AND i > 1 THEN 1 ELSE i END)) AS last FROM p)
+    SELECT doc_id, trim(regexp_replace(array_to_string(parts[1:last], ' '), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS song FROM l""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.song_title(F.concat(F.substring("text", 1, 30), F.lit(" (Remastered) - Single Version"))).alias("song"))
+    return t.documents.select("doc_id", tx.song_title(F.concat("text", F.lit(" (Remastered) - Single Version"))).alias("song"))
 
 
 @query("f7_isrc_years", "SELECT o_orderkey, nullif(upper(trim(nullif(o_orderstatus, 'P') || ' ')), '') AS isrc, regexp_extract(strftime(o_orderdate, '%Y-%m-%d'), '^([0-9]{4})', 1)::DOUBLE AS year FROM orders")
@@ -711,4 +721,4 @@ def _(t: Tables) -> DataFrame:
 
 @query("v37_layout")
 def _(t: Tables) -> DataFrame:
-    return la.layout(t.space(), epochs=3)
+    return la.layout(t.space())

@@ -1,231 +1,69 @@
-"""Play sessions and listens, folded from a stream of operations.
+"""Listens from what sessions showed after each operation, and sessions by gaps.
 
-``Session`` and ``Tracker`` hold one user's state and take one operation at a
-time; ``listens`` runs them as a stateful stream keyed by user, so a user's
-state is what a task keeps, never a user's history. Replaying a table through
-the same stream gives the batch form. Operations apply in the order of their
-time and number; ones older than the watermark are dropped by the stream.
+A moment is a session's state after one operation: (user_id, seq, at, op, row,
+index, track, seconds, sounding, output, position), in the order of ``seq``; ``row``
+is where an ``ended`` says that it ended. Listens are cut out of a user's moments
+by windows: sounding time lies between two moments, a listen is what lies between
+two cuts, and the moment that cuts says how it ended.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songfield.schemas import CLOCK_SLACK, FINISH_SHARE, FINISH_SLACK
 
-
-class Stale(ValueError):
-    """An operation addressed rows of a queue that has changed since."""
-
-
-@dataclass
-class Session:
-    """The queue and what plays of it. ``queue`` holds track ids, each once
-    (T3); ``version`` counts the changes of the queue."""
-
-    queue: list[int] = field(default_factory=list)
-    index: int = 0
-    playing: bool = False
-    position: float = 0.0
-    since: float = 0.0
-    output: str | None = None
-    volume: float = 1.0
-    version: int = 0
-    groups: list[dict] = field(default_factory=list)
-
-    def track(self) -> int | None:
-        return self.queue[self.index] if 0 <= self.index < len(self.queue) else None
-
-    def at(self, now: float, seconds: float | None = None) -> float:
-        """Where playing is by now; no further than a known length."""
-        place = self.position + (max(0.0, now - self.since) if self.playing else 0.0)
-        return min(place, seconds) if seconds and seconds > 0 else place
-
-    def _new(self, tracks: list[int]) -> list[int]:
-        held, out = set(self.queue), []
-        for t in tracks:
-            if t not in held:
-                held.add(t)
-                out.append(t)
-        return out
-
-    def _changed(self, queue: list[int], index: int) -> None:
-        self.queue, self.index = queue, max(0, min(index, len(queue) - 1))
-        self.version += 1
-        here = set(queue)
-        self.groups = [g | {"tracks": [t for t in g["tracks"] if t in here]} for g in self.groups]
-        self.groups = [g for g in self.groups if g["tracks"]]
-
-    def apply(self, op: dict, now: float) -> None:
-        """One operation; those with a ``version`` are refused if the queue moved on."""
-        if op.get("version") is not None and op["version"] != self.version:
-            raise Stale(f"version {op['version']}, now {self.version}")
-        kind = op["op"]
-        self.position, self.since = self.at(now, op.get("seconds")), now
-        if kind == "load":
-            self.queue = []
-            self._changed(self._new(op["tracks"]), op.get("index", 0))
-            self.position, self.playing = 0.0, True
-        elif kind in ("append", "next"):
-            place = len(self.queue) if kind == "append" else min(self.index + 1, len(self.queue))
-            self._changed(self.queue[:place] + self._new(op["tracks"]) + self.queue[place:], self.index)
-        elif kind == "remove":
-            i = op["row"]
-            self._changed(self.queue[:i] + self.queue[i + 1 :], self.index - (i < self.index))
-        elif kind == "move":
-            s, g = op["row"], op["to"]
-            queue = list(self.queue)
-            queue.insert(g, queue.pop(s))
-            index = g if self.index == s else self.index - 1 if s < self.index <= g else self.index + 1 if g <= self.index < s else self.index
-            self._changed(queue, index)
-        elif kind == "clear":
-            self._changed([], 0)
-            self.playing, self.position = False, 0.0
-        elif kind in ("jump", "step", "ended"):
-            to = op["row"] if kind == "jump" else self.index + op.get("by", 1)
-            if kind == "ended" and op["row"] != self.index:
-                return
-            if 0 <= to < len(self.queue):
-                self.index, self.position = to, 0.0
-            else:
-                self.playing = self.playing and kind == "step"
-        elif kind in ("play", "pause"):
-            self.playing = kind == "play" and self.track() is not None
-        elif kind in ("seek", "report"):
-            self.position = op["position"]
-            self.playing = op.get("playing", self.playing)
-        elif kind == "output":
-            self.output = op.get("device")
-            self.playing = self.playing and self.output is not None
-        elif kind == "volume":
-            self.volume = min(1.0, max(0.0, op["volume"]))
-        elif kind == "group":
-            self.groups = [g for g in self.groups if g["name"] != op["name"]] + [{"name": op["name"], "tracks": [t for t in op["tracks"] if t in self.queue]}]
-        elif kind == "ungroup":
-            self.groups = [g for g in self.groups if g["name"] != op["name"]]
-        else:
-            raise ValueError(f"unknown operation {kind}")
-
-
-def splice(before: list[int], after: list[int]) -> dict:
-    """T5: the change between two queues, without what both begin and end with."""
-    a = 0
-    while a < min(len(before), len(after)) and before[a] == after[a]:
-        a += 1
-    b = 0
-    while b < min(len(before), len(after)) - a and before[-1 - b] == after[-1 - b]:
-        b += 1
-    return {"at": a, "gone": len(before) - a - b, "new": after[a : len(after) - b]}
-
-
-def spliced(before: list[int], change: dict) -> list[int]:
-    if change["at"] < 0 or change["at"] + change["gone"] > len(before):
-        raise ValueError("the change is for another queue")
-    return before[: change["at"]] + change["new"] + before[change["at"] + change["gone"] :]
-
-
-@dataclass(frozen=True)
-class Moment:
-    """What a session shows before or after an operation."""
-
-    index: int
-    track: int | None
-    seconds: float | None
-    sounding: bool
-    output: str | None
-    position: float
-
-
-@dataclass
-class Tracker:
-    """At most one open listen, which ends when its track does, is left, or
-    begins again."""
-
-    open: dict | None = None
-
-    def observe(self, op: dict, before: Moment, after: Moment, now: float) -> dict | None:
-        closed, kind = None, op["op"]
-        if self.open is not None:
-            o = self.open
-            same = after.track == o["track"]
-            heard = after.position if kind == "report" and same else before.position
-            if o["sounding"]:
-                o["listened"] += min(max(heard - o["position"], 0.0), now - o["at"] + CLOCK_SLACK)
-            again = (
-                kind in ("load", "jump", "clear")
-                or kind == "step" and after.index != before.index
-                or kind == "ended" and op["row"] == before.index
-                or kind == "output" and op.get("device") is None and before.output is not None
-            )
-            if again or not same:
-                seconds = o["seconds"]
-                near = kind == "ended" if seconds is None else heard >= seconds - min(FINISH_SLACK, seconds * FINISH_SHARE)
-                stopped = after.track is None or kind == "clear" or kind == "output" and op.get("device") is None
-                closed = {k: o[k] for k in ("track", "device", "started", "listened", "seconds")} | {"ended": "finished" if near else "stopped" if stopped else "skipped"}
-                self.open = None
-            else:
-                o |= {"position": after.position, "at": now, "sounding": after.sounding}
-        if self.open is None and after.sounding and after.track is not None:
-            self.open = {"track": after.track, "device": after.output, "started": now, "seconds": after.seconds, "listened": 0.0, "position": after.position, "at": now, "sounding": True}
-        return closed
-
-
-LISTEN = "user_id bigint, track_id bigint, device_id string, started_at double, listened_seconds double, track_seconds double, ended string"
-
-
-def fold(state: dict | None, ops: list[tuple[float, dict]], lengths: dict | None = None) -> tuple[dict, list[dict]]:
-    """The state after ``ops`` (time, operation), and the listens they closed. An
-    operation may state the ``seconds`` of what plays after it."""
-    session = Session(**state["session"]) if state else Session()
-    tracker = Tracker(state["open"]) if state else Tracker()
-    lengths = dict(state["lengths"]) if state else dict(lengths or {})
-    out = []
-
-    def moment(now: float) -> Moment:
-        track = session.track()
-        return Moment(session.index, track, lengths.get(str(track)), session.playing and session.output is not None, session.output, session.at(now, lengths.get(str(track))))
-
-    for now, op in ops:
-        for k, v in op.get("lengths", {}).items():
-            lengths[str(k)] = v
-        before = moment(now)
-        try:
-            session.apply(op, now)
-        except (Stale, IndexError):
-            continue
-        if (closed := tracker.observe(op, before, moment(now), now)) is not None:
-            out.append(closed)
-        here = {str(t) for t in session.queue}
-        lengths = {k: v for k, v in lengths.items() if k in here or tracker.open and k == str(tracker.open["track"])}
-    return {"session": asdict(session), "open": tracker.open, "lengths": lengths}, out
-
-
-def listens(ops: DataFrame) -> DataFrame:
-    """A stream of operations (user_id, ts timestamp, seq, op JSON) to the
-    listens that they close, one state for each user."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
-        held, closed = fold(held, [(float(a), json.loads(o)) for a, o in zip(rows["at"], rows["op"])])
-        state.update((json.dumps(held),))
-        cols = ["user_id", "track_id", "device_id", "started_at", "listened_seconds", "track_seconds", "ended"]
-        yield pd.DataFrame([(int(key[0]), c["track"], c["device"], c["started"], c["listened"], c["seconds"], c["ended"]) for c in closed], columns=cols)
-
-    flat = ops.select("user_id", F.unix_micros("ts").alias("us"), "seq", "op").withColumn("at", F.col("us") / 1e6).drop("us")
-    return flat.groupBy("user_id").applyInPandasWithState(step, LISTEN, "state string", "append", GroupStateTimeout.NoTimeout)
+MOMENT = "user_id bigint, seq bigint, at double, op string, row int, index int, track bigint, seconds double, sounding boolean, output string, position double"
+
+
+def _intervals(moments: DataFrame) -> DataFrame:
+    """Each moment with the one before it, the seconds heard in between, and whether it
+    cuts: another track plays from then on, or the same one anew."""
+    by_user = Window.partitionBy("user_id").orderBy("seq")
+    past = {f"was_{c}": F.lag(c).over(by_user) for c in ("at", "index", "track", "seconds", "sounding", "output", "position")}
+    rows = moments.withColumns(past).withColumn("sounding", F.coalesce("sounding", F.lit(False)))
+    clock = F.col("was_position") + F.when(F.col("was_sounding"), F.col("at") - F.col("was_at")).otherwise(0.0)
+    due = F.least(clock, F.coalesce("was_seconds", clock))  # where the clock says that playing was by now
+    same = F.col("track").eqNullSafe(F.col("was_track"))
+    reached = F.when((F.col("op") == "report") & same, F.col("position")).otherwise(due)
+    heard = F.greatest(F.lit(0.0), F.least(reached - F.col("was_position"), F.col("at") - F.col("was_at") + CLOCK_SLACK))
+    silenced = (F.col("op") == "output") & F.col("output").isNull() & F.col("was_output").isNotNull()
+    anew = F.col("op").isin("load", "jump", "clear") | ((F.col("op") == "step") & (F.col("index") != F.col("was_index"))) | ((F.col("op") == "ended") & (F.col("row") == F.col("was_index"))) | silenced
+    return rows.select(
+        "user_id", "seq", "at", "op", "track", "seconds", "sounding", "output", reached.alias("reached"), silenced.alias("silenced"),
+        F.when(F.col("was_sounding"), heard).otherwise(0.0).alias("heard"), F.coalesce(anew | ~same, F.lit(True)).alias("cuts"),
+    )
+
+
+def _ended(seconds: Column) -> Column:
+    """How the moment that closes a listen of a track of ``seconds`` ended it."""
+    near = F.when(seconds.isNull(), F.col("op") == "ended").otherwise(F.col("reached") >= seconds - F.least(F.lit(FINISH_SLACK), seconds * FINISH_SHARE))
+    return F.when(near, "finished").when(F.col("track").isNull() | (F.col("op") == "clear") | F.col("silenced"), "stopped").otherwise("skipped")
+
+
+def listens(moments: DataFrame) -> DataFrame:
+    """(user_id, track_id, device_id, started_at, listened_seconds, track_seconds,
+    ended) of every listen that a later moment closed. Moments repeated whole count
+    once; a user without moments has no listens."""
+    rows = _intervals(moments.distinct())
+    by_user = Window.partitionBy("user_id").orderBy("seq")
+    upto = by_user.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = rows.withColumn("part", F.sum(F.col("cuts").cast("int")).over(upto))
+    begun = F.when(F.col("sounding") & F.col("track").isNotNull(), F.struct("seq", "at", "track", "output", "seconds"))
+    inside = numbered.groupBy("user_id", "part").agg(F.min(begun).alias("begun"), F.sum(F.when(~F.col("cuts"), F.col("heard")).otherwise(0.0)).alias("inside"))
+    # A cut's own interval is the last of the part before it.
+    closing = numbered.filter("cuts").select("user_id", (F.col("part") - 1).alias("part"), "op", "track", "reached", "silenced", F.col("heard").alias("last"))
+    both = inside.filter("begun IS NOT NULL").join(closing, ["user_id", "part"])
+    return both.select(
+        "user_id", F.col("begun.track").alias("track_id"), F.col("begun.output").alias("device_id"), F.col("begun.at").alias("started_at"),
+        (F.col("inside") + F.col("last")).alias("listened_seconds"), F.col("begun.seconds").alias("track_seconds"), _ended(F.col("begun.seconds")).alias("ended"),
+    )
 
 
 def record(stream: DataFrame, folder: str, checkpoint: str):
-    """Listens to a table; a batch that is tried again replaces its own files,
-    so each listen is there once."""
+    """A stream's rows to a table; a batch that is tried again replaces its own
+    files, so each row is there once."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")

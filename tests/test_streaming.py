@@ -1,55 +1,42 @@
-import json
-
 from songfield.streaming import listens as li
 
-
-def play(*ops, lengths=None):
-    return li.fold(None, [(t, {"lengths": lengths or {}} | o) for t, o in ops])[1]
+LENGTHS = {1: 100.0, 2: 100.0, 3: 20.0}
 
 
-LOAD = {"op": "load", "tracks": [1, 2, 3]}
-OUT = {"op": "output", "device": "d"}
-LENGTHS = {1: 100.0, 2: 100.0, 3: 20.0}
+def heard(spark, *moments, user=1):
+    """Listens of one user's moments (at, op, row, index, track, sounding, position)."""
+    rows = [(user, n, float(at), op, row, index, track, LENGTHS.get(track), sounding, "d" if op != "mute" else None, float(position)) for n, (at, op, row, index, track, sounding, position) in enumerate(moments)]
+    return [(r["track_id"], r["ended"], r["listened_seconds"]) for r in li.listens(spark.createDataFrame(rows, li.MOMENT)).orderBy("started_at").collect()]
 
 
-def test_finished_skipped_and_stopped():
-    got = play((0, OUT), (0, LOAD), (95, {"op": "ended", "row": 0}), (105, {"op": "step"}), (110, {"op": "clear"}), lengths=LENGTHS)
-    assert [(c["track"], c["ended"]) for c in got] == [(1, "finished"), (2, "skipped"), (3, "stopped")]
-    assert got[0]["listened"] == 95
+LOAD = (0, "load", None, 0, 1, True, 0)
 
 
-def test_pause_is_not_heard():
-    got = play((0, OUT), (0, LOAD), (10, {"op": "pause"}), (50, {"op": "play"}), (60, {"op": "step"}), lengths=LENGTHS)
-    assert got[0]["listened"] == 20
+def test_finished_skipped_and_stopped(spark):
+    got = heard(spark, LOAD, (95, "ended", 0, 1, 2, True, 0), (105, "step", None, 2, 3, True, 0), (110, "clear", None, 0, None, False, 0))
+    assert got == [(1, "finished", 95), (2, "skipped", 10), (3, "stopped", 5)]
 
 
-def test_seek_does_not_count():
-    got = play((0, OUT), (0, LOAD), (10, {"op": "seek", "position": 80.0}), (12, {"op": "step"}), lengths=LENGTHS)
-    assert got[0]["listened"] == 12
+def test_pause_and_stalls_are_not_heard(spark):
+    assert heard(spark, LOAD, (10, "pause", None, 0, 1, False, 10), (50, "play", None, 0, 1, True, 10), (60, "step", None, 1, 2, True, 0)) == [(1, "skipped", 20)]
+    assert heard(spark, LOAD, (30, "report", None, 0, 1, True, 10), (40, "step", None, 1, 2, True, 0)) == [(1, "skipped", 20)]
 
 
-def test_late_ended_is_ignored():
-    got = play((0, OUT), (0, LOAD), (95, {"op": "ended", "row": 0}), (96, {"op": "ended", "row": 0}), lengths=LENGTHS)
-    assert len(got) == 1
+def test_seek_does_not_count(spark):
+    assert heard(spark, LOAD, (10, "seek", None, 0, 1, True, 80), (12, "step", None, 1, 2, True, 0)) == [(1, "skipped", 12)]
 
 
-def test_stale_operations_are_refused():
-    state, _ = li.fold(None, [(0, LOAD), (1, {"op": "remove", "row": 0, "version": 1}), (2, {"op": "remove", "row": 0, "version": 1})])
-    assert state["session"]["queue"] == [2, 3] and state["session"]["version"] == 2
+def test_late_ended_is_ignored(spark):
+    assert heard(spark, LOAD, (95, "ended", 0, 1, 2, True, 0), (96, "ended", 0, 1, 2, True, 1)) == [(1, "finished", 95)]
 
 
-def test_queue_holds_each_once_and_moves():
-    state, _ = li.fold(None, [(0, LOAD), (1, {"op": "append", "tracks": [3, 4, 4]}), (2, {"op": "move", "row": 0, "to": 2})])
-    assert state["session"]["queue"] == [2, 3, 1, 4] and state["session"]["index"] == 2
+def test_the_same_track_again_is_another_listen(spark):
+    assert heard(spark, LOAD, (20, "jump", None, 0, 1, True, 0), (25, "clear", None, 0, None, False, 0)) == [(1, "skipped", 20), (1, "stopped", 5)]
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    ops = [("2024-01-01 00:00:00", OUT), ("2024-01-01 00:00:00", LOAD | {"lengths": LENGTHS}), ("2024-01-01 00:01:35", {"op": "ended", "row": 0}), ("2024-01-01 00:01:45", {"op": "clear"})]
-    rows = [(u, t, n, json.dumps(o)) for u in (1, 2) for n, (t, o) in enumerate(ops)]
-    df = spark.createDataFrame(rows, "user_id bigint, ts string, seq bigint, op string").selectExpr("user_id", "cast(ts AS timestamp) AS ts", "seq", "op")
-    df.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = li.record(li.listens(stream), str(tmp_path / "out"), str(tmp_path / "check"))
-    q.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r["user_id"], r["track_id"], r["ended"]) for r in got) == [(1, 1, "finished"), (1, 2, "stopped"), (2, 1, "finished"), (2, 2, "stopped")]
+def test_batches_are_recorded_once(spark, tmp_path):
+    spark.range(20).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        q = li.record(spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
+        q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 20
