@@ -39,7 +39,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songfield.llm.common import dropped, written
@@ -350,16 +350,12 @@ def _whole_run(width: int, similarity: float) -> int:
 
 
 def _longest(found: DataFrame) -> DataFrame:
-    """``found`` without what lies in a longer passage at the same offset."""
-    own = ["doc_id", "digest", "source_id"]
-    offset = (F.col("source_start") - F.col("start_word")).alias("offset")
-    each = found.distinct().groupBy(*own, offset).agg(F.collect_list(F.struct("start_word", "end_word", "source_start", "similarity")).alias("all"))
-
-    def longer(x: Column) -> Column:
-        return F.exists("all", lambda y: (y["start_word"] <= x["start_word"]) & (y["end_word"] >= x["end_word"]) & (y["end_word"] - y["start_word"] > x["end_word"] - x["start_word"]))
-
-    kept = each.select(*own, F.explode(F.filter("all", lambda x: ~longer(x))).alias("p"))
-    return kept.select("doc_id", "p.start_word", "p.end_word", "source_id", "p.source_start", "p.similarity", "digest")
+    """``found`` without what lies in another passage of the text; of passages over the
+    same words the one with the smallest source stays."""
+    order = [F.col("start_word"), F.col("end_word").desc(), F.col("source_id"), F.col("source_start"), F.col("similarity").desc()]
+    before = Window.partitionBy("doc_id", "digest").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reach = found.distinct().withColumn("__reach", F.max("end_word").over(before))
+    return reach.filter(F.col("__reach").isNull() | (F.col("__reach") < F.col("end_word"))).drop("__reach")
 
 
 def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float, held: int | None = None) -> DataFrame:
