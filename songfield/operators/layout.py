@@ -68,12 +68,14 @@ def curve(min_dist: float = MIN_DIST, spread: float = SPREAD) -> tuple[float, fl
 
 
 def initial(rows: DataFrame) -> DataFrame:
-    """The first two axes, at most 10 from the middle, with a little noise."""
+    """The first two axes, each from -10 at its least to 10 at its largest, with a
+    little noise; an axis without extent is 0."""
     mean, axes = fit_pca(rows, "unit", 2)
     flat = rows.select("id", projected(F.col("unit"), mean, axes).alias("p")).select("id", F.get("p", F.lit(0)).alias("x"), F.coalesce(F.get("p", F.lit(1)), F.lit(0.0)).alias("y"))
-    most = flat.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 1.0
+    ends = flat.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "low_"), (F.max, "high_"))])  # one row
     noise = lambda salt: (F.pmod(F.xxhash64(F.lit(SEED), F.lit(salt), "id"), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 2e-4
-    return flat.select("id", (F.col("x") / most * 10 + noise(0)).alias("x"), (F.col("y") / most * 10 + noise(1)).alias("y"))
+    across = lambda c: F.when(F.col(f"high_{c}") > F.col(f"low_{c}"), (F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}")) * 20 - 10).otherwise(0.0)
+    return flat.crossJoin(F.broadcast(ends)).select("id", (across("x") + noise(0)).alias("x"), (across("y") + noise(1)).alias("y"))
 
 
 def layout(rows: DataFrame, epochs: int = 50, k: int = UMAP_K, negatives: int = NEGATIVES) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from songfield.functions.vectors import dot, micro
 from songfield.operators.components import components
 from songfield.schemas import LENGTH_SLACK, SAME, SAME_OTHER_ISRC
+from songfield.sources.tables import written
 
 BLOCK = 2048
 
@@ -145,16 +146,43 @@ def first_of_each(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def evaluate(rows: DataFrame, k: int) -> DataFrame:
-    """How near the nearest of the same album is, for every row of an album
-    with several: share found first, upper median and mean of the ranks; a row
-    whose partner isn't among its k nearest counts as the number of rows."""
-    n = rows.count()
-    albums = rows.groupBy("album").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("album")
-    mine = rows.join(albums, "album").select("id", "album")
-    near = knn_self_join(rows, k)
-    hit = near.join(rows.select(F.col("id").alias("src"), F.col("album").alias("a")), "src").join(rows.select(F.col("id").alias("dst"), F.col("album").alias("b")), "dst").filter("a = b")
-    ranks = mine.join(hit.groupBy(F.col("src").alias("id")).agg(F.min("rank").alias("rank")), "id", "left").select(F.coalesce("rank", F.lit(n)).alias("rank"))
+def evaluate(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """How near the nearest of the same album is, for every row of an album with
+    several, ranked over all rows: share found first, upper median and mean of the
+    ranks. Tiles first find each row's nearest partner, then count what is nearer."""
+    one = rows.select(F.col("id").cast("bigint").alias("id"), F.xxhash64("album").alias("album"), F.col("unit").alias("v"))
+    n_blocks = max(1, -(-one.count() // block))
+    own, every = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    right = one.select(every.alias("i2"), own.alias("j2"), F.col("id").alias("id2"), F.col("album").alias("album2"), F.col("v").alias("v2")).groupBy("i2", "j2")
+
+    def scores(a: pa.Table, b: pa.Table):
+        src, dst = a["id"].to_numpy()[:, None], b["id2"].to_numpy()[None, :]
+        return src, dst, np.where(src == dst, -np.inf, np.floor(_matrix(a, "v") @ _matrix(b, "v2").T * 1e6 + 0.5))
+
+    def partner(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = ([], [], [])
+        if a.num_rows and b.num_rows:
+            src, dst, micro = scores(a, b)
+            micro = np.where(a["album"].to_numpy()[:, None] == b["album2"].to_numpy()[None, :], micro, -np.inf)
+            top = micro.max(axis=1)
+            first = np.where(micro == top[:, None], dst, np.iinfo(np.int64).max).min(axis=1)
+            has = np.isfinite(top)
+            found = (src[has, 0], top[has].astype(np.int64), first[has])
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("id", "micro", "dst"), found)})
+
+    def nearer(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = ([], [])
+        if a.num_rows and b.num_rows:
+            src, dst, micro = scores(a, b)
+            bar, at = a["micro"].to_numpy()[:, None], a["dst"].to_numpy()[:, None]
+            found = (src[:, 0], ((micro > bar) | (micro == bar) & (dst < at)).sum(axis=1))
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("id", "n"), found)})
+
+    left = one.select(own.alias("i"), every.alias("j"), "id", "album", "v")
+    best = left.groupBy("i", "j").cogroup(right).applyInArrow(partner, "id bigint, micro bigint, dst bigint").groupBy("id").agg(F.max(F.struct("micro", (-F.col("dst")).alias("dst"))).alias("best"))
+    known = written(one.join(best, "id").select("id", "v", "best.micro", (-F.col("best.dst")).alias("dst")), "partners")
+    counts = known.select(own.alias("i"), every.alias("j"), "id", "v", "micro", "dst").groupBy("i", "j").cogroup(right).applyInArrow(nearer, "id bigint, n bigint")
+    ranks = counts.groupBy("id").agg((F.sum("n") + 1).alias("rank"))
     return ranks.agg(
         F.count(F.lit(1)).alias("rows"), F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rank DESC)").alias("upper_median"), F.avg("rank").alias("mean"),

@@ -151,11 +151,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "v43_evaluate",
     f"""WITH p AS (SELECT a.id, a.album_id = b.album_id AS same, row_number() OVER (PARTITION BY a.id ORDER BY {_MICRO("list_dot_product(a.unit, b.unit)")} DESC, b.id) AS rank FROM space a JOIN space b ON a.id <> b.id),
-    r AS (SELECT id, coalesce(min(rank) FILTER (same AND rank <= 50), (SELECT count(*) FROM space)) AS rank FROM p GROUP BY id)
+    r AS (SELECT id, coalesce(min(rank) FILTER (same), (SELECT count(*) FROM space)) AS rank FROM p GROUP BY id)
     SELECT count(*) AS "rows", avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0 END) AS top1, list_sort(list(rank))[count(*) // 2 + 1]::BIGINT AS upper_median, avg(rank) AS mean FROM r""",
 )
 def _(t: Tables) -> DataFrame:
-    return si.evaluate(t.space().withColumn("album", F.col("album_id")), 50).withColumn("upper_median", F.col("upper_median").cast("bigint"))
+    return si.evaluate(t.space().withColumn("album", F.col("album_id"))).withColumn("upper_median", F.col("upper_median").cast("bigint"))
 
 
 # --- duplicates ----------------------------------------------------------------
