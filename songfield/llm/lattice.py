@@ -96,6 +96,7 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
                 if full:
                     yield from vocabulary()
                     number, length, known = number + 1, 0, defaultdict(count().__next__)
+                    pa.default_memory_pool().release_unused()  # the next task may run in another worker
         if ids:
             yield documents()
         if known:
@@ -324,6 +325,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scor
             found, each = taken(starts, sizes, values, np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel())
             ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
             out.append(pa.RecordBatch.from_arrays([docs.values, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], schema=schema))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out, schema)
 
     return slices.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(assembled, ENCODED)
