@@ -42,24 +42,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: later stages read that,
-    so a lost executor costs no more than the stage that it was running."""
+    so a lost executor costs no more than the stage that it was running. Shuffle
+    files of past jobs go: Spark removes them once the driver's garbage is collected,
+    which a driver with little to do may not do by itself before executors' disks fill."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/songfield/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table.path = path
     return table
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` whose successors are written. Shuffle files of past
-    jobs go too: Spark removes them once the driver's garbage is collected, which a
-    driver with little to do may not do by itself before executors' disks fill."""
+    """Deletes tables of ``written`` whose successors are written."""
     for table in tables:
         jvm = table.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.path)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -218,6 +218,36 @@ def flat(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.repeat(np.arange(len(lists)), counts), [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists.flatten().flatten()]
 
 
+def together(batches: Iterable[pa.RecordBatch], keys: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, pa.Table, np.ndarray]]:
+    """Of rows sorted by their first ``keys`` columns, some ``most`` at once and groups
+    whole: the number of each row's group, the rows, and where each group begins."""
+    held, n, limit = [], 0, most
+
+    def split(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for own in (table[i].to_numpy() for i in range(keys)):
+            new[1:] |= own[1:] != own[:-1]
+        return new
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= limit:
+            table = pa.Table.from_batches(held)
+            new = split(table)
+            last = int(np.nonzero(new)[0][-1])
+            if last:
+                yield np.cumsum(new[:last]) - 1, table.slice(0, last), np.nonzero(new[:last])[0]
+            held, n = table.slice(last).to_batches(), table.num_rows - last
+            limit = max(most, 2 * n)
+    if n:
+        table = pa.Table.from_batches(held)
+        new = split(table)
+        yield np.cumsum(new) - 1, table, np.nonzero(new)[0]
+
+
 def stretch_hashes(own: np.ndarray, width: int) -> np.ndarray:
     """A hash of every stretch of ``width`` n-grams."""
     return grams(own, width)
@@ -249,7 +279,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
             doc, digest = np.array(own, np.int64).reshape(-1, 2)[row].T
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, digest, f, *((x + at).astype(np.int32) for x in places))], names)
 
-        own, held, size = [], [], 0
+        own, held, size, seen = [], [], 0, set()
         for batch in batches:
             for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 whole = sequence(text.as_py())
@@ -257,6 +287,9 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
                 for at in range(0, max(1, len(whole)), SLICE):
                     part = whole if len(whole) <= SLICE else whole[at : at + SLICE + width]
                     if at == 0 and len(part) >= width:
+                        if (doc, digest) in seen:  # an equal row of the id
+                            break
+                        seen.add((doc, digest))
                         own.append((doc, digest))
                         held.append(part)
                         size += len(part) + 1
@@ -264,28 +297,35 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
                         yield rows([(doc, digest)], [part], at)
                 if size >= SLICE:
                     yield rows(own, held)
-                    own, held, size = [], [], 0
+                    own, held, size, seen = [], [], 0, set()
         if own:
             yield rows(own, held)
 
     every = written(texts.mapInArrow(windows, WINDOW), "windows")
     several = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
     several = written(several, "several")
-    own = every.join(several, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("f", "key", "c", "l", "r")).alias("own"))
+    own = every.join(several, "key").select("doc", "digest", "f", "key", "c", "l", "r").repartition("doc", "digest").sortWithinPartitions("doc", "digest")
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                row, own = flat(part.column(2))
-                row, *found = joint_windows(row, *own, width, functions, enough)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *map(pa.array, found[1:])], ["key", "doc", "digest", "exact", "c", "c2", "l", "r"])
+        for row, part, begin in together(batches, 2):
+            f, key, c, l, r = (part[i].to_numpy().astype(np.int64) for i in range(2, 7))
+            # Equal rows of an id have equal windows, of which one is kept.
+            every = np.stack([row, f, key, c, l, r])[:, np.lexsort((r, l, c, f, row))]
+            new = np.append(True, (every[:, 1:] != every[:, :-1]).any(axis=0))
+            row, *found = joint_windows(*every[:, new], width, functions, enough)
+            whose = pa.array(begin[row])
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), *(part[i].combine_chunks().take(whose) for i in (0, 1)), *map(pa.array, found[1:])], ["key", "doc", "digest", "exact", "c", "c2", "l", "r"])
 
     def heads_of(rows: DataFrame) -> DataFrame:
         """The first window of each key that several documents have."""
         firsts = rows.groupBy("key").agg(F.min(F.struct("doc", "digest", "c", "c2", "l", "r")).alias("first"), F.max("doc").alias("last")).filter("first.doc < last")
         return written(firsts.select("key", *(F.col(f"first.{a}").alias(b) for a, b in SOURCE.items())), "heads")
 
+    def heads_of_first(rows: DataFrame) -> DataFrame:
+        """The first window of each key, of the rows of its first document."""
+        firsts = rows.groupBy("key").agg(F.min(F.struct("doc", "digest", "c", "c2", "l", "r")).alias("first"))
+        return written(firsts.select("key", *(F.col(f"first.{a}").alias(b) for a, b in SOURCE.items())), "heads")
+
     def spread(rows: DataFrame, found: DataFrame) -> DataFrame:
         """``rows`` beside the passages found in their text."""
         spans = found.groupBy(F.col("doc_id").alias("doc"), "digest").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
@@ -320,15 +360,17 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
 
         stretches = written(texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
         places = stretches.select("key", "doc", "digest", F.col("at").alias("c"), F.col("at").alias("c2"), F.col("at").alias("l"), (F.col("at") + F.col("size") - 1).alias("r"))
-        dropped(beside, joint, heads)
+        dropped(beside, marked, heads)
         copies = spread(places, found).filter(~inside(F.col("l"), F.col("r") + GRAM)).drop("spans")
         return _verified(texts, copies.join(heads_of(places), "key").filter("doc > source"), width, similarity, run)
 
     every_joint = written(own.mapInArrow(joined, JOINT), "joint")
     dropped(every, several)
-    heads = heads_of(every_joint)
-    joint = written(every_joint.join(heads.select("key"), "key"), "shared")
+    # Numbers only are aggregated over all windows; whole windows only of the keys' first documents.
+    lows = every_joint.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key", "low")
+    marked = written(every_joint.join(lows, "key").withColumn("first", F.col("doc") == F.col("low")).drop("low"), "shared")
     dropped(every_joint)
+    joint, heads = marked.drop("first"), heads_of_first(marked.filter("first"))
     found = written(_verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity), "passages")
 
     low, high = F.least("c", "c2"), F.greatest("c", "c2")
@@ -362,14 +404,15 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
     """The passages in the regions that windows shared by two texts make, where these
     have ``held`` n-grams (``width`` of them if not given) in common."""
     key = ["doc", "digest", "source", "source_digest", "start", "end", "offsets"]
-    pairs = hits.groupBy("doc", "digest", "source", "source_digest").agg(F.collect_list(F.struct("c", "c2", "l", "r", "ac", "ac2", "al", "ar")).alias("hits"))
+    pair = ["doc", "digest", "source", "source_digest"]
+    pairs = hits.select(*pair, "c", "c2", "l", "r", "ac", "ac2", "al", "ar").repartition(*pair).sortWithinPartitions(*pair)
 
     def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, own = flat(batch.column(4))
-            row, start, end, ends, offsets = regions(row, *own, held or width)
+        for row, part, begin in together(batches, 4):
+            row, start, end, ends, offsets = regions(row, *(part[i].to_numpy().astype(np.int64) for i in range(4, 12)), held or width)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(offsets.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(4)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), lists], key)
+            whose = pa.array(begin[row])
+            yield pa.RecordBatch.from_arrays([*(part[i].combine_chunks().take(whose) for i in range(4)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), lists], key)
 
     found = written(pairs.mapInArrow(swept, REGION), "regions")
     first_block = F.floor(F.greatest(F.lit(0), F.col("start") + F.array_min("offsets")) / BLOCK)
