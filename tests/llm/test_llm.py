@@ -571,3 +571,20 @@ def test_pipeline_runs_on_all_rows(spark, docs, tmp_path):
         out.write.parquet(str(tmp_path / name.replace(" ", "")))
         now = spark.read.parquet(str(tmp_path / name.replace(" ", "")))
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("most", [1, 3, 7, 1000])
+def test_sorted_rows_come_in_whole_groups(most):
+    import pyarrow as pa
+
+    sizes = [1, 1, 9, 2, 30, 1]
+    keys = [k for k, n in enumerate(sizes) for _ in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array([k // 2 for k in keys]), pa.array([k % 2 for k in keys]), pa.array(range(len(keys)))], ["a", "b", "v"])
+    batches = [rows.slice(0, 0), *(rows.slice(at, 4) for at in range(0, len(keys), 4)), rows.slice(0, 0)]
+    seen = []
+    for group, part, begin in substrings.together(iter(batches), 2, most):
+        whole = [2 * a + b for a, b in zip(part["a"].to_pylist(), part["b"].to_pylist())]
+        assert [whole[i] for i in begin[group]] == whole and len(begin) == len(set(whole))
+        seen += zip(whole, part["v"].to_pylist())
+    assert seen == list(zip(keys, range(len(keys))))
+    assert not list(substrings.together(iter([rows.slice(0, 0)]), 2, most))
