@@ -368,8 +368,9 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     dropped(every, several)
     # Numbers only are aggregated over all windows; whole windows only of the keys' first documents.
     lows = every_joint.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key", "low")
+    lows = written(lows, "lows")  # so that a hot key's rows can be split in the join
     marked = written(every_joint.join(lows, "key").withColumn("first", F.col("doc") == F.col("low")).drop("low"), "shared")
-    dropped(every_joint)
+    dropped(every_joint, lows)
     joint, heads = marked.drop("first"), heads_of_first(marked.filter("first"))
     found = written(_verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity), "passages")
 
