@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words, as characters and as a pattern.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Seconds after a write in which its end gets to all listeners.
+SETTLED = 0.3
 
 
 def words_of(text: Column) -> Column:
@@ -44,12 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: later stages read that,
     so a lost executor costs no more than the stage that it was running. Shuffle
     files of past jobs go: Spark removes them once the driver's garbage is collected,
-    which a driver with little to do may not do by itself before executors' disks fill."""
+    which a driver with little to do may not do by itself before executors' disks fill.
+    The job's end is still being told to listeners when the write returns, and till
+    then its shuffles are held: a collection at once would free none of them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/songfield/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
+    time.sleep(SETTLED)
+    spark.sparkContext._jvm.System.gc()
     table.path = path
     return table
 
