@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words, as characters and as a pattern.
 SPACE = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
-#: Seconds after a write in which its end gets to all listeners.
-SETTLED = 0.3
 
 
 def words_of(text: Column) -> Column:
@@ -54,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/songfield/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    time.sleep(SETTLED)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     spark.sparkContext._jvm.System.gc()
     table.path = path
     return table

@@ -372,7 +372,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     marked = written(every_joint.join(lows, "key").withColumn("first", F.col("doc") == F.col("low")).drop("low"), "shared")
     dropped(every_joint, lows)
     joint, heads = marked.drop("first"), heads_of_first(marked.filter("first"))
-    found = written(_verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity), "passages")
+    found = _verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity)
 
     low, high = F.least("c", "c2"), F.greatest("c", "c2")
     begin, end = F.greatest("l", high - (width - 1)), F.least("r", low + (width - 1))
@@ -415,12 +415,11 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
             whose = pa.array(begin[row])
             yield pa.RecordBatch.from_arrays([*(part[i].combine_chunks().take(whose) for i in range(4)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), lists], key)
 
-    found = written(pairs.mapInArrow(swept, REGION), "regions")
-    first_block = F.floor(F.greatest(F.lit(0), F.col("start") + F.array_min("offsets")) / BLOCK)
-    last_block = F.floor((F.col("end") + F.array_max("offsets")) / BLOCK)
-    in_copy = found.select(*key, F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("digest").alias("of_digest"), F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))).alias("block"))
-    in_source = found.select(*key, F.lit(1).alias("side"), F.col("source").alias("of"), F.col("source_digest").alias("of_digest"), F.explode(F.sequence(first_block, last_block)).alias("block"))
-    needs = in_copy.unionByName(in_source)
+    found = written(pairs.mapInArrow(swept, REGION).withColumn("id", F.monotonically_increasing_id()), "regions")
+    start, end = F.greatest(F.lit(0), F.col("start") + F.array_min("offsets")), F.col("end") + F.array_max("offsets")
+    in_copy = found.select("id", F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("digest").alias("of_digest"), "start", "end")
+    in_source = found.select("id", F.lit(1).alias("side"), F.col("source").alias("of"), F.col("source_digest").alias("of_digest"), start.alias("start"), end.alias("end"))
+    needs = in_copy.unionByName(in_source).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
     of_text = needs.select("of", "of_digest", "block").distinct().groupBy("of", "of_digest").agg(F.collect_list("block").alias("blocks"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,29 +438,35 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
 
     same = (F.col("doc") == F.col("of")) & (F.col("digest") == F.col("of_digest"))
     fetched = texts.join(of_text, same).select("doc", "digest", "text", "blocks").mapInArrow(cut, "of bigint, of_digest bigint, block bigint, hashes binary")
-    # Equal rows of an id cut equal blocks, of which one is kept.
-    fetched = fetched.groupBy("of", "of_digest", "block").agg(F.first("hashes").alias("hashes"))
-    both = needs.join(fetched, ["of", "of_digest", "block"]).groupBy(*key).agg(F.collect_list(F.struct("side", "block", "hashes")).alias("parts"))
+    # Equal rows of an id cut equal blocks, of which one is kept. A table, so that texts
+    # are off the executors' disks before blocks go to their regions.
+    fetched = written(fetched.groupBy("of", "of_digest", "block").agg(F.first("hashes").alias("hashes")), "blocks")
+    before = F.greatest(F.lit(0), F.col("start") - F.col("block") * BLOCK).cast("int")
+    upto = F.least(F.lit(BLOCK), F.col("end") + 1 - F.col("block") * BLOCK).cast("int")
+    part = F.struct("side", "block", (F.col("block") * BLOCK + before).alias("at"), F.substring("hashes", before * 4 + 1, (upto - before) * 4).alias("hashes"))
+    parts = needs.join(fetched, ["of", "of_digest", "block"]).groupBy("id").agg(F.collect_list(part).alias("parts"))
+    both = found.join(parts, "id").select(*key, "parts")
 
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, digest, source, _, start, end, offsets, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, digest, source, _, start, _, offsets, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 side = ([], [])
                 for p in sorted(parts, key=lambda p: (p["side"], p["block"])):
-                    side[p["side"]].append((p["block"], np.frombuffer(p["hashes"], np.uint32)))
+                    side[p["side"]].append((p["at"], np.frombuffer(p["hashes"], np.uint32)))
                 if not all(side):
                     continue
-                b0, a0 = side[0][0][0] * BLOCK, side[1][0][0] * BLOCK
-                copy = np.concatenate([h for _, h in side[0]])[start - b0 : end + 1 - b0]
-                origin = np.concatenate([h for _, h in side[1]])
+                a0 = side[1][0][0]
+                copy, origin = (np.concatenate([h for _, h in own]) for own in side)
                 for s, e, d, like in passages(copy, origin, [x + start - a0 for x in offsets], width, similarity):
                     out.append((doc, start + s, start + e + GRAM - 1, source, a0 + s + d, like, digest))
             cols = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start_word", "end_word", "source_id", "source_start", "similarity", "digest"])
 
-    return both.mapInArrow(verified, PASSAGE).distinct()
+    passed = written(both.mapInArrow(verified, PASSAGE).distinct(), "passages")
+    dropped(found, fetched)
+    return passed
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
