@@ -49,8 +49,9 @@ from songfield.llm.jaccard import grams, mixed, word_hashes
 GRAM, LEAST, FUNCTIONS, ENOUGH = 5, 50, 3, 2
 #: Offsets of one region differ by no more from one window to the next.
 SLACK = 16
-#: n-grams of a block that is fetched, and of texts that are worked on at once.
-BLOCK, SLICE = 64, 1 << 20
+#: n-grams of a block that is fetched, of texts that are worked on at once, and of a
+#: text beyond which it goes on in a row of its own.
+BLOCK, TOGETHER, SLICE = 64, 1 << 18, 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -295,9 +296,10 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
                         size += len(part) + 1
                     elif len(part) >= width:
                         yield rows([(doc, digest)], [part], at)
-                if size >= SLICE:
+                if size >= TOGETHER:
                     yield rows(own, held)
                     own, held, size, seen = [], [], 0, set()
+                    pa.default_memory_pool().release_unused()
         if own:
             yield rows(own, held)
 
@@ -314,6 +316,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
             new = np.append(True, (every[:, 1:] != every[:, :-1]).any(axis=0))
             row, *found = joint_windows(*every[:, new], width, functions, enough)
             whose = pa.array(begin[row])
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), *(part[i].combine_chunks().take(whose) for i in (0, 1)), *map(pa.array, found[1:])], ["key", "doc", "digest", "exact", "c", "c2", "l", "r"])
 
     def heads_of(rows: DataFrame) -> DataFrame:
