@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, jaccard, lattice, mixing, nearest, pieces, quality, sharding, substrings, tokencounts, toxicity
+from songfield.llm import archives, divergence, jaccard, lattice, mixing, nearest, pieces, quality, sharding, substrings, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,6 +225,41 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 FROM f
 """
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of each language against each other, and the terms that each favours."""
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '{divergence.TERM}') AS w
+  FROM documents),
+e AS (SELECT lang, source, unnest(w) AS term FROM d),
+o AS (SELECT lang, unnest(list_distinct(w)) AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(*) >= {divergence.HELD}),
+c AS (SELECT lang, source, term, count(*) AS n FROM e JOIN k USING (lang, term) GROUP BY lang, source, term),
+z AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN z USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, sum(total) AS total, max(v) AS v FROM g GROUP BY lang),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN l USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE C) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM s WHERE part = 'pair' OR rank <= {divergence.TERMS}
+"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -236,10 +271,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_archives": op10_archives,
+    "op11_divergence": op11_divergence,
     "sentencepiece_round_trip": sentencepiece_round_trip,
 }
 #: SQL that needs no more than the tables; ``oracle_sql`` adds what is made from a model's pieces.
-ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_archives": OP10_SQL, "sentencepiece_round_trip": ROUND_TRIP_SQL}
+ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_archives": OP10_SQL, "op11_divergence": OP11_SQL, "sentencepiece_round_trip": ROUND_TRIP_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
