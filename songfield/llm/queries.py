@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, divergence, jaccard, lattice, mixing, nearest, pieces, quality, sharding, substrings, tokencounts, toxicity
+from songfield.llm import archives, divergence, filteraudit, jaccard, lattice, mixing, nearest, pieces, quality, sharding, substrings, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -260,6 +260,46 @@ s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM s WHERE part = 'pair' OR rank <= {divergence.TERMS}
 """
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order of five filters over all documents, by language."""
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+x AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END AS bits
+  FROM w LEFT JOIN y USING (doc_id)),
+c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY part, bits),
+o AS (
+  SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS f
+  UNION ALL
+  SELECT filter_order || substring('ABCDE', i + 1, 1), step + 1, before + (CASE WHEN step > 0 THEN 1 << f ELSE 0 END), i::INTEGER
+  FROM o, range(5) r(i) WHERE step < 5 AND filter_order NOT LIKE '%' || substring('ABCDE', i + 1, 1) || '%'),
+whole AS (SELECT filter_order FROM o WHERE step = 5),
+s AS (SELECT whole.filter_order, o.step, o.before, o.f FROM whole JOIN o ON o.step > 0 AND starts_with(whole.filter_order, o.filter_order)),
+m AS (
+  SELECT part, filter_order, step, f,
+         sum(n) FILTER (bits & (before | (1 << f)) = 0) AS kept,
+         sum(n) FILTER (bits & before = 0 AND bits & (1 << f) <> 0) AS removed,
+         sum(n) FILTER (bits & before <> 0 AND bits & (1 << f) <> 0) AS redundant,
+         sum(n) FILTER (bits = 1 << f) AS unique_fails,
+         sum(good) FILTER (bits & before = 0 AND bits & (1 << f) <> 0) AS good_lost,
+         sum(toxic) FILTER (bits & before = 0 AND bits & (1 << f) <> 0) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM m
+"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -272,10 +312,11 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_archives": op10_archives,
     "op11_divergence": op11_divergence,
+    "op13_filter_audit": op13_filter_audit,
     "sentencepiece_round_trip": sentencepiece_round_trip,
 }
 #: SQL that needs no more than the tables; ``oracle_sql`` adds what is made from a model's pieces.
-ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_archives": OP10_SQL, "op11_divergence": OP11_SQL, "sentencepiece_round_trip": ROUND_TRIP_SQL}
+ORACLE_SQL = {"op2_quality": OP2_SQL, "op4_nearest": OP4_SQL, "op5_mixing": OP5_SQL, "op7_jaccard": OP7_SQL, "op10_archives": OP10_SQL, "op11_divergence": OP11_SQL, "op13_filter_audit": OP13_SQL, "sentencepiece_round_trip": ROUND_TRIP_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
