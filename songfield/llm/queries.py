@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.llm import archives, divergence, filteraudit, jaccard, lattice, mixing, nearest, pieces, quality, sharding, substrings, tokencounts, toxicity
+from songfield.llm import archives, divergence, filteraudit, jaccard, lattice, mixing, nearest, personal, pieces, quality, sharding, substrings, tokencounts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -260,6 +260,11 @@ s AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM s WHERE part = 'pair' OR rank <= {divergence.TERMS}
 """
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: the base patterns' counts and digest, and all spans."""
+    return personal.detect(_table(spark, sf_dir, "documents")).drop("added")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order of five filters over all documents, by language."""
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -312,6 +317,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_archives": op10_archives,
     "op11_divergence": op11_divergence,
+    "op12_personal": op12_personal,
     "op13_filter_audit": op13_filter_audit,
     "sentencepiece_round_trip": sentencepiece_round_trip,
 }
