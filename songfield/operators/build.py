@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songfield.functions.music import finite
+from songfield.operators.numbering import medians
 from songfield.schemas import LANGUAGE_LEAST, LANGUAGE_MOST
 
 
 def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
     """What isn't finite becomes the column's exact median; 0 if nothing is."""
-    middle = rows.agg(*[F.median(finite(F.col(c))).alias(c) for c in columns])
-    named = middle.select(*[F.coalesce(c, F.lit(0.0)).alias(f"__{c}") for c in columns])
-    return rows.crossJoin(F.broadcast(named)).withColumns({c: F.coalesce(finite(F.col(c)), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])  # one row
+    middle = medians(rows.select(*[finite(F.col(c)).alias(c) for c in columns]), columns)
+    return rows.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(float(middle[c] or 0.0))) for c in columns})
 
 
 def column_stats(rows: DataFrame, block: str, width: int) -> list[tuple[float, float]]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songfield.functions import text as tx
+from songfield.operators.numbering import Down, numbered
 from songfield.schemas import RECHECK_DAYS, SEARCH_LIMIT
 
 # --- scans and order ---------------------------------------------------------
@@ -262,7 +263,7 @@ def first_free(ids: DataFrame, least: int = 1) -> DataFrame:
 def numbered_artists(rows: DataFrame) -> DataFrame:
     """Artists numbered from 0 by their first row."""
     firsts = rows.groupBy("artist_id").agg(F.min("row_no").alias("first_row"))
-    return firsts.select("artist_id", (F.row_number().over(Window.orderBy("first_row")) - 1).alias("number"))
+    return numbered(firsts, [F.col("first_row")]).select("artist_id", F.col("number").cast("int").alias("number"))
 
 
 def reach(visible: DataFrame) -> DataFrame:
@@ -331,12 +332,17 @@ def search_groups(rows: DataFrame, query: str) -> tuple[DataFrame, DataFrame]:
     return albums.orderBy("rank", "row_no"), artists.orderBy("rank", "row_no")
 
 
-def sorted_rows(rows: DataFrame, field: str | None, descending: bool = False) -> DataFrame:
-    """Missing values last both ways, text without case, ties in place."""
+def sorted_rows(rows: DataFrame, field: str | None, descending: bool = False, number: str | None = None) -> DataFrame:
+    """Missing values last both ways, text without case, ties in place. With
+    ``number`` the rows get their place, from 0, and are left where they are."""
     if field is None:
-        return rows.orderBy(F.col("pos").desc() if descending else F.col("pos"))
-    value = F.lower(field) if dict(rows.dtypes)[field] == "string" else F.col(field)
-    return rows.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last(), "pos")
+        order = [Down(F.col("pos")) if descending else F.col("pos")]
+    else:
+        value = F.nullif(F.lower(field), F.lit("")) if dict(rows.dtypes)[field] == "string" else F.col(field)
+        order = [Down(value) if descending else value, F.col("pos")]
+    if number:
+        return numbered(rows, order, name=number)
+    return rows.orderBy(*[o.of(o.by) if isinstance(o, Down) else o.asc_nulls_last() for o in order])
 
 
 def remembered(history: DataFrame, keep: int = 20) -> DataFrame:

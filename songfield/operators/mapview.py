@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songfield.functions.music import place_hash
+from songfield.operators.numbering import numbered
 
 
 def bounds(rows: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def bounds(rows: DataFrame) -> DataFrame:
 def genre_numbers(rows: DataFrame) -> DataFrame:
     """M1: genres numbered by their first row; as many rows as genres."""
     firsts = rows.groupBy("genre").agg(F.min("row_no").alias("first"))
-    return firsts.select("genre", (F.row_number().over(Window.orderBy("first")) - 1).alias("number"))
+    return numbered(firsts, [F.col("first")]).select("genre", F.col("number").cast("int").alias("number"))
 
 
 def grid_side(n: int) -> int:

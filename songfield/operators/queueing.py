@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from songfield.operators.catalogue import first_by
+from songfield.operators.numbering import numbered
 
 
 def positions(queue: DataFrame) -> DataFrame:
-    """How many go before each row. Priorities are few, so each is
-    numbered apart, and starts where the more urgent ones end."""
-    sizes = queue.groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("priority", (F.coalesce(F.sum("n").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    own = F.row_number().over(Window.partitionBy("priority").orderBy("seq"))
-    return queue.withColumn("own", own).join(F.broadcast(before), "priority").withColumn("position", F.col("before") + F.col("own") - 1).drop("own", "before")
+    """How many go before each row. A hot priority is in many ranges."""
+    return numbered(queue, [F.col("priority"), F.col("seq")], name="position")
 
 
 def claim(queue: DataFrame, taken: DataFrame, done: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from songfield.functions.vectors import dot, micro
 from songfield.operators.components import components
+from songfield.operators.numbering import at_ranks
 from songfield.schemas import LENGTH_SLACK, SAME, SAME_OTHER_ISRC
 from songfield.sources.tables import written
 
@@ -149,11 +150,12 @@ def first_of_each(rows: DataFrame, order: str) -> DataFrame:
 def evaluate(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """How near the nearest of the same album is, for every row of an album with
     several, ranked over all rows: share found first, upper median and mean of the
-    ranks. Tiles first find each row's nearest partner, then count what is nearer."""
-    one = rows.select(F.col("id").cast("bigint").alias("id"), F.xxhash64("album").alias("album"), F.col("unit").alias("v"))
+    ranks. A row without an album has no partner and is nobody's. Tiles first find each row's nearest partner, then count what is nearer."""
+    one = rows.select(F.col("id").cast("bigint").alias("id"), F.when(F.col("album").isNotNull(), F.xxhash64("album")).alias("album"), F.col("unit").alias("v"))
     n_blocks = max(1, -(-one.count() // block))
     own, every = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    right = one.select(every.alias("i2"), own.alias("j2"), F.col("id").alias("id2"), F.col("album").alias("album2"), F.col("v").alias("v2")).groupBy("i2", "j2")
+    right_of = lambda rows: rows.select(every.alias("i2"), own.alias("j2"), F.col("id").alias("id2"), F.col("album").alias("album2"), F.col("v").alias("v2")).groupBy("i2", "j2")
+    right = right_of(one)
 
     def scores(a: pa.Table, b: pa.Table):
         src, dst = a["id"].to_numpy()[:, None], b["id2"].to_numpy()[None, :]
@@ -179,14 +181,15 @@ def evaluate(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("id", "n"), found)})
 
     left = one.select(own.alias("i"), every.alias("j"), "id", "album", "v")
-    best = left.groupBy("i", "j").cogroup(right).applyInArrow(partner, "id bigint, micro bigint, dst bigint").groupBy("id").agg(F.max(F.struct("micro", (-F.col("dst")).alias("dst"))).alias("best"))
+    album_right = right_of(one.filter("album IS NOT NULL"))
+    best = left.filter("album IS NOT NULL").groupBy("i", "j").cogroup(album_right).applyInArrow(partner, "id bigint, micro bigint, dst bigint").groupBy("id").agg(F.max(F.struct("micro", (-F.col("dst")).alias("dst"))).alias("best"))
     known = written(one.join(best, "id").select("id", "v", "best.micro", (-F.col("best.dst")).alias("dst")), "partners")
     counts = known.select(own.alias("i"), every.alias("j"), "id", "v", "micro", "dst").groupBy("i", "j").cogroup(right).applyInArrow(nearer, "id bigint, n bigint")
-    ranks = counts.groupBy("id").agg((F.sum("n") + 1).alias("rank"))
-    return ranks.agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rank DESC)").alias("upper_median"), F.avg("rank").alias("mean"),
-    )
+    ranks = written(counts.groupBy("id").agg((F.sum("n") + 1).alias("rank")), "ranks")
+    found = ranks.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("top1"), F.avg("rank").alias("mean"))
+    n = ranks.count()
+    middle = at_ranks(ranks, {"rank": [n // 2]})["rank"][0] if n else None
+    return found.select("rows", "top1", F.lit(middle).cast("double").alias("upper_median"), "mean")
 
 
 def neighbours(rows: DataFrame, seed: int, k: int, other_artists: bool = False) -> DataFrame:

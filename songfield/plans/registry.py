@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from songfield.functions import music as mu
@@ -20,6 +20,7 @@ from songfield.operators import catalogue as ca
 from songfield.operators import layout as la
 from songfield.operators import mapview as mv
 from songfield.operators import navigate as na
+from songfield.operators import numbering as nu
 from songfield.operators import queueing as qu
 from songfield.operators import similarity as si
 from songfield.plans.standins import SQL, Tables
@@ -519,9 +520,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("o5_sorted_rows", "SELECT id, row_number() OVER (ORDER BY lower(nullif(artist, '')) DESC NULLS LAST, row_no) AS at FROM cat")
 def _(t: Tables) -> DataFrame:
-    rows = ca.sorted_rows(t.rows().withColumns({"pos": F.col("row_no"), "artist": F.nullif("artist", F.lit(""))}), "artist", True)
-    # The place of each row in that order, as its own window.
-    return rows.select("id", F.row_number().over(Window.orderBy(F.lower("artist").desc_nulls_last(), "pos")).cast("bigint").alias("at"))
+    return ca.sorted_rows(t.rows().withColumn("pos", F.col("row_no")), "artist", True, number="place").select("id", (F.col("place") + 1).alias("at"))
 
 
 @query("o7_discography", "SELECT p_brand AS id, arg_min(p_size, p_partkey)::BIGINT AS released FROM part GROUP BY p_brand")
@@ -542,8 +541,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("w4_offsets", "SELECT o_custkey, o_orderkey, (coalesce(sum(o_orderkey % 5) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM orders")
 def _(t: Tables) -> DataFrame:
-    before = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-    return t.orders.select("o_custkey", "o_orderkey", F.coalesce(F.sum(F.col("o_orderkey") % 5).over(before), F.lit(0).cast("bigint")).alias("start"))
+    return nu.numbered(t.orders, [F.col("o_orderkey")], ["o_custkey"], weight=F.col("o_orderkey") % 5).select("o_custkey", "o_orderkey", "start")
 
 
 # --- functions -----------------------------------------------------------------
