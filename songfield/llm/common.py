@@ -42,23 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: later stages read that,
-    so a lost executor costs no more than the stage that it was running. Shuffle
-    files of past jobs go: Spark removes them once the driver's garbage is collected,
-    which a driver with little to do may not do by itself before executors' disks fill.
-    The job's end is still being told to listeners when the write returns, and till
-    then its shuffles are held: a collection at once would free none of them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/songfield/{name}-{uuid.uuid4().hex}"
+    so a lost executor costs no more than the stage that it was running."""
+    path = f"{shared_folder(df.sparkSession)}/songfield/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    spark.sparkContext._jvm.System.gc()
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.path = path
     return table
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` whose successors are written."""
+    """Deletes tables of ``written`` whose successors are written. Files are deleted by
+    the file system that Spark itself uses, whichever it is; PySpark has no call for it."""
     for table in tables:
         jvm = table.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.path)

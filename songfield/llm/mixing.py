@@ -4,9 +4,14 @@ Sizes are summed by source; the targets follow from those sums by filling:
 each source gets its weight's part of what is left, none more than ``most``
 times its size, and what a full source can't take goes to the others. A
 source's target over its size is its rate, and a document is emitted
-floor(rate) times, plus once more if its own hash falls below the fraction.
-Each document decides alone, so a source that holds a third of all rows is
-split like any other data, and a rerun emits the same rows.
+floor(rate) times, plus once more if its own hash falls below the fraction: below
+that part of its source's hashes that holds the fraction of the source's words.
+Drawn so, a source's words miss its target by no more than the half of one
+document's (equal hashes count as one), where independent draws would miss it by
+the luck of a few long texts. The bar is found by sums over at most 2^16 ranges of
+hashes of a source, then over the hashes of one range, so that a source of a third
+of all rows is split like any other data. After that each document decides alone,
+no text is shuffled, and a rerun emits the same rows.
 
 A null text has size 0; a null source is a source like the others, last in
 order; repeated rows (same id and size) share their draw; a very long text counts
@@ -64,10 +69,31 @@ def targets(docs: DataFrame, size: str = "size", weights: tuple[float, ...] = WE
     return table.select("source", "source_size", target.alias("target")).withColumn("rate", rate)
 
 
-def uniform(seed: int, *parts: str) -> Column:
-    """In [0, 1) from the first 32 bits of an MD5 over the seed and these columns."""
+def drawn(seed: int, *parts: str) -> Column:
+    """The first 32 bits of an MD5 over the seed and these columns."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(p).cast("string"), F.lit("null")) for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
+def bars(draws: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rates`` with ``bar``: the largest draw of a source at which what was drawn
+    before, and half of what is drawn there, is within the fraction of its words;
+    null where nothing is drawn. ``draws`` are (source, draw, size)."""
+    range_ = F.shiftright("draw", 16).alias("range")
+    ranges = written(draws.groupBy("source", range_).agg(F.sum("size").alias("held"), F.sum(F.lit(1)).alias("n")), "draws")
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    want = rates.select("source", ((F.col("rate") - F.floor("rate")) * F.col("source_size")).alias("want")).filter("want > 0")
+    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    sums = ranges.select("source", "range", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    crossed = sums.join(want, same(sums, want)).filter("before <= want").groupBy(sums["source"]).agg(F.max(F.struct("range", "before", "want")).alias("at"))
+    crossed = written(crossed.select("source", "at.range", "at.before", "at.want"), "crossed")
+    near = draws.join(crossed, same(draws, crossed) & (range_ == crossed["range"])).groupBy(draws["source"], "draw", "before", "want").agg(F.sum("size").alias("held"))
+    own = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    until = near.withColumn("middle", F.col("before") + F.coalesce(F.sum("held").over(own), F.lit(0)) + F.col("held") / 2.0)
+    # Where no draw of the range is within it, all ranges before are.
+    inside = until.groupBy("source").agg(F.max(F.when(F.col("middle") <= F.col("want"), F.col("draw"))).alias("last"))
+    bar = crossed.join(inside, same(crossed, inside), "left").select(crossed["source"].alias("__s"), F.coalesce("last", F.shiftleft(crossed["range"], 16) - 1).alias("bar"))
+    return rates.join(bar, rates["source"].eqNullSafe(bar["__s"]), "left").drop("__s")
 
 
 def planned(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, prefix: str = "") -> DataFrame:
@@ -76,10 +102,14 @@ def planned(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS
     size, source_size, target, rate, copies = (prefix + x for x in ("size", "source_size", "target", "rate", "copies"))
     refuse_clash(docs.columns, size, source_size, target, rate, copies)
     sized = docs.withColumn(size, word_count(F.col("text")))
-    rates = targets(sized, size, weights, most).select(F.col("source").alias("__source"), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
+    draw = drawn(seed, "doc_id", size)
+    skeleton = written(sized.select("source", draw.alias("draw"), F.col(size).alias("size")), "sizes")
+    bar = f"{prefix}__bar"
+    named = bars(skeleton, written(targets(skeleton, "size", weights, most), "rates"))
+    rates = named.select(F.col("source").alias("__source"), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate), F.col("bar").alias(bar))
     joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
-    whole = F.floor(F.col(rate))
-    return joined.withColumn(copies, (whole + (uniform(seed, "doc_id", size) < F.col(rate) - whole).cast("bigint")).cast("bigint"))
+    extra = F.coalesce(draw <= F.col(bar), F.lit(False)).cast("bigint")
+    return joined.withColumn(copies, (F.floor(F.col(rate)) + extra).cast("bigint")).drop(bar)
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, number: str | None = "copy") -> DataFrame:

@@ -71,12 +71,17 @@ o AS (
 l AS (SELECT max((total - filled) / open) AS level FROM o WHERE (total - filled) / open <= cap / weight),
 t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM o, l),
 r AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-         ('0x' || md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+  SELECT doc_id, size, d.source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+         ('0x' || md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size)[1:8])::BIGINT AS draw
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT source, draw, sum(size)::BIGINT AS held FROM r GROUP BY source, draw),
+m AS (SELECT source, draw, coalesce(sum(held) OVER (PARTITION BY source ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + held / 2.0::DOUBLE AS middle FROM u)
+SELECT doc_id, size, source_size, target,
+       (size * (floor(rate) + CASE WHEN rate > floor(rate) AND middle <= (rate - floor(rate)) * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r JOIN m ON r.draw = m.draw AND r.source IS NOT DISTINCT FROM m.source
 """
 
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 50."""
     return nearest.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

@@ -7,8 +7,11 @@ c..r. The windows are the subtrees of the sequence's Cartesian tree, of which
 only those count that hold a stretch as long as a passage: some two of them for
 each passage's length of text, whatever the text.
 
-1. The windows of some hash functions whose smallest n-gram several documents
-   hold are joined within a text: around the smallest n-grams under two functions
+1. Windows are keyed by their smallest n-gram. A bitmap of fixed size says of which
+   keys there is more than one in all texts; a window whose key is a text's own never
+   leaves the worker that finds it. Where two keys share a bit, one window more
+   does, which costs room and no passage. The windows of some hash functions whose
+   key several documents hold are joined within a text: around the smallest n-grams under two functions
    at once. The first document of those that share both stands for them.
 2. The windows that two documents share give intervals at one offset. Where they
    overlap or lie near each other, there is a region to verify.
@@ -47,6 +50,8 @@ from songfield.llm.jaccard import grams, mixed, word_hashes
 
 #: Words of an n-gram, words of a passage, hash functions, and how many must agree.
 GRAM, LEAST, FUNCTIONS, ENOUGH = 5, 50, 3, 2
+#: log2 of the bits of the bitmaps of keys and of texts, the largest data that is broadcast.
+KEY_BITS, TEXT_BITS = 27, 24
 #: Offsets of one region differ by no more from one window to the next.
 SLACK = 16
 #: n-grams of a block that is fetched, of texts that are worked on at once, and of a
@@ -249,6 +254,38 @@ def together(batches: Iterable[pa.RecordBatch], keys: int, most: int = 1 << 16)
         yield np.cumsum(new) - 1, table, np.nonzero(new)[0]
 
 
+def places(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of 64-bit hashes in a bitmap."""
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """The places in the column ``slot`` as a bitmap; the driver gets at most 2 ** (bits - 6)
+    words of it, for any table."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def held(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots >> 6] >> (slots & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def needed(texts: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc, digest, text) that ``of`` (doc, digest) names, and few
+    others: whatever else there is stays out of the join's exchange."""
+    slot = F.shiftrightunsigned(F.xxhash64("doc", "digest"), 64 - TEXT_BITS)
+    marks = texts.sparkSession.sparkContext.broadcast(bitmap(of.select(slot.alias("slot")).distinct(), TEXT_BITS))
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(marks.value, batch.column(3).to_numpy()))).select(["doc", "digest", "text"])
+
+    return texts.select("doc", "digest", "text", slot.alias("slot")).mapInArrow(kept, "doc bigint, digest bigint, text string")
+
+
 def stretch_hashes(own: np.ndarray, width: int) -> np.ndarray:
     """A hash of every stretch of ``width`` n-grams."""
     return grams(own, width)
@@ -267,20 +304,20 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     """(doc_id, start_word, end_word, source_id, source_start, similarity, digest):
     words start_word up to end_word of a document are a copy of its source's. Where
     rows of one id have several texts, digest, xxhash64 of the text, says which."""
-    width = least - GRAM + 1
+    spark, width = docs.sparkSession, least - GRAM + 1
     run = _whole_run(width, similarity)
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text")).filter("doc IS NOT NULL")
 
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "digest", "f", "c", "l", "r"]
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """(key, row, doc, digest, f, c, l, r) arrays of several texts."""
 
-        def rows(own, held, at=0):
-            key, row, f, *places = document_windows(list(range(len(own))), held, least, functions)
+        def rows(own, parts, at=0):
+            key, row, f, *where = document_windows(list(range(len(own))), parts, least, functions)
             doc, digest = np.array(own, np.int64).reshape(-1, 2)[row].T
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, digest, f, *((x + at).astype(np.int32) for x in places))], names)
+            return [key, row, doc, digest, f, *((x + at).astype(np.int32) for x in where)]
 
-        own, held, size, seen = [], [], 0, set()
+        own, parts, size, seen = [], [], 0, set()
         for batch in batches:
             for doc, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 whole = sequence(text.as_py())
@@ -292,18 +329,33 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
                             break
                         seen.add((doc, digest))
                         own.append((doc, digest))
-                        held.append(part)
+                        parts.append(part)
                         size += len(part) + 1
                     elif len(part) >= width:
                         yield rows([(doc, digest)], [part], at)
                 if size >= TOGETHER:
-                    yield rows(own, held)
-                    own, held, size, seen = [], [], 0, set()
+                    yield rows(own, parts)
+                    own, parts, size, seen = [], [], 0, set()
                     pa.default_memory_pool().release_unused()
         if own:
-            yield rows(own, held)
+            yield rows(own, parts)
+
+    def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, row, *_ in windows(batches):
+            # A text's own repeats don't count; of one slot two texts are as good as many.
+            each = np.unique(np.stack([row, places(key, KEY_BITS)]), axis=1)[1] if len(key) else np.zeros(0, np.int64)
+            slot, n = np.unique(each, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
+
+    twice = texts.mapInArrow(slots, "slot bigint, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot")
+    common = spark.sparkContext.broadcast(bitmap(twice, KEY_BITS))
+
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, _, *rest in windows(batches):
+            kept = held(common.value, places(key, KEY_BITS))
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, *rest)], ["key", "doc", "digest", "f", "c", "l", "r"])
 
-    every = written(texts.mapInArrow(windows, WINDOW), "windows")
+    every = written(texts.mapInArrow(shared, WINDOW), "windows")
     several = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
     several = written(several, "several")
     own = every.join(several, "key").select("doc", "digest", "f", "key", "c", "l", "r").repartition("doc", "digest").sortWithinPartitions("doc", "digest")
@@ -361,9 +413,10 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
                     key, of, where, size = (np.concatenate(x) for x in zip(*found))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(c).take(pa.array(of)) for c in (0, 1)), pa.array(where.astype(np.int32)), pa.array(size.astype(np.int32))], ["key", "doc", "digest", "at", "size"])
 
-        stretches = written(texts.join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
+        wanted = written(wanted, "wanted")
+        stretches = written(needed(texts, wanted).join(wanted, ["doc", "digest"]).select("doc", "digest", "text", "wanted").mapInArrow(stretched, STRETCH), "stretches")
         places = stretches.select("key", "doc", "digest", F.col("at").alias("c"), F.col("at").alias("c2"), F.col("at").alias("l"), (F.col("at") + F.col("size") - 1).alias("r"))
-        dropped(beside, marked, heads)
+        dropped(beside, marked, heads, wanted)
         copies = spread(places, found).filter(~inside(F.col("l"), F.col("r") + GRAM)).drop("spans")
         return _verified(texts, copies.join(heads_of(places), "key").filter("doc > source"), width, similarity, run)
 
@@ -423,7 +476,7 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
     in_copy = found.select("id", F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("digest").alias("of_digest"), "start", "end")
     in_source = found.select("id", F.lit(1).alias("side"), F.col("source").alias("of"), F.col("source_digest").alias("of_digest"), start.alias("start"), end.alias("end"))
     needs = in_copy.unionByName(in_source).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
-    of_text = needs.select("of", "of_digest", "block").distinct().groupBy("of", "of_digest").agg(F.collect_list("block").alias("blocks"))
+    of_text = written(needs.select("of", "of_digest", "block").distinct().groupBy("of", "of_digest").agg(F.collect_list("block").alias("blocks")), "needs")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -440,7 +493,7 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(digests, pa.int64()), pa.array(number, pa.int64()), pa.array(hashes, pa.binary())], ["of", "of_digest", "block", "hashes"])
 
     same = (F.col("doc") == F.col("of")) & (F.col("digest") == F.col("of_digest"))
-    fetched = texts.join(of_text, same).select("doc", "digest", "text", "blocks").mapInArrow(cut, "of bigint, of_digest bigint, block bigint, hashes binary")
+    fetched = needed(texts, of_text.select(F.col("of").alias("doc"), F.col("of_digest").alias("digest"))).join(of_text, same).select("doc", "digest", "text", "blocks").mapInArrow(cut, "of bigint, of_digest bigint, block bigint, hashes binary")
     # Equal rows of an id cut equal blocks, of which one is kept. A table, so that texts
     # are off the executors' disks before blocks go to their regions.
     fetched = written(fetched.groupBy("of", "of_digest", "block").agg(F.first("hashes").alias("hashes")), "blocks")
@@ -468,7 +521,7 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start_word", "end_word", "source_id", "source_start", "similarity", "digest"])
 
     passed = written(both.mapInArrow(verified, PASSAGE).distinct(), "passages")
-    dropped(found, fetched)
+    dropped(found, of_text, fetched)
     return passed
 
 

@@ -304,6 +304,21 @@ def test_mix_emits_copies(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_sources_come_near_their_targets(spark):
+    """One text holds a third of a source's words; ties, null sources and empty texts."""
+    rng = random.Random(4)
+    sizes = [(s, rng.choice([0, 1, 7, 40, 40, 300])) for s in ("a", "b", "c", "d", None) for _ in range(rng.choice([30, 200]))] + [("a", 4000), ("e", 0), (None, 0)]
+    docs = table(spark, [(i, " ".join(["w"] * n) if n else rng.choice([None, ""]), s) for i, (s, n) in enumerate(sizes)] + [(7, "w w w", "b")] * 3)
+    for seed in range(4):
+        by = collections.defaultdict(list)
+        for r in mixing.planned(docs, seed).collect():
+            by[r["source"]].append(r)
+            assert r["copies"] in (int(r["rate"]), int(r["rate"]) + 1)
+        for rows in by.values():
+            taken, most = sum(r["size"] * r["copies"] for r in rows), max(9, *(r["size"] for r in rows))
+            assert abs(taken - rows[0]["target"]) <= most / 2 + 1e-6
+
+
 # --- passages and copies -------------------------------------------------------------
 
 
