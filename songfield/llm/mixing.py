@@ -105,7 +105,8 @@ def planned(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS
     draw = drawn(seed, "doc_id", size)
     skeleton = written(sized.select("source", draw.alias("draw"), F.col(size).alias("size")), "sizes")
     bar = f"{prefix}__bar"
-    named = bars(skeleton, written(targets(skeleton, "size", weights, most), "rates"))
+    # A table, so that Spark knows its size and deals no document by its source where it is small.
+    named = written(bars(skeleton, written(targets(skeleton, "size", weights, most), "rates")), "bars")
     rates = named.select(F.col("source").alias("__source"), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate), F.col("bar").alias(bar))
     joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     extra = F.coalesce(draw <= F.col(bar), F.lit(False)).cast("bigint")
