@@ -52,6 +52,8 @@ from songfield.llm.jaccard import grams, mixed, word_hashes
 GRAM, LEAST, FUNCTIONS, ENOUGH = 5, 50, 3, 2
 #: log2 of the bits of the bitmaps of keys and of texts, the largest data that is broadcast.
 KEY_BITS, TEXT_BITS = 27, 24
+#: Pairs of windows of a text that are looked at at once.
+PAIRS = 1 << 18
 #: Offsets of one region differ by no more from one window to the next.
 SLACK = 16
 #: n-grams of a block that is fetched, of texts that are worked on at once, and of a
@@ -141,15 +143,21 @@ def joint_windows(row, f, key, c, l, r, width: int, functions: int, enough: int)
         low = high = last = c
         for g in chosen[1:]:
             key2, c2, l2, r2 = every[g]
-            # The other's places inside a window are neighbours in its order.
+            # The other's places inside a window are neighbours in its order. A text that repeats
+            # itself has windows in windows, so pairs are made so many at a time.
             begin, end = np.searchsorted(c2, l), np.searchsorted(c2, r, side="right")
-            i = np.repeat(np.arange(len(l)), end - begin)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
-            low, high = np.minimum(low[i], c2[j]), np.maximum(high[i], c2[j])
-            l, r, c, last = np.maximum(l[i], l2[j]), np.minimum(r[i], r2[j]), c[i], c2[j]
-            key = mixed(key[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key2[j].view(np.uint64)).view(np.int64)
-            fits = (l <= low) & (r >= high) & (r - l + 1 >= width)
-            key, c, last, low, high, l, r = (x[fits] for x in (key, c, last, low, high, l, r))
+            cuts = np.unique(np.searchsorted(np.cumsum(end - begin), np.arange(0, int((end - begin).sum()) + PAIRS, PAIRS)))
+            kept = []
+            for first, last_ in zip(cuts, [*cuts[1:], len(l)]):
+                n = (end - begin)[first:last_]
+                i = np.repeat(np.arange(first, last_), n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[first:last_], n)
+                lowest, highest = np.minimum(low[i], c2[j]), np.maximum(high[i], c2[j])
+                fits = (np.maximum(l[i], l2[j]) <= lowest) & (np.minimum(r[i], r2[j]) >= highest) & (np.minimum(r[i], r2[j]) - np.maximum(l[i], l2[j]) + 1 >= width)
+                i, j = i[fits], j[fits]
+                joint = mixed(key[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key2[j].view(np.uint64)).view(np.int64)
+                kept.append((joint, c[i], c2[j], lowest[fits], highest[fits], np.maximum(l[i], l2[j]), np.minimum(r[i], r2[j])))
+            key, c, last, low, high, l, r = (np.concatenate(x) for x in zip(*kept)) if kept else (key[:0], c[:0], c[:0], c[:0], c[:0], c[:0], c[:0])
         own = c >> 32
         out.append((own, key, np.full(len(key), number == 0), *((x - (own << 32)).astype(np.int32) for x in (c, last, l, r))))
     return [np.concatenate(x) for x in zip(*out)]
@@ -343,7 +351,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, row, *_ in windows(batches):
             # A text's own repeats don't count; of one slot two texts are as good as many.
-            each = np.unique(np.stack([row, places(key, KEY_BITS)]), axis=1)[1] if len(key) else np.zeros(0, np.int64)
+            each = np.unique(row.astype(np.int64) << KEY_BITS | places(key, KEY_BITS)) & ((1 << KEY_BITS) - 1)
             slot, n = np.unique(each, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
 
