@@ -102,28 +102,6 @@ def star_groups(pairs: DataFrame, order: DataFrame) -> DataFrame:
     return found if found is not None else pairs.select(F.col("a").alias("id"), F.col("b").alias("keeper")).limit(0)
 
 
-def merged(likes: DataFrame, merges: DataFrame) -> DataFrame:
-    """V41 for likes (user_id, kind, ref_id, liked_at): a merged track's like goes
-    to what it was merged into, unless there is one already."""
-    m = merges.select(F.col("from_id").alias("ref_id"), "into_id")
-    moved = likes.join(m, "ref_id", "left")
-    here = F.col("into_id").isNull() | (F.col("kind") != "track")
-    turned = moved.withColumns({"own": here, "ref_id": F.when(here, F.col("ref_id")).otherwise(F.col("into_id"))})
-    best = F.min_by("liked_at", F.struct((~F.col("own")).alias("moved"), "liked_at"))
-    return turned.groupBy("user_id", "kind", "ref_id").agg(best.alias("liked_at"))
-
-
-def compressed_merges(merges: DataFrame) -> DataFrame:
-    """V41's path compression: every merged id points to what is left in the end."""
-    now = merges.select("from_id", "into_id")
-    while True:
-        on = now.select(F.col("from_id").alias("into_id"), F.col("into_id").alias("further"))
-        step = now.join(on, "into_id", "left")
-        if step.filter("further IS NOT NULL").isEmpty():
-            return now
-        now = step.select("from_id", F.coalesce("further", "into_id").alias("into_id"))
-
-
 def compared(seen: DataFrame, tracks: DataFrame) -> DataFrame:
     """V42."""
     return seen.select("track_id").unionByName(tracks.select(F.col("id").alias("track_id"))).distinct()

@@ -19,6 +19,7 @@ from songfield.operators import build as bu
 from songfield.operators import catalogue as ca
 from songfield.operators import layout as la
 from songfield.operators import mapview as mv
+from songfield.operators import merging as me
 from songfield.operators import navigate as na
 from songfield.operators import numbering as nu
 from songfield.operators import queueing as qu
@@ -206,13 +207,83 @@ def _merges(t: Tables) -> DataFrame:
     return t.spark.range(10, 30).filter("id % 3 = 0").select(F.col("id").alias("from_id"), (F.col("id") - 10).alias("into_id"))
 
 
+# Chains: an even id is merged into its half, so all end at an odd one; 700 and 701 go round.
+_CHAINS = "m AS (SELECT i AS from_id, CASE WHEN i = 701 THEN 700 ELSE i // 2 END AS into_id FROM range(2, 60000) r(i) WHERE (i % 2 = 0 AND i <> 700) OR i = 701 UNION ALL SELECT 700, 701)"
+_ENDS = f"""{_CHAINS},
+    w AS (SELECT from_id, into_id AS x FROM m WHERE from_id NOT IN (700, 701) UNION ALL SELECT w.from_id, m.into_id FROM w JOIN m ON m.from_id = w.x WHERE w.x NOT IN (700, 701)),
+    ends AS (SELECT from_id, x AS into_id FROM w WHERE x IN (700, 701) OR x NOT IN (SELECT from_id FROM m) UNION ALL SELECT 701, 700),
+    e AS (SELECT from_id, CASE WHEN into_id = 701 THEN 700 ELSE into_id END AS into_id FROM ends)"""
+
+
+def _chains(t: Tables) -> DataFrame:
+    id = F.col("id")
+    rows = t.spark.range(2, 60000).filter((id % 2 == 0) & (id != 700) | (id == 701))
+    rows = rows.select(id.alias("from_id"), F.when(id == 701, 700).otherwise(F.floor(id / 2)).cast("bigint").alias("into_id"))
+    return rows.unionByName(t.spark.range(700, 701).select(id.alias("from_id"), F.lit(701).cast("bigint").alias("into_id")))
+
+
+@query("v41_resolved", f"WITH RECURSIVE {_ENDS} SELECT from_id, into_id FROM e")
+def _(t: Tables) -> DataFrame:
+    return me.resolved(_chains(t))
+
+
+@query(
+    "v41_refs",
+    f"""WITH RECURSIVE {_ENDS}, r AS (SELECT CASE WHEN l_linenumber % 3 = 0 THEN 'album' ELSE 'track' END AS kind, l_partkey::VARCHAR AS id, 'p' || l_linenumber AS provider, l_orderkey || '-' || l_linenumber AS ref FROM lineitem)
+    SELECT kind, CASE WHEN kind = 'track' THEN coalesce(into_id::VARCHAR, id) ELSE id END AS id, provider, ref FROM r LEFT JOIN e ON e.from_id::VARCHAR = r.id""",
+)
+def _(t: Tables) -> DataFrame:
+    refs = t.lineitem.select(F.when(F.col("l_linenumber") % 3 == 0, "album").otherwise("track").alias("kind"), F.col("l_partkey").cast("string").alias("id"), F.concat(F.lit("p"), F.col("l_linenumber")).alias("provider"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("ref"))
+    return me.merged_refs(refs, me.resolved(_chains(t)))
+
+
 @query(
     "v41_merged_likes",
-    f"""WITH {_MERGES}, x AS (SELECT user_id, kind, CASE WHEN kind = 'track' THEN coalesce(into_id, ref_id) ELSE ref_id END AS ref_id, liked_at, kind = 'track' AND into_id IS NOT NULL AS moved FROM likes LEFT JOIN m ON from_id = ref_id),
+    f"""WITH RECURSIVE {_ENDS}, x AS (SELECT user_id, kind, CASE WHEN kind = 'track' THEN coalesce(into_id, ref_id) ELSE ref_id END AS ref_id, liked_at, kind = 'track' AND into_id IS NOT NULL AS moved FROM likes LEFT JOIN e ON from_id = ref_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind, ref_id ORDER BY moved, liked_at) AS n FROM x) SELECT user_id, kind, ref_id, liked_at FROM r WHERE n = 1""",
 )
 def _(t: Tables) -> DataFrame:
-    return si.merged(t.likes(), _merges(t))
+    # Of likes of the track itself there may be several here; the earliest counts.
+    return me.merged_likes(t.likes().select("user_id", "kind", "ref_id", "liked_at"), me.resolved(_chains(t)))
+
+
+@query("v41_listens", f"WITH RECURSIVE {_ENDS} SELECT event_id, coalesce(into_id, user_id) AS track_id FROM events LEFT JOIN e ON from_id = user_id")
+def _(t: Tables) -> DataFrame:
+    return me.merged_listens(t.events.select("event_id", F.col("user_id").cast("bigint").alias("track_id")), me.resolved(_chains(t)))
+
+
+@query(
+    "v41_queue",
+    f"""WITH RECURSIVE {_ENDS}, x AS (SELECT coalesce(into_id, track_id) AS track_id, priority, reason, seq, CASE WHEN into_id IS NULL THEN -1 ELSE track_id END AS o FROM queue LEFT JOIN e ON from_id = track_id)
+    SELECT track_id, arg_min(priority, {{'p': priority, 'o': o}}) AS priority, arg_min(reason, {{'p': priority, 'o': o}}) AS reason, arg_min(seq, o) AS seq FROM x GROUP BY track_id""",
+)
+def _(t: Tables) -> DataFrame:
+    return me.merged_queue(t.queue(), me.resolved(_chains(t)))
+
+
+_ENTRY = """'{"n":' || p_size || ',"origin":{"item":{"id":"' || p_partkey || '"}}}'"""
+
+
+@query(
+    "v41_mix",
+    f"""WITH RECURSIVE {_ENDS}, x AS (SELECT coalesce(into_id, p_partkey) AS track_id, p_brand AS version, {_ENTRY.replace("' || p_partkey || '", "' || coalesce(into_id, p_partkey) || '")} AS entry_json, CASE WHEN into_id IS NULL THEN -1 ELSE p_partkey END AS o
+    FROM part LEFT JOIN e ON from_id = p_partkey WHERE p_partkey % 5 <> 1), r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY o) AS n FROM x) SELECT track_id, version, entry_json FROM r WHERE n = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    entry = F.concat(F.lit('{"n":'), F.col("p_size"), F.lit(',"origin":{"item":{"id":"'), F.col("p_partkey"), F.lit('"}}}'))
+    mix = t.part.filter("p_partkey % 5 <> 1").select(F.col("p_partkey").alias("track_id"), F.col("p_brand").alias("version"), entry.alias("entry_json"))
+    return me.merged_mix(mix, me.resolved(_chains(t)))
+
+
+@query(
+    "v41_tracks",
+    f"""WITH RECURSIVE {_ENDS}, p AS (SELECT p_partkey AS id, (p_partkey * 7) % 11 AS seed_distance, CASE WHEN p_size % 4 = 0 THEN p_type END AS isrc FROM part),
+    g AS (SELECT into_id, min(seed_distance) AS near, arg_min(isrc, id) FILTER (isrc IS NOT NULL) AS isrc FROM p JOIN e ON from_id = id GROUP BY into_id)
+    SELECT id, least(seed_distance, near) AS seed_distance, coalesce(p.isrc, g.isrc) AS isrc FROM p LEFT JOIN g ON into_id = id WHERE id NOT IN (SELECT from_id FROM e)""",
+)
+def _(t: Tables) -> DataFrame:
+    tracks = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7 % 11).alias("seed_distance"), F.when(F.col("p_size") % 4 == 0, F.col("p_type")).alias("isrc"))
+    return me.merged_tracks(tracks, me.resolved(_chains(t)))
 
 
 @query("j11_redirected", f"WITH {_MERGES} SELECT coalesce(into_id, ref_id) AS ref_id, count(*) AS n FROM likes LEFT JOIN m ON from_id = ref_id GROUP BY 1")

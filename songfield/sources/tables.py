@@ -11,15 +11,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from songfield.schemas import BLOCK_WEIGHTS, SPACE
+from songfield.schemas import BLOCK_WEIGHTS
+from songfield.sources.snapshots import commit
+from songfield.sources.snapshots import tables as snapshot
 
 FORMAT = "space-2"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set."""
+    """The folder that driver and executors share. Where none is set, one machine gets a
+    temporary one; on a cluster that is an error, as no other machine sees it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="songfield-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,22 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_space(rows: DataFrame, folder: str, blocks: list[dict], built_at: str, pca: tuple | None = None) -> None:
-    """The rows (track_id, row_no, raw), the PCA model, and last the
-    manifest that makes them a space: a reader without it sees none."""
+def write_space(rows: DataFrame, folder: str, blocks: list[dict], built_at: str, pca: tuple | None = None) -> int:
+    """The rows (track_id, row_no, raw), the PCA model and the manifest as one
+    commit: a reader during a rebuild has the old space or the new one."""
     spark = rows.sparkSession
-    rows.select("track_id", "row_no", "raw").write.mode("overwrite").parquet(f"{folder}/rows")
+    parts = {"rows": rows.select("track_id", "row_no", "raw")}
     if pca is not None:
         mean, axes = pca
-        spark.createDataFrame([([float(x) for x in mean], [[float(x) for x in a] for a in axes])], "mean array<double>, components array<array<double>>").write.mode("overwrite").parquet(f"{folder}/pca")
+        parts["pca"] = spark.createDataFrame([([float(x) for x in mean], [[float(x) for x in a] for a in axes])], "mean array<double>, components array<array<double>>")
     manifest = {"format": FORMAT, "built_at": built_at, "n_dims": blocks[-1]["end"] if blocks else 0, "blocks": blocks, "weights": BLOCK_WEIGHTS}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    return commit(spark, folder, parts, manifest)
 
 
-def open_space(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+def open_space(spark: SparkSession, folder: str, number: int | None = None) -> tuple[DataFrame, dict]:
     """The rows and the manifest; refuses another format, blocks that don't
     cover the row, and rows of another width."""
-    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+    parts, manifest = snapshot(spark, folder, number)
     if manifest["format"] != FORMAT:
         raise ValueError(f"format {manifest['format']}, not {FORMAT}")
     at = 0
@@ -57,7 +63,7 @@ def open_space(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
         at = block["end"]
     if at != manifest["n_dims"]:
         raise ValueError(f"blocks end at {at}, rows at {manifest['n_dims']}")
-    rows = spark.read.schema(SPACE).parquet(f"{folder}/rows")
+    rows = parts["rows"]
     if not rows.filter(F.size("raw") != at).isEmpty():
         raise ValueError(f"rows of another width than {at}")
     return rows, manifest
@@ -65,16 +71,21 @@ def open_space(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
 
 def pca_model(spark: SparkSession, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and components, whose lengths must agree."""
-    row = spark.read.parquet(f"{folder}/pca").first()
+    row = snapshot(spark, folder)[0]["pca"].first()
     mean, axes = np.array(row["mean"]), np.array(row["components"])
     if axes.ndim != 2 or axes.shape[1] != len(mean):
         raise ValueError("components and mean differ in length")
     return mean, axes
 
 
-def replace_layout(layout: DataFrame, folder: str) -> None:
-    """The whole layout at once."""
-    layout.select("track_id", "x", "y").write.mode("overwrite").parquet(folder)
+def replace_layout(layout: DataFrame, folder: str) -> int:
+    """The whole layout at once, as one commit."""
+    return commit(layout.sparkSession, folder, {"layout": layout.select("track_id", "x", "y")})
+
+
+def layout_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The layout that is current."""
+    return snapshot(spark, folder)[0]["layout"]
 
 
 def add_columns(rows: DataFrame, schema) -> DataFrame:

@@ -10,6 +10,7 @@ from songfield.operators import layout as la
 from songfield.operators import mapview as mv
 from songfield.operators import navigate as na
 from songfield.operators import queueing as qu
+from songfield.operators import merging as me
 from songfield.operators import similarity as si
 from songfield.operators.components import components
 from songfield.sources import tables as so
@@ -92,7 +93,7 @@ def test_components_of_a_path(spark):
 
 def test_merges_lead_to_the_end(spark):
     merges = spark.createDataFrame([(3, 2), (2, 1), (9, 8)], "from_id bigint, into_id bigint")
-    assert {(r[0], r[1]) for r in si.compressed_merges(merges).collect()} == {(3, 1), (2, 1), (9, 8)}
+    assert {(r[0], r[1]) for r in me.resolved(merges).collect()} == {(3, 1), (2, 1), (9, 8)}
 
 
 def test_upserts(spark):
