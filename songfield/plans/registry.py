@@ -730,6 +730,52 @@ def _(t: Tables) -> DataFrame:
 # --- streams -------------------------------------------------------------------
 
 
+# Moments of users' events: what was done, to which row and track, is a rule of the event's number.
+_MOMENTS = """m AS (
+  SELECT user_id, event_id AS seq, event_id::DOUBLE AS "at", ['load', 'report', 'pause', 'play', 'step', 'ended', 'seek', 'output', 'report', 'clear'][event_id % 10 + 1] AS op,
+         (event_id % 3)::INTEGER AS "row", (event_id // 40 % 3)::INTEGER AS "index", CASE WHEN event_id % 10 <> 9 AND event_id % 37 <> 0 THEN event_id // 40 % 3 + user_id % 2 * 10 END AS track,
+         event_id % 4 <> 2 AS sounding, CASE WHEN event_id % 10 <> 7 OR event_id % 3 <> 0 THEN 'd' || user_id % 2 END AS output, (event_id * 7 % 50)::DOUBLE AS position FROM events),
+n AS (SELECT *, CASE WHEN track % 2 = 0 THEN 120.0::DOUBLE END AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM m)"""
+
+
+def _moments(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    ops = F.array(*map(F.lit, ("load", "report", "pause", "play", "step", "ended", "seek", "output", "report", "clear")))
+    index = F.floor(e / 40) % 3
+    track = F.when((e % 10 != 9) & (e % 37 != 0), index + F.col("user_id") % 2 * 10)
+    return t.events.select(
+        F.col("user_id").cast("bigint").alias("user_id"), e.alias("seq"), e.cast("double").alias("at"), F.get(ops, (e % 10).cast("int")).alias("op"), (e % 3).cast("int").alias("row"), index.cast("int").alias("index"),
+        track.cast("bigint").alias("track"), F.when(track % 2 == 0, 120.0).alias("seconds"), (e % 4 != 2).alias("sounding"), F.when((e % 10 != 7) | (e % 3 != 0), F.concat(F.lit("d"), F.col("user_id") % 2)).alias("output"), (e * 7 % 50).cast("double").alias("position"),
+    )
+
+
+@query(
+    "t6_listens",
+    f"""WITH RECURSIVE {_MOMENTS},
+    s AS (
+      SELECT n.*, CASE WHEN sounding AND track IS NOT NULL THEN {{'track': track, 'device': output, 'from': "at", 'seconds': seconds, 'heard': 0.0::DOUBLE}} END AS open, NULL::STRUCT(track BIGINT, device VARCHAR, "from" DOUBLE, seconds DOUBLE, heard DOUBLE, reached DOUBLE) AS closed FROM n WHERE k = 1
+      UNION ALL
+      SELECT user_id, seq, "at", op, "row", "index", track, sounding, output, position, seconds, k,
+             CASE WHEN open IS NOT NULL AND NOT over THEN {{'track': open.track, 'device': open.device, 'from': open."from", 'seconds': open.seconds, 'heard': open.heard + more}}
+                  WHEN sounding AND track IS NOT NULL THEN {{'track': track, 'device': output, 'from': "at", 'seconds': seconds, 'heard': 0.0::DOUBLE}} END,
+             CASE WHEN open IS NOT NULL AND over THEN {{'track': open.track, 'device': open.device, 'from': open."from", 'seconds': open.seconds, 'heard': open.heard + more, 'reached': reached}} END
+      FROM (
+        SELECT *, CASE WHEN was_sounding THEN greatest(0.0, least(reached - was_position, "at" - was_at + 2.0)) ELSE 0.0 END AS more,
+               op IN ('load', 'jump', 'clear') OR (op = 'step' AND "index" <> was_index) OR (op = 'ended' AND "row" = was_index) OR (op = 'output' AND output IS NULL AND was_output IS NOT NULL) OR track IS DISTINCT FROM open.track AS over
+        FROM (
+          SELECT n.*, s.open, s.sounding AS was_sounding, s.position AS was_position, s."at" AS was_at, s."index" AS was_index, s.output AS was_output,
+                 CASE WHEN n.op = 'report' AND n.track IS NOT DISTINCT FROM s.track THEN n.position
+                      ELSE least(s.position + CASE WHEN s.sounding THEN n."at" - s."at" ELSE 0.0 END, coalesce(s.seconds, 1e300)) END AS reached
+          FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k + 1)))
+    SELECT user_id, closed.track AS track_id, closed.device AS device_id, closed."from" AS started_at, closed.heard AS listened_seconds, closed.seconds AS track_seconds,
+           CASE WHEN CASE WHEN closed.seconds IS NULL THEN op = 'ended' ELSE closed.reached >= closed.seconds - least(15.0, closed.seconds / 10) END THEN 'finished'
+                WHEN track IS NULL OR op = 'clear' OR (op = 'output' AND output IS NULL) THEN 'stopped' ELSE 'skipped' END AS ended
+    FROM s WHERE closed IS NOT NULL""",
+)
+def _(t: Tables) -> DataFrame:
+    return li.listens(_moments(t))
+
+
 @query(
     "t6_sessions",
     """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
