@@ -76,8 +76,20 @@ def utc_text(seconds: Column) -> Column:
 
 
 def place_hash(id: Column) -> Column:
-    """a number in [0, 1) that only depends on the id."""
-    return F.pmod(F.xxhash64(id), F.lit(1 << 32)).cast("double") / float(1 << 32)
+    """a number in [0, 1) that only depends on the id, as clients reckon it: three
+    rounds of multiplying and folding 32 bits."""
+    word = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))
+
+    def times(x: Column, by: int) -> Column:  # modulo 2^32; no product here is over 2^48
+        return word(x * F.lit(by & 0xFFFF) + F.shiftleft((x * F.lit(by >> 16)).bitwiseAND(F.lit(0xFFFF).cast("bigint")), 16))
+
+    fold = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
+    whole = id.cast("bigint")
+    # The multipliers.
+    h = times(word(whole), 0x9E3779B1).bitwiseXOR(word(F.shiftright(whole, 32)))
+    h = times(fold(h, 16), 0x85EBCA6B)
+    h = times(fold(h, 13), 0xC2B2AE35)
+    return fold(h, 16).cast("double") / float(1 << 32)
 
 
 def excerpt_start(seconds: Column, excerpt: float = 90.0) -> Column:
@@ -101,5 +113,9 @@ def played_through(listened: Column, track: Column) -> Column:
 
 
 def stamp(ids: Column) -> Column:
-    """one hash for a set of ids, as an aggregate."""
-    return F.xxhash64(F.array_sort(F.collect_set(ids)))
+    """one hash for a set of ids, as an aggregate: the number of its members and
+    the sum of their hashes, which come out alike in any order and are added up
+    before they meet. No set is gathered; an id that is null is none."""
+    h = F.when(ids.isNotNull(), F.xxhash64(ids))
+    total = F.coalesce(F.sum_distinct(h.cast("decimal(20,0)")), F.lit(0))
+    return F.xxhash64(F.count_distinct(h), total.cast("string"))

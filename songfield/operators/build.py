@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songfield.functions.music import finite
-from songfield.operators.numbering import medians
-from songfield.schemas import LANGUAGE_LEAST, LANGUAGE_MOST
+from songfield.functions.vectors import quantised
+from songfield.operators.numbering import medians, numbered
+from songfield.schemas import LANGUAGE_LEAST, LANGUAGE_MOST, PHRASES_MOST
 
 
 def imputed(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,6 +96,24 @@ def semantic(vector: Column, mean: np.ndarray, axes: np.ndarray, stats: list[tup
     return place(vector)
 
 
+def phrase_rows(segments: DataFrame, visible: DataFrame, mean: np.ndarray, axes: np.ndarray, stats: list[tuple[float, float]]) -> DataFrame:
+    """(number, track_id, first, count, starts, rows) for every visible track with a
+    phrase, in the order of ids: where each of its phrases begins, and what it is in the
+    semantic block, in bytes; its phrases are numbers first to first + count - 1 of all.
+
+    ``segments`` are (track_id, pos, start, embedding), a row each. Of a track's first
+    65,535 those count whose vector is as wide as the model's; a track without any has
+    no row. Equal positions keep their order by start."""
+    if axes.ndim != 2 or axes.shape[1] != len(mean) or axes.shape[0] != len(stats):
+        raise ValueError("the model does not fit the semantic block")
+    own = segments.filter((F.col("pos") < PHRASES_MOST) & (F.size("embedding") == len(mean))).join(visible.select(F.col("id").alias("track_id")).distinct(), "track_id", "left_semi")
+    placed = own.select("track_id", "pos", F.col("start").cast("float").alias("start"), F.transform(semantic(F.col("embedding"), mean, axes, [(m, max(s, 1e-9)) for m, s in stats]), quantised).alias("row"))
+    # No more than 65,535 phrases meet in a row.
+    packed = placed.groupBy("track_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "row"))).alias("p"))
+    packed = packed.select("track_id", F.size("p").cast("bigint").alias("count"), F.col("p.start").alias("starts"), F.flatten("p.row").alias("rows"))
+    return numbered(packed, [F.col("track_id")], weight=F.col("count"), start="first").select("number", "track_id", "first", "count", "starts", "rows")
+
+
 def language_columns(rows: DataFrame, language: str = "language", least: int = LANGUAGE_LEAST, most: int = LANGUAGE_MOST) -> list[str]:
     """The commonest languages, ties by code."""
     n = rows.filter(F.col(language).isNotNull()).groupBy(language).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)

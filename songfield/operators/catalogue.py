@@ -170,22 +170,31 @@ def first_by(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("__at", F.row_number().over(w)).filter("__at = 1").drop("__at")
 
 
-def lyric_matches(tracks: DataFrame, dump: DataFrame, slack: int = 2) -> DataFrame:
-    """The dump's row for each track: its artist and title, a length
-    no more than ``slack`` away; the same album first, then one with words, then
-    the smaller id; the bare title only where the whole one finds none."""
-    t = tracks.select("id", tx.prepared(F.col("artist")).alias("a"), tx.prepared(F.col("album")).alias("b"), "duration", F.col("title"))
-    both = t.select("*", F.lit(0).alias("turn"), tx.prepared(F.col("title")).alias("n")).unionByName(t.select("*", F.lit(1).alias("turn"), tx.prepared(tx.bare_title(F.col("title"))).alias("n")))
-    hit = both.join(dump, (F.col("name_lower") == F.col("n")) & (F.col("artist_name_lower") == F.col("a")) & F.col("dump_duration").between(F.col("duration") - slack, F.col("duration") + slack))
-    order = [F.col("turn"), (F.col("album_name_lower") == F.col("b")).desc(), (F.coalesce("plain_lyrics", F.lit("")) != "").desc(), F.col("dump_id")]
-    return first_by(hit, ["id"], *order).select("id", "dump_id", "plain_lyrics", "instrumental")
+def lyric_matches(tracks: DataFrame, dump: DataFrame, slack: float = 2) -> DataFrame:
+    """The dump's row for each track: its artist and title, and a length
+    no more than ``slack`` away if the track's is known; the same album first, then one
+    with words or marked as without, then the smaller id. A title whose first row has
+    neither words nor the mark is as one that finds nothing: the bare title is tried,
+    if that is another."""
+    t = tracks.select("id", tx.prepared(F.col("artist")).alias("a"), tx.prepared(F.col("album")).alias("b"), "duration", tx.prepared(F.col("title")).alias("whole"), tx.prepared(tx.bare_title(F.col("title"))).alias("bare"))
+    first = t.select("*", F.lit(0).alias("turn"), F.col("whole").alias("n"))
+    both = first.unionByName(t.filter("bare <> '' AND bare <> whole").select("*", F.lit(1).alias("turn"), F.col("bare").alias("n")))
+    near = F.col("duration").isNull() | F.col("dump_duration").between(F.col("duration") - slack, F.col("duration") + slack)
+    hit = both.join(dump, (F.col("name_lower") == F.col("n")) & (F.col("artist_name_lower") == F.col("a")) & near)
+    silent, words = F.coalesce("instrumental", F.lit(False)), F.coalesce("plain_lyrics", F.lit(""))
+    order = [(F.col("album_name_lower") == F.coalesce("b", F.lit(""))).desc_nulls_last(), ((words != "") | silent).desc(), F.col("dump_id")]
+    firsts = first_by(hit, ["id", "turn"], *order).filter(silent | (F.trim(words) != ""))
+    return first_by(firsts, ["id"], F.col("turn")).select("id", "dump_id", "plain_lyrics", "instrumental")
 
 
 def same_as(items: DataFrame, refs: DataFrame) -> DataFrame:
     """What another provider's item is here: of the same code, or for all but
-    tracks of the same key; not where this provider has something under that id."""
-    code = items.filter(F.col("isrc").isNotNull()).join(refs.select(F.col("isrc"), "kind", F.col("id").alias("known"), F.col("provider").alias("p")), ["isrc", "kind"])
-    name = items.filter(F.col("kind") != "track").join(refs.select("match_key", "kind", F.col("id").alias("known"), F.col("provider").alias("p")), ["match_key", "kind"])
+    tracks of the same key; not where this provider has something under that id. A
+    playlist is nobody else's, and a key of nothing but separators is no key."""
+    some = items.filter("kind <> 'playlist'")
+    code = some.withColumn("isrc", tx.isrc_key(F.col("isrc"))).filter("isrc IS NOT NULL").join(refs.select("isrc", "kind", F.col("id").alias("known"), F.col("provider").alias("p")), ["isrc", "kind"])
+    keyed = some.filter((F.col("kind") != "track") & (F.trim(F.translate("match_key", "|", "")) != ""))
+    name = keyed.join(refs.select("match_key", "kind", F.col("id").alias("known"), F.col("provider").alias("p")), ["match_key", "kind"])
     cols = ["provider", "kind", "ref", "known", "p"]
     both = code.select(*cols, F.lit(0).alias("turn")).unionByName(name.select(*cols, F.lit(1).alias("turn"))).filter("p <> provider")
     taken = refs.select("provider", "kind", F.col("id").alias("known"))

@@ -111,13 +111,32 @@ _COL = lambda i, f: f"{f}(unit[{i}])"
 
 @query(
     "v20_normalised",
-    f"""WITH m AS (SELECT {", ".join(f"avg(unit[{i}]) AS m{i}, stddev_pop(unit[{i}]) AS s{i}" for i in range(1, 5))} FROM space),
-    z AS (SELECT id, [{", ".join(f"(unit[{i}] - m{i}) / CASE WHEN s{i} < 1e-9 THEN 1 ELSE s{i} END" for i in range(1, 5))}] AS z FROM space, m)
-    SELECT id, list_transform(z, lambda x: {_MICRO("x / greatest(sqrt(list_dot_product(z, z)), 1e-9)")}) AS z FROM z""",
+    f"""WITH m AS (SELECT {", ".join(f"avg(unit[{i}]) AS m{i}, stddev_pop(unit[{i}]) AS s{i}" for i in range(1, 65))} FROM space),
+    z AS (SELECT id, [{", ".join(f"(unit[{i}] - m{i}) / CASE WHEN s{i} < 1e-9 THEN 1 ELSE s{i} END" for i in range(1, 65))}] AS z FROM space, m)
+    SELECT id, list_transform(z, lambda x: round(x / greatest(sqrt(list_dot_product(z, z)), 1e-9), 5)) AS z FROM z""",
 )
 def _(t: Tables) -> DataFrame:
-    rows, _ = bu.normalised(t.space().select("id", F.slice("unit", 1, 4).alias("block")), "block", 4)
-    return rows.select("id", F.transform("block", ve.micro).alias("z"))
+    rows, _ = bu.normalised(t.space().select("id", F.col("unit").alias("block")), "block", 64)
+    return rows.select("id", F.transform("block", lambda x: F.round(x, 5)).alias("z"))
+
+
+@query(
+    "v30_phrase_rows",
+    f"""WITH s AS (SELECT id // 20 AS track_id, id % 20 AS pos, id * 1.5::DOUBLE AS start, CASE WHEN id % 13 = 0 THEN unit[1:60] ELSE unit END AS v FROM space WHERE id // 20 % 4 <> 1),
+    p AS (SELECT track_id, pos, start, list_transform(range(8), lambda k: ((v[8 * k + 1] - 0.01 * k) - (v[8 * k + 2] - 0.01 * k) / 2 - k / 100) / (0.5 + k)) AS z FROM s WHERE len(v) = 64),
+    q AS (SELECT track_id, pos, start, list_transform(z, lambda x: round(greatest(-1.0, least(1.0, x / greatest(sqrt(list_dot_product(z, z)), 1e-9))) * 127)::INTEGER) AS row FROM p),
+    g AS (SELECT track_id, count(*) AS count, list(start ORDER BY pos)::DOUBLE[] AS starts, flatten(list(row ORDER BY pos)) AS rows FROM q GROUP BY track_id)
+    SELECT row_number() OVER (ORDER BY track_id) - 1 AS number, track_id, (sum(count) OVER (ORDER BY track_id) - count)::BIGINT AS first, count, starts, rows FROM g""",
+)
+def _(t: Tables) -> DataFrame:
+    id = F.col("id")
+    cut = F.when(id % 13 == 0, F.slice("unit", 1, 60)).otherwise(F.col("unit"))
+    segments = t.space().select(F.floor(id / 20).alias("track_id"), (id % 20).alias("pos"), (id * 1.5).alias("start"), cut.alias("embedding"))
+    axes = np.zeros((8, 64))
+    for k in range(8):
+        axes[k, 8 * k], axes[k, 8 * k + 1] = 1.0, -0.5
+    found = bu.phrase_rows(segments, segments.filter("track_id % 4 <> 1").select(F.col("track_id").alias("id")), np.repeat(np.arange(8) / 100, 8), axes, [(k / 100, 0.5 + k) for k in range(8)])
+    return found.withColumns({"starts": F.col("starts").cast("array<double>"), "rows": F.col("rows").cast("array<int>")})
 
 
 @query(
@@ -301,18 +320,18 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "s1_scan",
-    """WITH ids AS (SELECT i AS row_no, i * 3 AS id FROM range(0, 900) r(i)) SELECT ids.row_no, ids.id, coalesce(t.title, '<missing ' || ids.id || '>') AS title, coalesce(t.artist_id, -1) AS artist_id,
+    """WITH ids AS (SELECT p_partkey AS row_no, p_partkey * 2 AS id FROM part) SELECT ids.row_no, ids.id, coalesce(t.title, '<missing ' || ids.id || '>') AS title, coalesce(t.artist_id, -1) AS artist_id,
     coalesce(a.name, '') AS artist, coalesce(b.title, '') AS album FROM ids LEFT JOIN tracks t ON t.id = ids.id LEFT JOIN artists a ON a.id = t.artist_id LEFT JOIN albums b ON b.id = t.album_id""",
 )
 def _(t: Tables) -> DataFrame:
-    ids = t.spark.range(900).select(F.col("id").alias("row_no"), (F.col("id") * 3).alias("id"))
+    ids = t.part.select(F.col("p_partkey").alias("row_no"), (F.col("p_partkey") * 2).alias("id"))
     return ca.scan(ids, t.tracks(), t.artists(), t.albums()).select("row_no", "id", "title", "artist_id", "artist", "album")
 
 
-@query("s2_embeddings", "WITH i AS (SELECT i AS id FROM range(490, 510) r(i)) SELECT i.id, list_sum(list_transform(coalesce(unit, list_transform(range(64), lambda x: 0.0::DOUBLE)), lambda x: abs(x))) = 0 AS empty FROM i LEFT JOIN space USING (id)")
+@query("s2_embeddings", "WITH i AS (SELECT o_orderkey AS id FROM orders) SELECT i.id, list_sum(list_transform(coalesce(unit, list_transform(range(64), lambda x: 0.0::DOUBLE)), lambda x: abs(x))) = 0 AS empty FROM i LEFT JOIN space USING (id)")
 def _(t: Tables) -> DataFrame:
     vectors = t.space().select(F.col("id").alias("track_id"), "clap")
-    return ca.embeddings_for(t.spark.range(490, 510), vectors, 64).select("id", (~F.exists("clap", lambda x: x != 0)).alias("empty"))
+    return ca.embeddings_for(t.orders.select(F.col("o_orderkey").alias("id")), vectors, 64).select("id", (~F.exists("clap", lambda x: x != 0)).alias("empty"))
 
 
 @query("s3_buildable", "SELECT t.id, b.release_date FROM tracks t JOIN features f ON f.track_id = t.id LEFT JOIN albums b ON b.id = t.album_id WHERE t.artist_id IS NULL OR t.artist_id NOT IN (SELECT artist_id FROM blocked)")
@@ -398,9 +417,9 @@ def _(t: Tables) -> DataFrame:
     return ca.liked_only(t.tracks(), t.likes(), "track").select("id")
 
 
-@query("p16_of_genres", "SELECT id, genre FROM cat WHERE contains(lower(genre), 'a') OR contains(lower(genre), 'steel') ORDER BY row_no LIMIT 300")
+@query("p16_of_genres", "SELECT id, genre FROM cat WHERE contains(lower(genre), 'econ') OR contains(lower(genre), 'steel') OR contains(lower(genre), 'd') ORDER BY row_no LIMIT 300")
 def _(t: Tables) -> DataFrame:
-    return ca.of_genres(t.rows(), ["A", "Steel"], 300).select("id", "genre")
+    return ca.of_genres(t.rows(), ["Econ", "Steel", "D"], 300).select("id", "genre")
 
 
 @query("p17_of_artist_name", "SELECT id FROM cat WHERE regexp_replace(lower(artist), '[^\\p{L}\\p{N}]+', '', 'g') = (SELECT regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', '', 'g') FROM artists WHERE id = 3)")
@@ -414,9 +433,9 @@ def _(t: Tables) -> DataFrame:
     return ca.known_albums(t.albums(), t.tracks(), t.features(), t.failures()).select("id")
 
 
-@query("p19_released_within", f"SELECT id, release_date FROM albums WHERE release_date::DATE BETWEEN {TODAY} - 25 AND {TODAY}")
+@query("p19_released_within", f"SELECT id, release_date FROM albums WHERE release_date::DATE BETWEEN {TODAY} - 29 AND {TODAY}")
 def _(t: Tables) -> DataFrame:
-    return ca.released_within(t.albums(), F.expr(TODAY), 25).select("id", "release_date")
+    return ca.released_within(t.albums(), F.expr(TODAY), 29).select("id", "release_date")
 
 
 @query("p20_own_releases", "SELECT id FROM albums WHERE artist_id IS NULL OR artist_id = 1")
@@ -429,9 +448,9 @@ def _(t: Tables) -> DataFrame:
     return ca.find_artists(t.artists(), t.tracks(), "IER#")
 
 
-@query("p10_search", "WITH h AS (SELECT *, CASE WHEN starts_with(lower(title), 'p') THEN 0 ELSE 1 END AS rank FROM cat WHERE contains(lower(title), 'p') AND contains(lower(title), '1')) SELECT id, rank, (SELECT count(*) FROM h) AS total FROM h ORDER BY duration DESC, rank, row_no LIMIT 50")
+@query("p10_search", "WITH h AS (SELECT *, CASE WHEN starts_with(lower(title), 're in') THEN 0 ELSE 1 END AS rank FROM cat WHERE contains(lower(title), 're') AND contains(lower(title), 'in')) SELECT id, rank, (SELECT count(*) FROM h) AS total FROM h ORDER BY duration DESC, rank, row_no LIMIT 50")
 def _(t: Tables) -> DataFrame:
-    return ca.search(t.rows(), "p 1", "duration", True, 50).select("id", F.when(F.lower("title").startswith("p"), 0).otherwise(1).alias("rank"), "total")
+    return ca.search(t.rows(), "re IN", "duration", True, 50).select("id", F.when(F.lower("title").startswith("re in"), 0).otherwise(1).alias("rank"), "total")
 
 
 @query("p11_search_albums", "WITH h AS (SELECT * FROM cat WHERE contains(lower(artist), '1') OR contains(lower(title), '1') OR contains(lower(album), '1')) SELECT album_id, arg_min(album, row_no) AS album, min(CASE WHEN starts_with(lower(artist), '1') OR starts_with(lower(album), '1') THEN 0 ELSE 1 END) AS rank, min(row_no) AS row_no FROM h WHERE album_id <> '' GROUP BY album_id")
@@ -446,39 +465,60 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "j7_liked_tracks",
-    """WITH u AS (SELECT ref_id AS id, user_id, liked_at FROM likes WHERE kind = 'track' AND liked_at >= 900000000)
+    """WITH k AS (SELECT o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'track' ELSE 'album' END AS kind, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 900)::VARCHAR ELSE 'Brand#' || o_orderkey % 40 END AS ref_id, epoch(o_orderdate)::BIGINT AS liked_at FROM orders),
+    u AS (SELECT ref_id::BIGINT AS id, user_id, liked_at FROM k WHERE kind = 'track' AND liked_at >= 900000000 UNION ALL SELECT t.id, user_id, liked_at FROM k JOIN tracks t ON t.album_id = ref_id WHERE kind = 'album' AND liked_at >= 900000000)
     SELECT id, max(liked_at) AS liked_at, array_to_string(list_sort(list(DISTINCT c_name)), ', ') AS names FROM u LEFT JOIN customer ON c_custkey = user_id GROUP BY id""",
 )
 def _(t: Tables) -> DataFrame:
     users = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
-    return ca.liked_tracks(t.likes(), t.tracks().withColumn("album_id", F.lit(None).cast("bigint")), users, 900000000)
+    even, key = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey")
+    likes = t.orders.select(F.col("o_custkey").alias("user_id"), F.when(even, "track").otherwise("album").alias("kind"), F.when(even, (key % 900).cast("string")).otherwise(F.concat(F.lit("Brand#"), key % 40)).alias("ref_id"), F.unix_timestamp("o_orderdate").alias("liked_at"))
+    return ca.liked_tracks(likes, t.tracks(), users, 900000000)
 
 
 @query(
     "j14_lyric_matches",
-    """WITH d AS (SELECT doc_id AS dump_id, text, 'n' || doc_id % 50 AS name, 'a' || doc_id % 3 AS artist, 'b' || doc_id % 7 AS album, doc_id % 40 AS s, doc_id % 5 = 0 AS instrumental FROM documents),
-    t AS (SELECT id, 'n' || id % 50 AS name, 'a' || id % 3 AS artist, 'b' || id % 7 AS album, duration % 40 AS s FROM tracks),
-    m AS (SELECT t.id, d.dump_id, row_number() OVER (PARTITION BY t.id ORDER BY d.album = t.album DESC, d.dump_id) AS n FROM t JOIN d ON d.name = t.name AND d.artist = t.artist AND d.s BETWEEN t.s - 2 AND t.s + 2)
-    SELECT id, dump_id FROM m WHERE n = 1""",
+    """WITH d AS (SELECT doc_id AS dump_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 11 <> 0 THEN text END AS words, 'n' || doc_id % 50 || CASE WHEN doc_id % 4 = 0 THEN ' live' ELSE '' END AS name, 'a' || doc_id % 3 AS artist, CASE WHEN doc_id % 6 <> 0 THEN 'b' || doc_id % 7 END AS album, (doc_id % 40)::DOUBLE AS s, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 5 = 0 END AS instrumental FROM documents),
+    t AS (SELECT id, 'n' || id % 50 AS bare, CASE WHEN id % 2 = 0 THEN ' live' ELSE '' END AS version, 'a' || id % 3 AS artist, CASE WHEN id % 8 <> 0 THEN 'b' || id % 7 END AS album, CASE WHEN id % 5 <> 0 THEN duration % 40 END AS s FROM tracks),
+    v AS (SELECT *, 0 AS turn, bare || version AS name FROM t UNION ALL SELECT *, 1, bare FROM t WHERE version <> ''),
+    m AS (SELECT v.id, turn, d.dump_id, words, instrumental, row_number() OVER (PARTITION BY v.id, turn ORDER BY (d.album = coalesce(v.album, '')) DESC NULLS LAST, (coalesce(words, '') <> '' OR coalesce(instrumental, false)) DESC, d.dump_id) AS n
+          FROM v JOIN d ON d.name = v.name AND d.artist = v.artist AND (v.s IS NULL OR d.s BETWEEN v.s - 2 AND v.s + 2)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS k FROM m WHERE n = 1 AND (coalesce(instrumental, false) OR trim(coalesce(words, '')) <> ''))
+    SELECT id, dump_id FROM f WHERE k = 1""",
 )
 def _(t: Tables) -> DataFrame:
     named = lambda c, s, n: F.concat(F.lit(s), F.col(c) % n)
-    dump = t.documents.select(F.col("doc_id").alias("dump_id"), F.col("text").alias("plain_lyrics"), named("doc_id", "n", 50).alias("name_lower"), named("doc_id", "a", 3).alias("artist_name_lower"), named("doc_id", "b", 7).alias("album_name_lower"), (F.col("doc_id") % 40).alias("dump_duration"), (F.col("doc_id") % 5 == 0).alias("instrumental"))
-    tracks = t.tracks().select("id", F.concat(named("id", "N", 50), F.lit(" (Live)")).alias("title"), named("id", "A", 3).alias("artist"), named("id", "B", 7).alias("album"), (F.col("duration") % 40).alias("duration"))
+    doc, id = F.col("doc_id"), F.col("id")
+    words = F.when(doc % 3 == 0, "").when(doc % 7 == 0, "  ").when(doc % 11 != 0, F.col("text"))
+    dump = t.documents.select(
+        doc.alias("dump_id"), words.alias("plain_lyrics"), F.concat(named("doc_id", "n", 50), F.when(doc % 4 == 0, " live").otherwise("")).alias("name_lower"), named("doc_id", "a", 3).alias("artist_name_lower"),
+        F.when(doc % 6 != 0, named("doc_id", "b", 7)).alias("album_name_lower"), (doc % 40).cast("double").alias("dump_duration"), F.when(doc % 9 != 0, doc % 5 == 0).alias("instrumental"),
+    )
+    tracks = t.tracks().select("id", F.concat(named("id", "N", 50), F.when(id % 2 == 0, " (Live)").otherwise("")).alias("title"), named("id", "A", 3).alias("artist"), F.when(id % 8 != 0, named("id", "B", 7)).alias("album"), F.when(id % 5 != 0, F.col("duration") % 40).alias("duration"))
     return ca.lyric_matches(tracks, dump).select("id", "dump_id")
 
 
+_KINDS = "['track', 'album', 'playlist', 'artist'][id % 4 + 1]"
+
+
 @query(
     "j15_same_as",
-    """WITH r AS (SELECT 'track' AS kind, id AS known, 'p' || id % 3 AS provider, 'c' || id % 100 AS isrc FROM tracks WHERE id % 2 = 0),
-    i AS (SELECT 'track' AS kind, 'x' || id AS ref, 'p' || id % 4 AS provider, 'c' || id % 100 AS isrc FROM tracks WHERE id % 2 = 1 OR id % 10 = 0),
-    m AS (SELECT i.provider, i.kind, i.ref, r.known FROM i JOIN r ON r.isrc = i.isrc AND r.provider <> i.provider WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.provider = i.provider AND s.known = r.known))
-    SELECT provider, kind, ref, min(known) AS known FROM m GROUP BY ALL""",
+    f"""WITH x AS (SELECT id, {_KINDS} AS kind, CASE WHEN id % 3 <> 0 THEN 'c' || id % 120 END AS isrc, CASE WHEN id % 5 = 0 THEN ' | ' WHEN id % 7 <> 0 THEN 'k' || id % 90 || '|' || id % 2 END AS key FROM tracks),
+    r AS (SELECT kind, id AS known, 'p' || id % 3 AS provider, upper(isrc) AS isrc, key FROM x WHERE id % 16 < 8),
+    i AS (SELECT kind, 'x' || id AS ref, 'p' || id % 5 AS provider, upper(trim(CASE WHEN id % 11 = 0 THEN ' ' ELSE ' ' || isrc || ' ' END)) AS isrc, key FROM x WHERE id % 16 >= 4 AND kind <> 'playlist'),
+    b AS (SELECT i.provider, i.kind, i.ref, r.known, 0 AS turn FROM i JOIN r ON r.kind = i.kind AND r.isrc = i.isrc AND i.isrc <> '' AND r.provider <> i.provider
+          UNION ALL SELECT i.provider, i.kind, i.ref, r.known, 1 FROM i JOIN r ON i.kind <> 'track' AND r.kind = i.kind AND r.key = i.key AND trim(replace(i.key, '|', '')) <> '' AND r.provider <> i.provider),
+    m AS (SELECT *, row_number() OVER (PARTITION BY provider, kind, ref ORDER BY turn, known) AS n FROM b WHERE NOT EXISTS (SELECT 1 FROM r s WHERE s.kind = b.kind AND s.provider = b.provider AND s.known = b.known))
+    SELECT provider, kind, ref, known FROM m WHERE n = 1""",
 )
 def _(t: Tables) -> DataFrame:
-    base = t.tracks().select(F.lit("track").alias("kind"), "id", F.concat(F.lit("c"), F.col("id") % 100).alias("isrc"), F.lit(None).cast("string").alias("match_key"))
-    refs = base.filter("id % 2 = 0").withColumn("provider", F.concat(F.lit("p"), F.col("id") % 3))
-    items = base.filter("id % 2 = 1 OR id % 10 = 0").withColumns({"ref": F.concat(F.lit("x"), F.col("id")), "provider": F.concat(F.lit("p"), F.col("id") % 4)}).drop("id")
+    id = F.col("id")
+    key = F.when(id % 5 == 0, " | ").when(id % 7 != 0, F.concat_ws("|", F.concat(F.lit("k"), id % 90), id % 2))
+    kind = F.get(F.array(*map(F.lit, ("track", "album", "playlist", "artist"))), (id % 4).cast("int"))
+    base = t.tracks().select(kind.alias("kind"), "id", F.when(id % 3 != 0, F.concat(F.lit("c"), id % 120)).alias("isrc"), key.alias("match_key"))
+    refs = base.filter("id % 16 < 8").withColumns({"provider": F.concat(F.lit("p"), id % 3), "isrc": F.upper("isrc")})
+    written = F.when(id % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "isrc", F.lit(" ")))
+    items = base.filter("id % 16 >= 4").withColumns({"ref": F.concat(F.lit("x"), id), "provider": F.concat(F.lit("p"), id % 5), "isrc": written}).drop("id")
     return ca.same_as(items, refs)
 
 
@@ -717,9 +757,23 @@ def _(t: Tables) -> DataFrame:
     return mv.hit(t.places(), 0.0, 0.0, 20.0).select("id", "d2")
 
 
-@query("m6_bins", "WITH p AS (SELECT *, floor(x * 2.0 / 16)::BIGINT AS bx, floor(y * 2.0 / 16)::BIGINT AS \"by\" FROM places), g AS (SELECT bx, \"by\", genre, count(*) AS g FROM p GROUP BY ALL) SELECT bx, \"by\", sum(g)::BIGINT AS n, arg_max(genre, lpad(g::VARCHAR, 9, '0') || genre) AS genre FROM g GROUP BY bx, \"by\"")
+_WORD = "4294967296::HUGEINT"
+
+
+@query(
+    "m6_bins",
+    f"""WITH p AS (SELECT *, floor(x * 2.0 / 16)::BIGINT AS bx, floor(y * 2.0 / 16)::BIGINT AS "by" FROM places),
+    c AS (SELECT bx, "by", count(*) AS n FROM p GROUP BY ALL),
+    w AS (SELECT bx + dx AS bx, "by" + dy AS "by", sum(n * CASE dx WHEN 0 THEN 2 ELSE 1 END * CASE dy WHEN 0 THEN 2 ELSE 1 END) / 16.0::DOUBLE AS blur FROM c, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy) GROUP BY bx + dx, "by" + dy),
+    h1 AS (SELECT p.*, greatest(1.0, blur / 4.0) AS crowding, xor(((id % {_WORD}) * 2654435761 % {_WORD})::BIGINT, id >> 32) AS h FROM p JOIN w USING (bx, "by")),
+    h2 AS (SELECT * EXCLUDE h, (xor(h, h >> 16)::HUGEINT * 2246822507 % {_WORD})::BIGINT AS h FROM h1),
+    h3 AS (SELECT * EXCLUDE h, (xor(h, h >> 13)::HUGEINT * 3266489909 % {_WORD})::BIGINT AS h FROM h2),
+    k AS (SELECT * FROM h3 WHERE xor(h, h >> 16) / 4294967296.0::DOUBLE < 1 / crowding),
+    g AS (SELECT bx, "by", genre, count(*) AS g FROM k GROUP BY ALL)
+    SELECT bx, "by", sum(g)::BIGINT AS n, arg_max(genre, lpad(g::VARCHAR, 9, '0') || genre) AS genre, max(g) / sum(g) AS share FROM g GROUP BY bx, "by" """,
+)
 def _(t: Tables) -> DataFrame:
-    return mv.bins(t.places(), 2.0, 16.0, 1e9).select("bx", "by", "n", "genre")
+    return mv.bins(t.places(), 2.0, 16.0, 4.0).select("bx", "by", "n", "genre", "share")
 
 
 @query("m2_regions")

@@ -47,3 +47,4 @@ SAME, SAME_OTHER_ISRC, LENGTH_SLACK = 0.995, 0.999, 2
 UMAP_K, MIN_DIST, SPREAD, NEGATIVES, SEED = 15, 0.1, 1.0, 5, 42
 FINISH_SLACK, FINISH_SHARE, CLOCK_SLACK, PLAYED_MOST = 15.0, 0.1, 2.0, 240.0
 RECHECK_DAYS = 90
+PHRASES_MOST = 65_535

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from songfield.functions import music as mu
 from songfield.operators import build as bu
 from songfield.operators import catalogue as ca
 from songfield.operators import layout as la
@@ -188,3 +189,49 @@ def test_empty_tables(spark):
     assert si.knn_self_join(empty, 3).count() == 0
     assert si.neighbours(empty, 1, 3).count() == 0
     assert mv.celled(empty.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), 4).count() == 0
+
+
+def test_a_stamp_is_of_the_set(spark):
+    ids = spark.range(500).withColumn("id", F.when(F.col("id") != 7, F.col("id")))
+    one = ids.agg(mu.stamp(F.col("id"))).first()[0]
+    assert one == ids.unionByName(ids.filter("id % 3 = 0")).repartition(5).orderBy(F.rand(1)).agg(mu.stamp(F.col("id"))).first()[0]
+    assert one != ids.filter("id <> 3").agg(mu.stamp(F.col("id"))).first()[0]
+    plan = ids.groupBy().agg(mu.stamp(F.col("id")))._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_places_of_ids_are_the_clients(spark):
+    def rank(i):
+        h = (i % 2**32 * 0x9E3779B1 % 2**32) ^ (i >> 32)
+        h = (h ^ h >> 16) * 0x85EBCA6B % 2**32
+        h = (h ^ h >> 13) * 0xC2B2AE35 % 2**32
+        return (h ^ h >> 16) / 2**32
+
+    ids = [0, 1, 7, 2**31, 2**32 - 1, 2**32 + 5, 2**40 + 99, 2**52 - 1]
+    got = spark.createDataFrame([(i,) for i in ids], "id bigint").select("id", mu.place_hash(F.col("id"))).collect()
+    assert {r[0]: r[1] for r in got} == {i: rank(i) for i in ids}
+
+
+def test_lyrics_without_a_length_and_without_words(spark):
+    track = lambda *rows: spark.createDataFrame([(i, t, "Lun", album, d) for i, t, album, d in rows], "id bigint, title string, artist string, album string, duration bigint")
+    dump = spark.createDataFrame(
+        [(1, "gwerz", "lun", "x", 200.0, None, True), (2, "gwerz", "lun", "live at x", 300.0, "words", False), (3, "an dro", "lun", None, 100.0, " ", None), (4, "an dro live", "lun", None, 100.0, "", False)],
+        "dump_id bigint, name_lower string, artist_name_lower string, album_name_lower string, dump_duration double, plain_lyrics string, instrumental boolean",
+    )
+    got = lambda *rows: [(r["id"], r["dump_id"]) for r in ca.lyric_matches(track(*rows), dump).orderBy("id").collect()]
+    assert got((1, "Gwerz", "X", 201), (2, "Gwerz", None, None), (3, "Gwerz", "Live at X", None), (4, "Gwerz", None, 250)) == [(1, 1), (2, 1), (3, 2)]
+    assert got((5, "An Dro", None, 100), (6, "An Dro (Live)", None, None)) == []
+
+
+def test_phrase_rows_of_a_track(spark):
+    segments = [(2, n, float(n), [0.9, 0.25, 0.3]) for n in range(3)] + [(2, 3, 3.0, [1.0]), (2, 65_535, 9.0, [0.9, 0.25, 0.3]), (1, 0, 5.0, [0.9, 0.25, 0.3]), (3, 0, 0.0, []), (4, 0, 0.0, [0.9, 0.25, 0.3])]
+    table = spark.createDataFrame(segments, "track_id bigint, pos bigint, start double, embedding array<double>")
+    visible = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
+    model = (np.array([0.1, 0.0, -0.1]), np.array([[1.0, 0, 0], [0, 1.0, 0]]), [(0.5, 2.0), (0.0, 0.5)])
+    norm = (0.15**2 + 0.5**2) ** 0.5
+    row = [round(0.15 / norm * 127), round(0.5 / norm * 127)]
+    got = [tuple(r) for r in bu.phrase_rows(table, visible, *model).orderBy("number").collect()]
+    assert got == [(0, 1, 0, 1, [5.0], row), (1, 2, 1, 3, [0.0, 1.0, 2.0], row * 3)]
+    with pytest.raises(ValueError):
+        bu.phrase_rows(table, visible, model[0], model[1][:, :2], model[2])
+    assert bu.phrase_rows(table.limit(0), visible, *model).count() == 0
