@@ -48,7 +48,7 @@ from songfield.operators.components import components
 #: the numbers of documents at which an n-gram comes a step later, a bit for each.
 COUNTED, BITS, STEPS = 0.25, 26, (2, 5, 20, 200)
 #: Sets that are walked in one trie.
-TILE = 512
+TILE = 2048
 
 
 def word_hashes(text: str, lower: bool = True) -> np.ndarray:
