@@ -539,6 +539,50 @@ def test_classifier_learns_and_scores_everything(spark):
     assert none.score(np.zeros(0, np.int64)) < 1e-6
 
 
+def test_toxicity_query_loses_no_language(spark, tmp_path):
+    """The query over two languages of which one has a tenth of the labels: recall by
+    language on rows it held out, no clean text of either accused in numbers, and a
+    defined row for nulls, repeated rows and a language without labels."""
+    import zlib
+
+    from songfield.llm import queries
+
+    rng = random.Random(9)
+    bad_words = {"aa": ["scumbag", "scumlord", "vileness", "vilest"], "bb": ["zorrask", "zorrimet", "krunfel", "krunfost"]}
+    rows, labels = [], []
+    for i in range(1500):
+        lang = "bb" if i % 10 == 0 else "aa"
+        words = [rng.choice(WORDS) + ("o" if lang == "bb" else "") for _ in range(rng.randrange(10, 60))]
+        if bad := rng.random() < 0.2:
+            for _ in range(2):
+                words[rng.randrange(len(words))] = rng.choice(bad_words[lang])
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(bad)))
+    odd = [(None, "ka po", "aa"), (5, rows[5][1], "aa"), (9001, None, None), (9002, "", "cc")]
+    spark.createDataFrame([*rows, *odd], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (9001, None), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.op8_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows) + len(odd)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found)
+    assert len({r["score"] for r in found if r["doc_id"] == 5}) == 1
+    got, true = {r["doc_id"]: r for r in found}, dict(labels)
+    for lang in ("aa", "bb"):
+        held = [(got[i]["predicted"], true[i]) for i, _, x in rows if x == lang and got[i]["held_out"]]
+        assert sum(p for p, y in held if y) >= 0.8 * sum(y for _, y in held)
+        assert sum(p for p, y in held if not y) <= 0.1 * len(held)
+
+
+def test_rows_of_the_table_go_round():
+    numbers, tells = np.arange(0, 4000, 2), np.arange(2000)[::-1].astype(float)
+    assert toxicity.table_rows(numbers, tells, 4096).tolist() == list(range(1, 2001))
+    rows = toxicity.table_rows(numbers, tells, 256)
+    assert rows.min() == 1 and rows.max() < 256
+    assert len(set(rows[:192])) == 192 and not set(rows[:192]) & set(rows[192:])
+    say = toxicity.even_say(np.array([1.0] * 8 + [0.0] * 8), ["a"] * 7 + [None] + ["a"] * 8)
+    assert say[:7].sum() == pytest.approx(4) and say[7] == 4 and (say[8:] == 1).all()
+
+
 # --- archives ------------------------------------------------------------------------
 
 
