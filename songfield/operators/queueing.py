@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from songfield.operators.catalogue import first_by
@@ -66,3 +66,37 @@ def around(nearest: DataFrame, count: int) -> DataFrame:
     """Seeds (seed_pos) with their neighbours (rank 0 is the seed), each id once, in order."""
     once = first_by(nearest, ["id"], F.col("seed_pos"), F.col("rank"))
     return once.orderBy("seed_pos", "rank").limit(count)
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """How many elements two arrays begin with in common; nulls equal each other."""
+    boxed = lambda xs: F.transform(xs, lambda x: F.struct(x.alias("x")))  # noqa: E731  an element that is null isn't an end
+    differ = F.array_position(F.zip_with(boxed(a), boxed(b), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differ == 0, F.size(a).cast("bigint")).otherwise(differ - 1)
+
+
+def splice(before: Column, after: Column) -> Column:
+    """T5: (at, removed, tracks): what lies between the beginning and the end that two
+    queues have in common. Null is an empty queue."""
+    before, after = F.coalesce(before, F.array().cast("array<bigint>")), F.coalesce(after, F.array().cast("array<bigint>"))
+    head = _shared(before, after).cast("int")
+    old, new = F.slice(before, head + 1, F.size(before)), F.slice(after, head + 1, F.size(after))
+    tail = _shared(F.reverse(old), F.reverse(new)).cast("int")
+    return F.struct(head.cast("bigint").alias("at"), (F.size(old) - tail).cast("bigint").alias("removed"), F.slice(new, F.lit(1), F.size(new) - tail).alias("tracks"))
+
+
+def spliced(queue: Column, change: Column) -> Column:
+    """T5: the queue after the change; null where the change doesn't fit it."""
+    queue = F.coalesce(queue, F.array().cast("array<bigint>"))
+    at, removed = change["at"].cast("int"), change["removed"].cast("int")
+    fits = (change["at"] >= 0) & (change["removed"] >= 0) & (F.try_add(change["at"], change["removed"]) <= F.size(queue))
+    return F.when(fits, F.concat(F.slice(queue, F.lit(1), at), change["tracks"], F.slice(queue, at + removed + 1, F.size(queue))))
+
+
+def splices(snapshots: DataFrame) -> DataFrame:
+    """T5: snapshots (user_id, seq, tracks) of queues as changes to the one before of the
+    user, whose seq is ``base``; the first changes an empty queue and has no base. Each
+    user's seq must be distinct."""
+    w = Window.partitionBy("user_id").orderBy("seq")
+    both = snapshots.select("user_id", "seq", F.lag("seq").over(w).alias("base"), F.lag("tracks").over(w).alias("before"), "tracks")
+    return both.select("user_id", "seq", "base", F.coalesce("before", F.array().cast("array<bigint>")).alias("before"), splice(F.col("before"), F.col("tracks")).alias("change"))

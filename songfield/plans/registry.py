@@ -841,6 +841,21 @@ def _(t: Tables) -> DataFrame:
     return found.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
+@query(
+    "t5_splices",
+    """WITH q AS (SELECT o_custkey AS user_id, o_orderkey AS seq, list(l_partkey % 4 ORDER BY l_linenumber, l_partkey % 4)::BIGINT[] AS tracks FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey),
+    b AS (SELECT user_id, seq, lag(seq) OVER w AS base, coalesce(lag(tracks) OVER w, []) AS a, tracks AS z FROM q WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+    h AS (SELECT *, list_max(list_filter(range(least(len(a), len(z)) + 1), lambda k: a[1:k] = z[1:k])) AS head FROM b),
+    t AS (SELECT *, list_max(list_filter(range(least(len(a), len(z)) - head + 1), lambda k: a[len(a) - k + 1:len(a)] = z[len(z) - k + 1:len(z)])) AS tail FROM h)
+    SELECT user_id, seq, base, head::BIGINT AS "at", (len(a) - head - tail)::BIGINT AS removed, z[head + 1:len(z) - tail] AS tracks, z AS queue FROM t""",
+)
+def _(t: Tables) -> DataFrame:
+    row = F.struct(F.col("l_linenumber"), (F.col("l_partkey") % 4).cast("bigint").alias("track"))
+    queues = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("seq")).agg(F.sort_array(F.collect_list(row))["track"].alias("tracks"))
+    found = qu.splices(queues)
+    return found.select("user_id", "seq", "base", "change.at", "change.removed", "change.tracks", qu.spliced(F.col("before"), F.col("change")).alias("queue"))
+
+
 # --- walks and layout: no SQL ------------------------------------------------------
 
 

@@ -235,3 +235,24 @@ def test_phrase_rows_of_a_track(spark):
     with pytest.raises(ValueError):
         bu.phrase_rows(table, visible, model[0], model[1][:, :2], model[2])
     assert bu.phrase_rows(table.limit(0), visible, *model).count() == 0
+
+
+def test_splices_lead_from_each_queue_to_the_next(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = [([rng.choice([1, 2, None]) for _ in range(rng.randrange(7))], [rng.choice([1, 2, None]) for _ in range(rng.randrange(7))]) for _ in range(300)]
+    pairs += [([], []), (None, [1]), ([1], None), ([1, 1], [1, 1, 1]), ([1, None], [1])]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<bigint>, b array<bigint>")
+    found = rows.withColumn("c", qu.splice(F.col("a"), F.col("b"))).withColumn("again", qu.spliced(F.col("a"), F.col("c"))).collect()
+    for r in found:
+        a, b = r["a"] or [], r["b"] or []
+        head = max(k for k in range(min(len(a), len(b)) + 1) if a[:k] == b[:k])
+        tail = max(k for k in range(min(len(a), len(b)) - head + 1) if a[len(a) - k :] == b[len(b) - k :])
+        assert (r["c"]["at"], r["c"]["removed"], r["c"]["tracks"]) == (head, len(a) - head - tail, b[head : len(b) - tail])
+        assert r["again"] == b
+    refused = spark.sql("SELECT array(1L, 2L) AS q, named_struct('at', x, 'removed', y, 'tracks', array(9L)) AS c FROM VALUES (3L, 0L), (2L, 1L), (-1L, 1L), (9223372036854775807L, 1L) v(x, y)")
+    assert [r[0] for r in refused.select(qu.spliced(F.col("q"), F.col("c"))).collect()] == [None] * 4
+    snaps = spark.createDataFrame([(1, 5, [1, 2, 3]), (1, 9, [1, 3]), (2, 1, []), (1, 7, None)], "user_id int, seq int, tracks array<bigint>")
+    got = sorted((r["user_id"], r["seq"], r["base"], *r["change"]) for r in qu.splices(snaps).collect() if r["base"] is not None)
+    assert got == [(1, 7, 5, 0, 3, []), (1, 9, 7, 0, 0, [1, 3])]
