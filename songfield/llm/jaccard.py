@@ -15,8 +15,9 @@
    overlaps with all sets below a node are counted once, and a subtree is left
    when what remains of either side can't bring the overlap that a link needs,
    or when all below is already connected to the walking set. Blocks beyond
-   ``TILE`` sets are dealt into tiles: each tile by itself first, then pairs of
-   tiles that know what is connected so far.
+   ``TILE`` sets are dealt into bands by size, so wide that sets which link are
+   of one band or of two that adjoin, and bands into tiles: each tile by itself
+   first, then pairs of tiles of such bands, which know what is connected so far.
 4. The links, at most one fewer than a block has sets, are made components.
 
 Which links appear is up to the walk, which components do is not: sets in
@@ -33,22 +34,23 @@ set like any other; an empty table has no rows. Other columns aren't carried.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songfield.llm.common import written
+from songfield.llm.common import dropped, written
 from songfield.operators.components import components
 
 #: The part of all hashes that is counted, log2 of the bits of the bitmap, and
 #: the numbers of documents at which an n-gram comes a step later, a bit for each.
 COUNTED, BITS, STEPS = 0.25, 26, (2, 5, 20, 200)
-#: Sets that are walked in one trie.
-TILE = 2048
+#: Sets that are walked in one trie, and bits of a tile's number within its band.
+TILE, TILE_BITS = 2048, 32
 
 
 def word_hashes(text: str, lower: bool = True) -> np.ndarray:
@@ -263,6 +265,33 @@ def shared_bitmap(texts: DataFrame, n: int) -> np.ndarray:
     return bitmap
 
 
+def banded(inside: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``inside`` (cls, size, block) with ``wide``, band and tile, and of blocks beyond
+    TILE sets (block, band, tiles, above, below): the tiles of a band and of those beside it.
+    A tile's number is its band's above TILE_BITS bits. Other blocks are one tile."""
+    blocks = inside.groupBy("block").agg((F.count(F.lit(1)) > TILE).alias("wide"))
+    # Of two sets that link the larger has 100 / percent times the other's size at most;
+    # the factor is a trifle wider, so that rounded logarithms can't skip a band.
+    step = math.log(100 / min(percent, 99)) * (1 + 1e-9)
+    band = F.when(F.col("wide"), F.floor(F.log(F.col("size")) / step)).otherwise(0).cast("bigint")
+    sized = inside.join(blocks, "block").withColumn("band", band)
+    counts = sized.groupBy("block", "wide", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("bigint").alias("tiles"))
+    own = F.shiftleft("band", TILE_BITS) + F.pmod(F.xxhash64("cls"), F.col("tiles"))
+    placed = sized.join(counts.drop("wide"), ["block", "band"]).select("first", "digest", "block", "wide", "band", own.alias("tile"))
+    bands = counts.filter("wide").drop("wide")
+    for name, to in (("above", 1), ("below", -1)):
+        bands = bands.join(counts.select("block", (F.col("band") - to).alias("band"), F.col("tiles").alias(name)), ["block", "band"], "left")
+    return placed, bands
+
+
+def others() -> Column:
+    """The tiles that a tile of a row (band, tiles, above, below) is paired with, itself among them."""
+    of = lambda band, tiles: F.when(tiles > 0, F.sequence(F.shiftleft(band, TILE_BITS), F.shiftleft(band, TILE_BITS) + tiles - 1))
+    none = F.array().cast("array<bigint>")
+    band = F.col("band")
+    return F.concat(of(band, F.col("tiles")), F.coalesce(of(band + 1, F.col("above")), none), F.coalesce(of(band - 1, F.col("below")), none))
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: its component holds
     all that links, 100 * intersection >= percent * union, lead to."""
@@ -270,7 +299,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = summaries(texts, n)
     sketch = spark.sparkContext.broadcast(shared_bitmap(texts, n))
-    classes = written(own.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first")), "classes")
+    classes = written(own.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size")), "classes")
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sketch.value
@@ -291,17 +320,16 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     several = heads.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("gram", "low")
     near = heads.join(several, "gram").filter("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
     blocks = written(components(near), "blocks")
-    sizes = blocks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    placed = blocks.join(sizes, "component").select(F.col("id").alias("cls"), F.col("component").alias("block"), "tiles", tile.alias("tile"))
+    dropped(heads)
     # class_of(digest), as Spark says it: the first eight bytes, the last one leading.
     code = F.hex("digest")
     turned = F.concat(*[F.substring(code, 15 - 2 * i, 2) for i in range(8)])
     high = F.conv(F.substring(turned, 1, 8), 16, 10).cast("bigint")
     low = F.conv(F.substring(turned, 9, 8), 16, 10).cast("bigint")
     numbered = classes.withColumn("cls", F.shiftleft(F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high), 32).bitwiseOR(low))
-    members = numbered.join(placed, "cls").select(F.col("first").alias("doc_id"), "digest", "block", "tiles", "tile")
-    held = written(texts.join(members, "doc_id"), "members")
+    inside = numbered.join(blocks.select(F.col("id").alias("cls"), F.col("component").alias("block")), "cls")
+    placed, bands = banded(inside, percent)
+    held = written(texts.join(placed.withColumnRenamed("first", "doc_id"), "doc_id"), "members")
 
     def group(pairs: bool):
         def links(table: pa.Table) -> pa.Table:
@@ -321,17 +349,20 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     one = held.select("block", "tile", "doc_id", "digest", "text")
     links = written(one.groupBy("block", "tile").applyInArrow(group(False), "a bigint, b bigint"), "links")
-    if not held.filter("tiles > 1").isEmpty():
-        wide = held.filter("tiles > 1")
+    wide = held.filter("wide")
+    if not wide.isEmpty():
         so_far = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
         labelled = wide.join(so_far, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
-        other = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).filter("other <> tile")
+        other = labelled.join(bands, ["block", "band"]).withColumn("other", F.explode(others())).filter("other <> tile")
         pairs = other.select("block", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "known", "doc_id", "digest", "text")
         across = pairs.groupBy("block", "t", "u").applyInArrow(group(True), "a bigint, b bigint")
         links = written(links.unionByName(across), "links")
+    dropped(blocks, held)
     # Classes that one document's texts belong to are linked as well.
-    of_one = own.join(classes, "digest").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("first").alias("firsts")).filter(F.size("firsts") > 1)
-    same = of_one.select(F.explode("firsts").alias("a"), F.array_min("firsts").alias("b"))
+    apart = own.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high")
+    firsts = own.join(apart.select("doc_id"), "doc_id").join(classes, "digest").select("doc_id", "first").distinct()
+    least = firsts.groupBy("doc_id").agg(F.min("first").alias("b"))
+    same = firsts.join(least, "doc_id").filter("first <> b").select(F.col("first").alias("a"), "b")
     joined = components(links.unionByName(same)).select(F.col("id").alias("first"), "component")
     named = classes.join(joined, "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
     rows = own.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
