@@ -43,8 +43,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each row, by the unigram table of the model's pieces; none
-    for a null or empty text. A repeated row repeats its ids."""
-    return lattice.encode(docs)
+    for a null or empty text. A repeated row repeats its ids. ``docs`` is what was
+    read again from files, so rows come in one order."""
+    return lattice.encode(docs, settled=True)
 
 
 STAGES = [

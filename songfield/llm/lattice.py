@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from songfield.llm.common import once
+from songfield.llm.common import once, written
 from songfield.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, Pieces, load
 from songfield.llm.tokencounts import split
 
@@ -285,11 +285,16 @@ def taken(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray, at: np.ndar
     return values[where], own
 
 
-def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scores: str = "rank") -> DataFrame:
+def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scores: str = "rank", settled: bool = False) -> DataFrame:
     """(doc_id, n_words, ids) of every row of ``docs``. ``scores`` says which scores:
-    "rank" for the unigram table of the model's pieces, "model" for the file's own."""
+    "rank" for the unigram table of the model's pieces, "model" for the file's own.
+    Words are numbered as they come, and a task that is run again must number them
+    alike. ``settled`` says that ``docs`` is read straight from files, whose rows come in
+    the same order each time; other rows are written as a table first."""
     spark, pieces = docs.sparkSession, load(model, scores)
     texts = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if not settled:
+        texts = written(texts, "texts")
     slices = sliced(texts, pieces).repartition("slice")
     words = _words(slices).repartition("word")
     # Read whole, so that one exchange serves this and the join: a filter pushed below it would make another.

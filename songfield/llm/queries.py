@@ -144,13 +144,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of all documents."""
-    found = lattice.encode(_table(spark, sf_dir, "documents"))
+    found = lattice.encode(_table(spark, sf_dir, "documents"), settled=True)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids")
 
 
 def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of what the ids of each document decode to."""
-    found = lattice.decode(lattice.encode(_table(spark, sf_dir, "documents")), into="decoded")
+    found = lattice.decode(lattice.encode(_table(spark, sf_dir, "documents"), settled=True), into="decoded")
     return found.select("doc_id", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
 
 
