@@ -105,6 +105,20 @@ def catalogue_only(rows: DataFrame, space: DataFrame) -> DataFrame:
     return rows.join(space.select("id").distinct(), "id", "left_anti").select(*rows.columns)
 
 
+def listed_in(rows: DataFrame, *others: DataFrame) -> DataFrame:
+    """U4: rows whose id each of ``others`` lists too; a null id is in none."""
+    for other in others:
+        rows = rows.join(other.select("id").distinct(), "id", "left_semi").select(*rows.columns)
+    return rows
+
+
+def owned_devices(devices: DataFrame, users: DataFrame) -> DataFrame:
+    """Devices (id, user_id, name, scope, created_at, last_seen) with their owner's
+    name; one without a known owner is left out."""
+    owners = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    return devices.join(owners, "user_id").select("id", "name", "scope", "created_at", "last_seen", "user_id", "user_name")
+
+
 def liked_only(rows: DataFrame, likes: DataFrame, kind: str) -> DataFrame:
     """P15."""
     return rows.join(likes.filter(F.col("kind") == kind).select(F.col("ref_id").alias("id")), "id", "left_semi")

@@ -6,6 +6,7 @@ without SQL walk greedily or lay out, and are tested against plain versions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,7 +25,10 @@ from songfield.operators import navigate as na
 from songfield.operators import numbering as nu
 from songfield.operators import queueing as qu
 from songfield.operators import similarity as si
+from songfield.operators import verifying as ver
 from songfield.plans.standins import SQL, Tables
+from songfield.sources import library as lib
+from songfield.sources.tables import shared_folder
 from songfield.streaming import listens as li
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -878,6 +882,57 @@ def _(t: Tables) -> DataFrame:
     return _steps(t, na.even_path(t.space(), 7, 90, 6))
 
 
+@query(
+    "w5_broken_rules",
+    """WITH w AS (SELECT l_orderkey AS walk, l_linenumber AS step, p_partkey AS id, nullif(p_size, 7)::BIGINT AS artist_id, p_brand AS album_id, p_partkey // 4 AS recording, nullif(p_size, 9) * 4 AS bpm
+        FROM lineitem JOIN part ON p_partkey = l_partkey),
+    b AS (SELECT *, lag(artist_id, 1) OVER o AS a1, lag(artist_id, 2) OVER o AS a2, lag(artist_id, 3) OVER o AS a3, lag(album_id) OVER o AS album_before, lag(bpm) OVER o AS bpm_before,
+        min(step) OVER (PARTITION BY walk, recording) AS first FROM w WINDOW o AS (PARTITION BY walk ORDER BY step, id))
+    SELECT walk::BIGINT AS walk, step::BIGINT AS step, id::BIGINT AS id, coalesce(artist_id IN (SELECT artist_id FROM blocked), false) AS blocked,
+        id IN (SELECT ref_id FROM likes WHERE kind = 'track') AS excluded,
+        coalesce(artist_id = a1, false) OR coalesce(artist_id = a2, false) OR coalesce(artist_id = a3, false) AS artist,
+        coalesce(album_id = album_before, false) AS album, coalesce(abs(bpm - bpm_before) > 120, false) AS tempo, step > first AS recording FROM b""",
+)
+def _(t: Tables) -> DataFrame:
+    tracks = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").cast("bigint").alias("id"), F.nullif(F.col("p_size").cast("bigint"), F.lit(7).cast("bigint")).alias("artist_id"), F.col("p_brand").alias("album_id"), F.floor(F.col("p_partkey") / 4).alias("recording"), (F.nullif(F.col("p_size").cast("int"), F.lit(9)) * 4).cast("double").alias("bpm"))
+    walks = t.lineitem.select("l_partkey", F.col("l_orderkey").cast("bigint").alias("walk"), F.col("l_linenumber").cast("bigint").alias("step")).join(tracks, "l_partkey")
+    return ver.broken_rules(walks, t.blocked(), t.likes().filter("kind = 'track'").select(F.col("ref_id").alias("id")), bpm_limit=120.0)
+
+
+@query(
+    "t20_grown_library",
+    """WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS turn, l_partkey::BIGINT AS id, count(*) AS n, max(l_linestatus) AS version FROM lineitem
+        WHERE l_linenumber <= CASE l_returnflag WHEN 'A' THEN 7 WHEN 'R' THEN 2 ELSE 1 END GROUP BY 1, 2)
+    SELECT id, n, version, turn::BIGINT AS turn FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    root = f"{shared_folder(t.spark)}/songfield/library-{uuid.uuid4().hex}"
+    for turn, (flag, most) in enumerate((("A", 7), ("R", 2), ("N", 1)), 1):
+        own = t.lineitem.filter((F.col("l_returnflag") == flag) & (F.col("l_linenumber") <= most))
+        lib.append(own.groupBy(F.col("l_partkey").cast("bigint").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("l_linestatus").alias("version"), F.lit(turn).cast("bigint").alias("turn")), root)
+        if turn == 2:
+            lib.compact(t.spark, root)
+    return lib.read(t.spark, root)
+
+
+@query(
+    "u4_listed_everywhere",
+    "SELECT id, artist_id, album_id, title FROM cat WHERE id IN (SELECT track_id FROM features) AND id IN (SELECT track_id FROM failures) AND artist_id NOT IN (SELECT artist_id FROM blocked)",
+)
+def _(t: Tables) -> DataFrame:
+    visible = ca.not_blocked(t.rows(), t.blocked())
+    return ca.listed_in(visible, t.features().withColumnRenamed("track_id", "id"), t.failures().withColumnRenamed("track_id", "id")).select("id", "artist_id", "album_id", "title")
+
+
+@query(
+    "j6_owned_devices",
+    "SELECT o_orderkey AS id, o_orderpriority AS name, o_orderstatus AS scope, o_orderdate AS created_at, o_totalprice AS last_seen, c_custkey AS user_id, c_name AS user_name FROM orders JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0",
+)
+def _(t: Tables) -> DataFrame:
+    devices = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("scope"), F.col("o_orderdate").alias("created_at"), F.col("o_totalprice").alias("last_seen"))
+    return ca.owned_devices(devices, t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+
+
 @query("v12_graph_path")
 def _(t: Tables) -> DataFrame:
     return _steps(t, na.graph_path(t.space(), 7, 90))
