@@ -1,4 +1,4 @@
-"""Groups that chains of links make, by contraction."""
+"""Groups that chains of links make, by alternating stars."""
 
 from __future__ import annotations
 
@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from songfield.sources.tables import written
 
 
+def _large_stars(links: DataFrame) -> DataFrame:
+    """Each id's larger neighbours, linked with the smallest of it and its neighbours."""
+    both = links.unionByName(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
+    least = both.groupBy("low").agg(F.min("high").alias("least"))
+    return links.join(least, "low").select(F.least("low", "least").alias("low"), "high").distinct()
+
+
+def _small_stars(links: DataFrame) -> DataFrame:
+    """Each id and its smaller neighbours, linked with the smallest of these."""
+    least = links.groupBy("high").agg(F.min("low").alias("least"))
+    others = links.join(least, "high").filter("low <> least").select(F.col("least").alias("low"), F.col("low").alias("high"))
+    return others.unionByName(least.select(F.col("least").alias("low"), "high")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for every id of the links (a, b): the component's smallest id.
+    """(id, component) for every id of the links (a, b): the component's smallest id. A
+    link of an id with itself, or with null, is none.
 
-    Every round moves each id to that neighbour, or itself, which a hash of the
-    round puts first, and keeps the links between where ids moved to; some log n
-    rounds leave none. Hubs meet in aggregates and joins only.
+    Large and small stars by turns, until each id hangs on one that hangs on none: a star
+    takes one round, a chain as many as the logarithm of its length, and there are never
+    more links than before. Hubs meet in aggregates, which combine before they shuffle,
+    and in joins, which adaptive execution splits.
     """
-    left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
-    parents = []
-    while not left.isEmpty():
-        turn = len(parents) + 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
-        both = left.select(F.col("a").alias("id"), rank("b").alias("to")).unionByName(left.select(F.col("b").alias("id"), rank("a").alias("to")))
-        parent = written(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least(F.col("to"), rank("id"))["id"].alias("parent")), "parents")
-        parents.append(parent)
-        ends = left.join(parent.select(F.col("id").alias("a"), F.col("parent").alias("pa")), "a").join(parent.select(F.col("id").alias("b"), F.col("parent").alias("pb")), "b")
-        left = written(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), "links")
-    if not parents:
-        return links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
-    moved = parents[0].select("id", F.col("parent").alias("at"))
-    for parent in parents[1:]:
-        moved = moved.join(parent.select(F.col("id").alias("at"), "parent"), "at", "left").select("id", F.coalesce("parent", "at").alias("at"))
-    moved = written(moved, "moved")
-    return moved.join(moved.groupBy("at").agg(F.min("id").alias("component")), "at").select("id", "component")
+    left = written(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).filter("low < high").distinct(), "links")
+    while True:
+        roots = left.select(F.col("high").alias("id"), F.col("low").alias("component")).unionByName(left.select(F.col("low").alias("id"), F.col("low").alias("component")))
+        ends = roots.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("last"))
+        if ends.filter("component < last").isEmpty():
+            return ends.select("id", "component")
+        left = written(_small_stars(written(_large_stars(left), "stars")), "links")

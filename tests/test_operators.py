@@ -85,6 +85,22 @@ def test_duplicates_make_stars(spark):
     assert {(r["id"], r["keeper"]) for r in si.star_groups(pairs, order).collect()} == {(2, 1)}
 
 
+def test_components_of_stars_chains_and_odd_links(spark, monkeypatch):
+    from songfield.operators import components as own
+
+    writes, written = [], own.written
+    monkeypatch.setattr(own, "written", lambda df, name: writes.append(name) or written(df, name))
+
+    def found(links):
+        writes.clear()
+        return {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+
+    # A hub that isn't the smallest, and one round for it.
+    assert found([(77, i) for i in range(300) if i != 77]) == dict.fromkeys(range(300), 0) and len(writes) == 3
+    assert found([(i, i + 1) for i in range(128)]) == dict.fromkeys(range(129), 0) and len(writes) <= 17
+    assert found([(1, 1), (None, 2), (-5, 3), (3, -5), (4, 3), (None, None)]) == {-5: -5, 3: -5, 4: -5}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in components(links).collect()}
