@@ -5,6 +5,7 @@ import math
 import duckdb
 
 import __spark_entry__ as entry
+from songfield.operators import catalogue as ca
 
 
 def oracle(name, folder, *tables):
@@ -23,3 +24,35 @@ def test_rounded_zeros_keep_their_sign(spark):
     want = {r[0]: [(x, math.copysign(1, x)) for x in r[1]] for r in oracle("v20_normalised", folder, "embeddings")}
     got = {r["id"]: [(x, math.copysign(1, x)) for x in r["z"]] for r in entry.queries()["v20_normalised"](spark, folder).collect()}
     assert got == want
+
+
+def most_rows(df):
+    """The rows of a frame, and the most that any step of its plan made."""
+    rows = df.collect()
+    most, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        kind = node.getClass().getSimpleName()
+        found = node.metrics().get("numOutputRows")
+        if found.isDefined():
+            most = max(most, found.get().value())
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return rows, most
+
+
+def test_an_albums_fans_are_gathered_once(spark):
+    likes = spark.range(400).selectExpr("id AS user_id", "'album' AS kind", "'A' AS ref_id", "id AS liked_at")
+    likes = likes.unionByName(spark.createDataFrame([(7, "track", "3", 900), (401, "track", "3", 5), (1, "track", "999", 6), (402, "track", "4", 7)], likes.schema))
+    tracks = spark.range(300).selectExpr("id", "CASE WHEN id = 299 THEN 'B' ELSE 'A' END AS album_id").unionByName(spark.createDataFrame([(299, "A")], "id bigint, album_id string"))
+    users = spark.range(403).selectExpr("id AS user_id", "'n' || lpad(id, 3, '0') AS name")
+    rows, most = most_rows(ca.liked_tracks(likes, tracks, users, 5))
+    got = {r["id"]: (r["liked_at"], r["names"].split(", ")) for r in rows}
+    fans = [f"n{i:03}" for i in range(5, 400)]
+    assert len(rows) == len(got) == 301 and got[0] == got[299] == (399, fans)
+    assert got[3] == (900, [*fans, "n401"]) and got[4] == (399, [*fans, "n402"]) and got[999] == (6, ["n001"])
+    assert most < 10_000  # 400 likes of 300 tracks were 118,500 rows
