@@ -189,16 +189,32 @@ def lyric_matches(tracks: DataFrame, dump: DataFrame, slack: float = 2) -> DataF
     no more than ``slack`` away if the track's is known; the same album first, then one
     with words or marked as without, then the smaller id. A title whose first row has
     neither words nor the mark is as one that finds nothing: the bare title is tried,
-    if that is another."""
-    t = tracks.select("id", tx.prepared(F.col("artist")).alias("a"), tx.prepared(F.col("album")).alias("b"), "duration", tx.prepared(F.col("title")).alias("whole"), tx.prepared(tx.bare_title(F.col("title"))).alias("bare"))
+    if that is another.
+
+    Rows of the dump that no track can tell apart, and tracks that ask the same, meet as
+    one. Words are read for what they say of a row, and join at the end."""
+    t = tracks.select("id", tx.prepared(F.col("artist")).alias("a"), F.coalesce(tx.prepared(F.col("album")), F.lit("")).alias("b"), F.col("duration").cast("double").alias("s"), tx.prepared(F.col("title")).alias("whole"), tx.prepared(tx.bare_title(F.col("title"))).alias("bare"))
     first = t.select("*", F.lit(0).alias("turn"), F.col("whole").alias("n"))
     both = first.unionByName(t.filter("bare <> '' AND bare <> whole").select("*", F.lit(1).alias("turn"), F.col("bare").alias("n")))
-    near = F.col("duration").isNull() | F.col("dump_duration").between(F.col("duration") - slack, F.col("duration") + slack)
-    hit = both.join(dump, (F.col("name_lower") == F.col("n")) & (F.col("artist_name_lower") == F.col("a")) & near)
+    asked = both.select("n", "a", "b", "s").filter("n IS NOT NULL AND a IS NOT NULL").distinct()
     silent, words = F.coalesce("instrumental", F.lit(False)), F.coalesce("plain_lyrics", F.lit(""))
-    order = [(F.col("album_name_lower") == F.coalesce("b", F.lit(""))).desc_nulls_last(), ((words != "") | silent).desc(), F.col("dump_id")]
-    firsts = first_by(hit, ["id", "turn"], *order).filter(silent | (F.trim(words) != ""))
-    return first_by(firsts, ["id"], F.col("turn")).select("id", "dump_id", "plain_lyrics", "instrumental")
+    best = F.struct((~((words != "") | silent)).alias("empty"), F.col("dump_id"), (silent | (F.trim(words) != "")).alias("told"))
+    rows = dump.select(F.col("name_lower").alias("n"), F.col("artist_name_lower").alias("a"), F.col("album_name_lower").alias("album"), F.col("dump_duration").cast("double").alias("d"), best.alias("best"))
+    one = rows.filter("n IS NOT NULL AND a IS NOT NULL").groupBy("n", "a", "album", "d").agg(F.min("best").alias("best"))
+    # Without a length, a track meets the best of each album; with one, the best of each length that is near.
+    anyone = one.groupBy("n", "a", "album").agg(F.min("best").alias("best"))
+    place = F.struct(F.when(F.col("album").isNull(), 2).when(F.col("album") == F.col("b"), 0).otherwise(1).alias("other"), "best")
+    free = asked.filter("s IS NULL").join(anyone, ["n", "a"]).select("n", "a", "b", "s", place.alias("place"))
+    width = slack + 1
+    buckets = F.explode(F.sequence(F.floor((F.col("s") - slack) / width), F.floor((F.col("s") + slack) / width)))
+    near = asked.filter("s IS NOT NULL").withColumn("bucket", buckets).join(one.filter("d IS NOT NULL").withColumn("bucket", F.floor(F.col("d") / width)), ["n", "a", "bucket"])
+    near = near.filter(F.col("d").between(F.col("s") - slack, F.col("s") + slack)).select("n", "a", "b", "s", place.alias("place"))
+    answers = free.unionByName(near).groupBy("n", "a", "b", "s").agg(F.min("place").alias("place")).withColumnRenamed("s", "length")
+    known = lambda c: F.coalesce(c, F.lit(-1.0)).alias("known")
+    hit = both.select("*", known("s")).join(answers.select("*", known("length")), ["n", "a", "b", "known"]).filter(F.col("s").eqNullSafe(F.col("length")))
+    firsts = hit.groupBy("id", "turn").agg(F.min("place").alias("place")).filter("place.best.told")
+    found = firsts.groupBy("id").agg(F.min(F.struct("turn", F.col("place.best.dump_id").alias("dump_id"))).alias("f")).select("id", "f.dump_id")
+    return found.join(dump.select("dump_id", "plain_lyrics", "instrumental").dropDuplicates(["dump_id"]), "dump_id", "left").select("id", "dump_id", "plain_lyrics", "instrumental")
 
 
 def same_as(items: DataFrame, refs: DataFrame) -> DataFrame:

@@ -56,3 +56,16 @@ def test_an_albums_fans_are_gathered_once(spark):
     assert len(rows) == len(got) == 301 and got[0] == got[299] == (399, fans)
     assert got[3] == (900, [*fans, "n401"]) and got[4] == (399, [*fans, "n402"]) and got[999] == (6, ["n001"])
     assert most < 10_000  # 400 likes of 300 tracks were 118,500 rows
+
+
+def test_lyrics_that_no_track_tells_apart_meet_as_one(spark):
+    columns = "dump_id bigint, name_lower string, artist_name_lower string, album_name_lower string, dump_duration double, plain_lyrics string, instrumental boolean"
+    dump = spark.range(1000).selectExpr("id AS dump_id", "'song' AS name_lower", "'a' AS artist_name_lower", "CASE WHEN id % 10 = 0 THEN 'b' WHEN id % 10 = 1 THEN NULL ELSE 'c' END AS album_name_lower", "CAST(100 + id % 5 AS double) AS dump_duration", "CASE WHEN id >= 500 THEN 'la' ELSE '' END AS plain_lyrics", "CAST(NULL AS boolean) AS instrumental").to(spark.createDataFrame([], columns).schema)
+    tracks = spark.range(400).selectExpr("id", "'Song' AS title", "'A' AS artist", "CASE WHEN id % 2 = 0 THEN 'B' ELSE 'Z' END AS album", "CASE WHEN id % 4 < 2 THEN 98.5D WHEN id % 4 = 3 THEN 106D END AS duration")
+    rows, most = most_rows(ca.lyric_matches(tracks, dump))
+    got = {r["id"]: (r["dump_id"], r["plain_lyrics"]) for r in rows}
+    # 98.5 takes 100 alone; album b has lengths 100 only, album c none of 100 but 102 to 104 and so on.
+    best = lambda i: [d for _, d in sorted((0 if d % 10 == 0 and i % 2 == 0 else 2 if d % 10 == 1 else 1, (d < 500, d)) for d in range(1000) if i % 4 == 2 or abs(100 + d % 5 - (98.5 if i % 4 < 2 else 106)) <= 2)][0]
+    want = {i: best(i) for i in range(400)}
+    assert got == {i: (d, "la") for i, (empty, d) in want.items() if not empty}
+    assert most < 10_000  # 1,000 rows of 400 tracks were over 100,000
