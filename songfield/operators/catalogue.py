@@ -220,16 +220,22 @@ def lyric_matches(tracks: DataFrame, dump: DataFrame, slack: float = 2) -> DataF
 def same_as(items: DataFrame, refs: DataFrame) -> DataFrame:
     """What another provider's item is here: of the same code, or for all but
     tracks of the same key; not where this provider has something under that id. A
-    playlist is nobody else's, and a key of nothing but separators is no key."""
-    some = items.filter("kind <> 'playlist'")
-    code = some.withColumn("isrc", tx.isrc_key(F.col("isrc"))).filter("isrc IS NOT NULL").join(refs.select("isrc", "kind", F.col("id").alias("known"), F.col("provider").alias("p")), ["isrc", "kind"])
+    playlist is nobody else's, and a key of nothing but separators is no key.
+
+    Items of one provider that ask for the same code or key have the same answer, so
+    each is asked once; items join the answers, a row each."""
+    some = items.filter("kind <> 'playlist'").select("provider", "kind", "ref", tx.isrc_key(F.col("isrc")).alias("isrc"), "match_key")
     keyed = some.filter((F.col("kind") != "track") & (F.trim(F.translate("match_key", "|", "")) != ""))
-    name = keyed.join(refs.select("match_key", "kind", F.col("id").alias("known"), F.col("provider").alias("p")), ["match_key", "kind"])
-    cols = ["provider", "kind", "ref", "known", "p"]
-    both = code.select(*cols, F.lit(0).alias("turn")).unionByName(name.select(*cols, F.lit(1).alias("turn"))).filter("p <> provider")
+    asks = some.filter("isrc IS NOT NULL").select("provider", "kind", "ref", F.lit(0).alias("turn"), F.col("isrc").alias("key"))
+    asks = asks.unionByName(keyed.select("provider", "kind", "ref", F.lit(1).alias("turn"), F.col("match_key").alias("key")))
+    of = lambda column, turn: refs.filter(F.col(column).isNotNull()).select("kind", F.lit(turn).alias("turn"), F.col(column).alias("key"), F.col("id").alias("known"), F.col("provider").alias("p"))
+    there = of("isrc", 0).unionByName(of("match_key", 1)).filter("kind <> 'playlist'").distinct()
+    once = asks.select("provider", "kind", "turn", "key").distinct()
     taken = refs.select("provider", "kind", F.col("id").alias("known"))
-    free = both.join(taken, ["provider", "kind", "known"], "left_anti")
-    return first_by(free, ["provider", "kind", "ref"], F.col("turn"), F.col("known")).select("provider", "kind", "ref", "known")
+    free = once.join(there, ["kind", "turn", "key"]).filter("p <> provider").join(taken, ["provider", "kind", "known"], "left_anti")
+    answers = free.groupBy("provider", "kind", "turn", "key").agg(F.min("known").alias("known"))
+    found = asks.join(answers, ["provider", "kind", "turn", "key"]).groupBy("provider", "kind", "ref").agg(F.min(F.struct("turn", "known")).alias("f"))
+    return found.select("provider", "kind", "ref", "f.known")
 
 
 def redirected(rows: DataFrame, merges: DataFrame, id: str = "track_id") -> DataFrame:

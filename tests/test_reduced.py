@@ -69,3 +69,12 @@ def test_lyrics_that_no_track_tells_apart_meet_as_one(spark):
     want = {i: best(i) for i in range(400)}
     assert got == {i: (d, "la") for i, (empty, d) in want.items() if not empty}
     assert most < 10_000  # 1,000 rows of 400 tracks were over 100,000
+
+
+def test_items_that_ask_the_same_are_asked_once(spark):
+    refs = spark.range(600).selectExpr("'track' AS kind", "id", "'p' || id % 3 AS provider", "'C1' AS isrc", "CAST(NULL AS string) AS match_key").unionByName(spark.createDataFrame([("album", 5, "p0", None, "k|"), ("track", 1, "p9", None, None), ("track", 2, "p9", None, None), ("track", 0, "p9", None, None)], "kind string, id bigint, provider string, isrc string, match_key string"))
+    items = spark.range(500).selectExpr("'track' AS kind", "'x' || id AS ref", "CASE WHEN id % 2 = 0 THEN 'p0' ELSE 'p9' END AS provider", "' c1' AS isrc", "'k|' AS match_key").unionByName(spark.createDataFrame([("album", "y", "p1", "c9", "k|"), ("album", "z", "p0", None, "k|"), ("playlist", "w", "p1", "c1", "k|")], "kind string, ref string, provider string, isrc string, match_key string"))
+    rows, most = most_rows(ca.same_as(items, refs))
+    got = {(r["provider"], r["kind"], r["ref"]): r["known"] for r in rows}
+    assert got == {**{("p0" if i % 2 == 0 else "p9", "track", f"x{i}"): 1 if i % 2 == 0 else 3 for i in range(500)}, ("p1", "album", "y"): 5}
+    assert most < 10_000  # 500 items of 600 were 250,000 rows
