@@ -3,9 +3,12 @@
 import math
 
 import duckdb
+import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 from songfield.operators import catalogue as ca
+from songfield.operators import similarity as si
 
 
 def oracle(name, folder, *tables):
@@ -78,3 +81,55 @@ def test_items_that_ask_the_same_are_asked_once(spark):
     got = {(r["provider"], r["kind"], r["ref"]): r["known"] for r in rows}
     assert got == {**{("p0" if i % 2 == 0 else "p9", "track", f"x{i}"): 1 if i % 2 == 0 else 3 for i in range(500)}, ("p1", "album", "y"): 5}
     assert most < 10_000  # 500 items of 600 were 250,000 rows
+
+
+def vectors(n, dims, seed=0):
+    """Vectors of few steps, so that scores tie, with equal ones among them."""
+    x = np.random.default_rng(seed).integers(-3, 4, (n, dims)).astype(np.float64)
+    x[n // 2 : n // 2 + n // 10] = x[: n // 10]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
+def millionths(x):
+    score = np.floor(np.cumsum(x[:, None, :] * x[None, :, :], axis=2)[..., -1] * 1e6 + 0.5)
+    score[np.arange(len(x)), np.arange(len(x))] = -np.inf
+    return score
+
+
+def test_nearest_by_parts_is_exact(monkeypatch):
+    monkeypatch.setattr(si, "PART", (16, 24))
+    x = vectors(150, 6)
+    score, ids = millionths(x), np.random.default_rng(1).permutation(150) * 3
+    for k in (1, 4, 30, 200):
+        row, column, micro = si._nearest(x, x, ids, ids, k)
+        got = list(zip(row.tolist(), column.tolist(), micro.tolist()))
+        want = [(i, j, score[i, j]) for i in range(150) for j in np.lexsort((ids, -score[i]))[: min(k, 149)]]
+        assert got == want
+
+
+def test_tiles_against_plain_versions(spark):
+    x = vectors(160, 5)
+    score = millionths(x)
+    seconds = [None if i % 31 == 0 else (i * 7) % 23 for i in range(160)]
+    isrc = [None if i % 3 == 0 else f"c{i % 4}" for i in range(160)]
+    rows = spark.createDataFrame([(i, f"b{i % 9}" if i % 8 else None, seconds[i], isrc[i], x[i].tolist(), i % 4 == 0) for i in range(160)], "id bigint, album string, seconds bigint, isrc string, unit array<double>, new boolean")
+    got = {(r["src"], r["rank"]): (r["dst"], r["micro"]) for r in si.knn_self_join(rows, 6, block=33).collect()}
+    order = [np.lexsort((np.arange(160), -score[i])) for i in range(160)]
+    assert got == {(i, n + 1): (j, score[i, j]) for i in range(160) for n, j in enumerate(order[i][:6])}
+    album = [f"b{i % 9}" if i % 8 else i for i in range(160)]
+    ranks = [next(n for n, j in enumerate(order[i], 1) if album[j] == album[i]) for i in range(160) if i % 8]
+    row = si.evaluate(rows, block=33).first()
+    assert (row["rows"], row["upper_median"], row["top1"]) == (len(ranks), sorted(ranks)[len(ranks) // 2], pytest.approx(sum(r == 1 for r in ranks) / len(ranks)))
+    assert row["mean"] == pytest.approx(sum(ranks) / len(ranks))
+    first = lambda a, b: seconds[a] is not None and seconds[b] is not None and (seconds[a], a) < (seconds[b], b) and seconds[b] - seconds[a] <= 2 and (a % 4 == 0 or b % 4 == 0)
+    bar = lambda a, b: 0.4 if isrc[a] and isrc[b] and isrc[a] != isrc[b] else 0.1
+    exact = np.cumsum(x[:, None, :] * x[None, :, :], axis=2)[..., -1]
+    want = {(a, b): exact[a, b] for a in range(160) for b in range(160) if first(a, b) and exact[a, b] >= bar(a, b)}
+    assert {(r["a"], r["b"]): r["similarity"] for r in si.duplicate_pairs(rows, 0.1, 0.4, block=5).collect()} == want and len(want) > 100
+
+
+def test_pairs_that_arent_found_dont_travel(spark):
+    rows = spark.range(4000).selectExpr("id", "1 AS seconds", "CAST(NULL AS string) AS isrc", "array(cos(id), sin(id)) AS unit", "id = 7 AS new", "CAST(id % 50 AS string) AS album")
+    found, most = most_rows(si.duplicate_pairs(rows, 0.99999))
+    assert 0 < len(found) < 100 and most <= 8000  # the join made 7,998,000 rows
+    assert most_rows(si.knn_self_join(rows, 3))[1] <= 12_000  # each row of 4,000 went to two blocks and kept three of each
