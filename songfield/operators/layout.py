@@ -80,7 +80,8 @@ def initial(rows: DataFrame) -> DataFrame:
 
 def layout(rows: DataFrame, epochs: int = 50, k: int = UMAP_K, negatives: int = NEGATIVES) -> DataFrame:
     """(id, x, y). Each epoch every point moves by its edges' pull, by
-    weight, and the push of ``negatives`` others drawn by a hash of the epoch."""
+    weight, and the push of ``negatives`` others drawn by a hash of the epoch. Places
+    meet edges by shuffles: as broadcasts they would pass through the driver each epoch."""
     n = rows.count()
     if n < 3:
         raise ValueError("a map needs three rows")
@@ -96,11 +97,11 @@ def layout(rows: DataFrame, epochs: int = 50, k: int = UMAP_K, negatives: int =
         dx, dy = F.col("x") - F.col("u"), F.col("y") - F.col("v")
         d2 = dx * dx + dy * dy
         pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, b - 1) / (1 + a * F.pow(d2, b))).otherwise(0.0) * F.col("w")
-        drawn = numbered.select(F.col("id").alias("src"), F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(epoch), F.lit(i), "id"), F.lit(n)) for i in range(negatives)])).alias("slot")).join(numbered.select("slot", F.col("id").alias("dst")), "slot").filter("src <> dst").select("src", "dst")
+        drawn = numbered.select(F.col("id").alias("src"), F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(epoch), F.lit(i), "id"), F.lit(n)) for i in range(negatives)])).alias("slot")).join(numbered.select("slot", F.col("id").alias("dst")).hint("shuffle_hash"), "slot").filter("src <> dst").select("src", "dst")
         push = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, b)))
-        force = lambda edges, g: edges.join(here, "src").join(there, "dst").select("src", clip(g * dx).alias("fx"), clip(g * dy).alias("fy"))
+        force = lambda edges, g: edges.join(there.hint("shuffle_hash"), "dst").join(here.hint("shuffle_hash"), "src").select("src", clip(g * dx).alias("fx"), clip(g * dy).alias("fy"))
         total = force(graph, pull).unionByName(force(drawn, push)).groupBy("src").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        moved = at.join(total.withColumnRenamed("src", "id"), "id", "left")
+        moved = at.join(total.withColumnRenamed("src", "id").hint("shuffle_hash"), "id", "left")
         step = lambda c, f: (F.col(c) + rate * 0.2 * clip(F.coalesce(f, F.lit(0.0)))).alias(c)  # noqa: B023, E731
         at = written(moved.select("id", step("x", "fx"), step("y", "fy")), "layout")
     return at

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from songfield.operators import catalogue as ca
+from songfield.operators import layout as la
 from songfield.operators import similarity as si
 
 
@@ -133,3 +134,12 @@ def test_pairs_that_arent_found_dont_travel(spark):
     found, most = most_rows(si.duplicate_pairs(rows, 0.99999))
     assert 0 < len(found) < 100 and most <= 8000  # the join made 7,998,000 rows
     assert most_rows(si.knn_self_join(rows, 3))[1] <= 12_000  # each row of 4,000 went to two blocks and kept three of each
+
+
+def test_an_epochs_places_dont_pass_through_the_driver(spark, monkeypatch):
+    plans, written = [], la.written
+    monkeypatch.setattr(la, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or written(df, name))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(40, 4))], "id bigint, unit array<double>")
+    assert la.layout(rows, epochs=1, k=4).count() == 40
+    epoch = [plan for name, plan in plans if name == "layout"][1]
+    assert "Join" in epoch and "Broadcast" not in epoch
