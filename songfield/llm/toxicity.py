@@ -169,6 +169,19 @@ def begin(rate: float, frequent: np.ndarray, held: np.ndarray, toxic: np.ndarray
     return Model(row_of, table, filters, bias, weight, offset - 2)
 
 
+def carried(model: Model) -> dict:
+    """A model as a broadcast takes it: only the buckets that own an embedding."""
+    at = np.flatnonzero(model.row_of)
+    return vars(model) | {"row_of": (at, model.row_of[at])}
+
+
+def arrived(values: dict) -> Model:
+    at, rows = values["row_of"]
+    row_of = np.zeros(N_BUCKETS, dtype=np.int32)
+    row_of[at] = rows
+    return Model(**values | {"row_of": row_of})
+
+
 def small(model: Model) -> list[np.ndarray]:
     """What a model learns besides its table, in place but for the offset."""
     return [model.weight, *model.filters, *model.bias]
@@ -301,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
         says = {(r["lang"], y): min(MOST_SAY, sum(x["n"] for x in own) / (len(own) * r["n"])) for y, own in kinds.items() for r in own}
         columns = [f"d{i}" for i in range(DIM)]
         for epoch in range(EPOCHS):
-            shared = spark.sparkContext.broadcast((vars(model), state, says))
+            shared = spark.sparkContext.broadcast((carried(model), state, says))
             slow = 1.0 if epoch < EPOCHS - 1 else 0.3
 
             def learned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
                 from pyspark import TaskContext
 
                 values, own_state, say = copy.deepcopy(shared.value)
-                own, rng, seen = Model(**values), np.random.default_rng([seed, epoch, TaskContext.get().partitionId()]), 0
+                own, rng, seen = arrived(values), np.random.default_rng([seed, epoch, TaskContext.get().partitionId()]), 0
                 before = own.table.copy()
                 for batch in batches:
                     if batch.num_rows:
@@ -333,10 +346,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
             length = len(flat(model, state))
             unflat(rest[:length], model, state)
             state["step"] = round(float(rest[length]))
-    shared_model, grid = spark.sparkContext.broadcast(vars(model)), np.linspace(0.02, 0.98, 49)
+            shared.destroy()  # its epoch is over
+    shared_model, grid = spark.sparkContext.broadcast(carried(model)), np.linspace(0.02, 0.98, 49)
 
     def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(**shared_model.value)
+        own = arrived(shared_model.value)
         for batch in batches:
             cell = np.searchsorted(grid, [own.score(t) for t in _lists(batch.column(2))], side="right")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64())], ["lang", "y", "cell"])
@@ -349,10 +363,10 @@ def score(docs: DataFrame, model: Model, lang_thresholds: dict | None = None, id
     """(id, lang, score, lang_threshold, lang_toxic) for every document. The
     model is broadcast; its size is set by ROWS and the hash bits."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(model))
+    shared = spark.sparkContext.broadcast(carried(model))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(**shared.value)
+        own = arrived(shared.value)
         for batch in batches:
             column = batch.column(2)
             values = np.asarray(column.values.to_numpy(zero_copy_only=False), dtype=np.int64)
