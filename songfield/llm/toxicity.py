@@ -47,6 +47,8 @@ LEAST, PRIOR = 12, 100.0
 MOST_SAY = 4.0
 #: Tokens that are scored at once.
 PIECE = 1 << 16
+#: log2 of the bits that tell which ids have a label.
+MARK_BITS = 24
 
 
 def tokens(text: Column) -> Column:
@@ -276,6 +278,17 @@ def bars(cells: list, grid: np.ndarray, least: float = 0.3) -> dict:
     return out
 
 
+def marked(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is one of ``known``, and few others: whatever else
+    there is stays out of the join's exchange. Told by 2 ** MARK_BITS bits, which are
+    broadcast as at most 2 ** (MARK_BITS - 6) rows for any table."""
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MARK_BITS)
+    place = slot.bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+    bits = known.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place)).alias("bits"))
+    stands = F.call_function("shiftright", F.col("bits"), place).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return docs.join(F.broadcast(bits), (F.shiftright(slot, 6) == F.col("word")) & stands, "left_semi")
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 0, share: int = SHARE) -> tuple[Model, dict]:
     """A model and its thresholds from all rows of ``labels`` (doc_id, label) and the
     texts of ``docs`` (doc_id, text, lang).
@@ -284,8 +297,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int =
     on from one model, and what they learn is averaged: of the table, each row by those
     tasks that moved it. The driver sees languages' counts, the hashes that own an
     embedding, and for each epoch one model; no text."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label).cast("int") > 0).cast("int").alias("y"))
-    rows = written(docs.select("doc_id", "lang", "text").join(known, "doc_id").select(F.col("lang").cast("string").alias("lang"), "y", tokens(F.col("text")).alias("t")), "labelled")
+    named = labels.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), label)  # a hash is of a type
+    known = named.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label).cast("int") > 0).cast("int").alias("y"))
+    texts = marked(docs.select("doc_id", "lang", "text"), known)
+    # Few labels would be broadcast and many not; so every size goes the way that large ones go.
+    rows = written(texts.join(known.hint("shuffle_hash"), "doc_id").select(F.col("lang").cast("string").alias("lang"), "y", tokens(F.col("text")).alias("t")), "labelled")
     groups = rows.groupBy("lang", "y").agg(F.count(F.lit(1)).alias("n")).collect()
     n, toxic = sum(r["n"] for r in groups), sum(r["n"] for r in groups if r["y"])
     rate = toxic / n if n else 0.0
