@@ -232,6 +232,21 @@ def join_sets(ids: list[int], sets: list[np.ndarray], bitmap: np.ndarray, percen
     return [(ids[a], ids[b]) for a, b in tree.links]
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of what the links connect, each id with the smallest: chains take no rounds later."""
+    up: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (to := up.setdefault(i, i)) != i:
+            up[i] = i = up[to]
+        return i
+
+    for pair in links:
+        low, high = sorted(map(find, pair))
+        up[high] = low
+    return [(i, find(i)) for i in list(up) if find(i) != i]
+
+
 def summaries(texts: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, digest) of every document."""
 
@@ -343,6 +358,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
                     side.append(row.get("side"))
                     known.append(row.get("known"))
             found = join_sets(ids, sets, order, percent, side if pairs else None, known if pairs else None)
+            label = dict(zip(ids, known)) if pairs else {i: i for i in ids}
+            found = stars([(label[x], label[y]) for x, y in found])
             return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
         return links
@@ -351,7 +368,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     links = written(one.groupBy("block", "tile").applyInArrow(group(False), "a bigint, b bigint"), "links")
     wide = held.filter("wide")
     if not wide.isEmpty():
-        so_far = components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
+        # A set is in one tile, whose links lead to the smallest id; an id of several texts is
+        # linked in each of their tiles, and connected with any of these.
+        so_far = links.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("known"))
         labelled = wide.join(so_far, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id"))
         other = labelled.join(bands, ["block", "band"]).withColumn("other", F.explode(others())).filter("other <> tile")
         pairs = other.select("block", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "known", "doc_id", "digest", "text")

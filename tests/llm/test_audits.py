@@ -224,3 +224,16 @@ def test_gradients_are_those_of_the_likelihood():
         low = loss()
         value[at] += eps
         assert abs((high - low) / (2 * eps) - grads[name][at]) < 2e-3 * max(1, abs(grads[name][at])), name
+
+
+def test_links_of_a_tile_lead_to_its_smallest_id():
+    """A chain of links went on as a chain, which took rounds to be put together."""
+    import random
+
+    from songfield.llm import jaccard
+
+    chain = [9, 3, 7, 1, 8, 2, 6, 5, 4]
+    links = list(zip(chain, chain[1:])) + [(11, 10)]
+    random.Random(1).shuffle(links)
+    assert sorted(jaccard.stars(links)) == [(i, 1) for i in range(2, 10)] + [(11, 10)]
+    assert jaccard.stars([(5, 5)]) == [] and jaccard.stars([]) == []
