@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from songfield.llm.common import dropped, written
+from songfield.llm.common import dropped, returning, written
 from songfield.operators.components import components
 
 #: The part of all hashes that is counted, log2 of the bits of the bitmap, and
@@ -250,6 +250,7 @@ def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def summaries(texts: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, digest) of every document."""
 
+    @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [gram_set(text.as_py(), n) for text in batch.column(1)]
@@ -263,6 +264,7 @@ def shared_bitmap(texts: DataFrame, n: int) -> np.ndarray:
     """Four bits for each of 2 ** (BITS - 2) places: one for each of STEPS that a
     counted n-gram there reaches. As large for any corpus."""
 
+    @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -316,6 +318,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sketch = spark.sparkContext.broadcast(shared_bitmap(texts, n))
     classes = written(own.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size")), "classes")
 
+    @returning
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sketch.value
         for batch in batches:

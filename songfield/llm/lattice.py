@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from songfield.llm.common import once, written
+from songfield.llm.common import once, returned, returning, written
 from songfield.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, Pieces, load
 from songfield.llm.tokencounts import split
 
@@ -47,8 +47,8 @@ from songfield.llm.tokencounts import split
 WIDE, MASKED = 1000, 60
 #: Distinct words and words of a slice, words of one row of them, bytes of a batch.
 HELD, LONG, CHUNK, BATCH = 1 << 19, 1 << 23, 1 << 14, 1 << 20
-#: Words whose ids are sorted by slice at once.
-TOGETHER = 1 << 17
+#: Words whose ids are sorted by slice at once, and rows that are decoded at once.
+TOGETHER, DECODED = 1 << 17, 256
 #: Bits of an edge's places, id and cost: its end, its cost, its start and its id, from the top.
 PLACE_BITS, ID_BITS, COST_BITS = 10, 17, 26
 NO_PIECE = (1 << ID_BITS) - 1
@@ -62,6 +62,7 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
     numbers in the slice, and the words of a slice from number ``first`` on."""
     shared = texts.sparkSession.sparkContext.broadcast(vars(pieces))  # the model's size
 
+    @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number, size, length = Pieces(**shared.value), TaskContext.get().partitionId() << 24, 0, 0
         known, ids, codes = defaultdict(count().__next__), [], []
@@ -96,7 +97,7 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
                 if full:
                     yield from vocabulary()
                     number, length, known = number + 1, 0, defaultdict(count().__next__)
-                    pa.default_memory_pool().release_unused()  # the next task may run in another worker
+                    returned()  # the next task may run in another worker
         if ids:
             yield documents()
         if known:
@@ -108,6 +109,7 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
 def _words(slices: DataFrame) -> DataFrame:
     """(word, slice, number) of all slices."""
 
+    @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, first, words, size in zip(*(batch.column(i) for i in (0, 4, 5, 6))):
@@ -126,6 +128,7 @@ def _entries(words: DataFrame, pieces: Pieces) -> DataFrame:
     word too wide to be folded has the size -1 and its text."""
     kind, code = ("smallint", np.int16) if len(pieces.text_of) <= 1 << 15 else ("int", np.int32)
 
+    @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
@@ -330,7 +333,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id: str = "doc_id", scor
             found, each = taken(starts, sizes, values, np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel())
             ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
             out.append(pa.RecordBatch.from_arrays([docs.values, pa.array(counts), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], schema=schema))
-        pa.default_memory_pool().release_unused()
+        returned()  # what the slice before has left, too
         return pa.Table.from_batches(out, schema)
 
     return slices.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(assembled, ENCODED)
@@ -345,21 +348,20 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids: str = "ids", int
     code = [b"" if k == CONTROL else bytes([pieces.byte_id.index(i)]) if k == BYTE else t.encode() for i, (t, k) in enumerate(zip(pieces.text_of, pieces.kind_of))]
     shared = encoded.sparkSession.sparkContext.broadcast([*code, "�".encode()])  # the model's size
 
-    @F.pandas_udf("string")
-    def spelled(column):
-        import pandas as pd
-
+    @F.arrow_udf("string")
+    def spelled(column: pa.Array) -> pa.Array:
         table = shared.value
         sizes = np.array([len(c) for c in table], np.int64)
         values, starts, last = np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, len(table) - 1
-
-        def text(x) -> str:
-            if x is None or not len(x):
-                return ""
-            at = np.asarray(x, np.float64) if not isinstance(x, np.ndarray) or x.dtype.kind != "i" else x
-            at = np.where((at >= 0) & (at < last), at, last).astype(np.int64)  # null comes as NaN
-            return taken(starts, sizes, values, at)[0].tobytes().decode("utf-8", "replace").removeprefix(" ")
-
-        return pd.Series([text(x) for x in column], dtype=object)
+        out = [pa.array([], pa.string())]
+        for first in range(0, len(column), DECODED):  # what is put together takes many times the ids' room
+            part = column.slice(first, DECODED)
+            at = part.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.where((at >= 0) & (at < last), at, last).astype(np.int64)
+            chars, each = taken(starts, sizes, values, at)
+            upto = np.concatenate([[0], np.cumsum(each)])[np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)].tolist()
+            out.append(pa.array([chars[s:e].tobytes().decode("utf-8", "replace").removeprefix(" ") for s, e in zip([0, *upto], upto)], pa.string()))
+        returned()
+        return pa.concat_arrays(out)
 
     return encoded.withColumn(into, spelled(F.col(ids)))

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songfield.llm.common import dropped, written
+from songfield.llm.common import dropped, returning, written
 from songfield.llm.jaccard import grams, mixed, word_hashes
 
 #: Words of an n-gram, words of a passage, hash functions, and how many must agree.
@@ -287,6 +287,7 @@ def needed(texts: DataFrame, of: DataFrame) -> DataFrame:
     slot = F.shiftrightunsigned(F.xxhash64("doc", "digest"), 64 - TEXT_BITS)
     marks = texts.sparkSession.sparkContext.broadcast(bitmap(of.select(slot.alias("slot")).distinct(), TEXT_BITS))
 
+    @returning
     def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(held(marks.value, batch.column(3).to_numpy()))).select(["doc", "digest", "text"])
@@ -348,6 +349,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
         if own:
             yield rows(own, parts)
 
+    @returning
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, row, *_ in windows(batches):
             # A text's own repeats don't count; of one slot two texts are as good as many.
@@ -358,6 +360,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     twice = texts.mapInArrow(slots, "slot bigint, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot")
     common = spark.sparkContext.broadcast(bitmap(twice, KEY_BITS))
 
+    @returning
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, _, *rest in windows(batches):
             kept = held(common.value, places(key, KEY_BITS))
@@ -368,6 +371,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     several = written(several, "several")
     own = every.join(several, "key").select("doc", "digest", "f", "key", "c", "l", "r").repartition("doc", "digest").sortWithinPartitions("doc", "digest")
 
+    @returning
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, part, begin in together(batches, 2):
             f, key, c, l, r = (part[i].to_numpy().astype(np.int64) for i in range(2, 7))
@@ -403,6 +407,7 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
         in a passage yet, is that of the first document that has it."""
         wanted = rows.groupBy("doc", "digest").agg(F.collect_set(F.struct("size", "begin", "end")).alias("wanted"))
 
+        @returning
         def stretched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
@@ -472,6 +477,7 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
     pair = ["doc", "digest", "source", "source_digest"]
     pairs = hits.select(*pair, "c", "c2", "l", "r", "ac", "ac2", "al", "ar").repartition(*pair).sortWithinPartitions(*pair)
 
+    @returning
     def swept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, part, begin in together(batches, 4):
             row, start, end, ends, offsets = regions(row, *(part[i].to_numpy().astype(np.int64) for i in range(4, 12)), held or width)
@@ -486,6 +492,7 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
     needs = in_copy.unionByName(in_source).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor(F.col("end") / BLOCK))))
     of_text = written(needs.select("of", "of_digest", "block").distinct().groupBy("of", "of_digest").agg(F.collect_list("block").alias("blocks")), "needs")
 
+    @returning
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, digests, number, hashes = [], [], [], []
@@ -511,6 +518,7 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
     parts = needs.join(fetched, ["of", "of_digest", "block"]).groupBy("id").agg(F.collect_list(part).alias("parts"))
     both = found.join(parts, "id").select(*key, "parts")
 
+    @returning
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
