@@ -60,11 +60,11 @@ ENCODED = "doc_id bigint, n_words bigint, ids array<int>"
 def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """SLICED rows of two kinds: some documents with how many words each has and their
     numbers in the slice, and the words of a slice from number ``first`` on."""
-    shared = texts.sparkSession.sparkContext.broadcast(vars(pieces))  # the model's size
+    pattern = pieces.words  # a worker that only splits texts needs no pieces
 
     @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number, size, length = Pieces(**shared.value), TaskContext.get().partitionId() << 24, 0, 0
+        number, size, length = TaskContext.get().partitionId() << 24, 0, 0
         known, ids, codes = defaultdict(count().__next__), [], []
         names, kinds = ["slice", "docs", "counts", "codes", "first", "words", "size"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
 
@@ -85,7 +85,7 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = split(text.as_py(), own)
+                words = split(text.as_py(), pattern)
                 ids.append(doc)
                 codes.append(np.fromiter(map(known.__getitem__, words), "<u4", len(words)))
                 size += len(words)
@@ -98,6 +98,7 @@ def sliced(texts: DataFrame, pieces: Pieces) -> DataFrame:
                     yield from vocabulary()
                     number, length, known = number + 1, 0, defaultdict(count().__next__)
                     returned()  # the next task may run in another worker
+            del batch, text  # else it stays while the next is read
         if ids:
             yield documents()
         if known:

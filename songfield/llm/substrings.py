@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songfield.llm.common import dropped, returning, written
+from songfield.llm.common import dropped, returned, returning, written
 from songfield.llm.jaccard import grams, mixed, word_hashes
 
 #: Words of an n-gram, words of a passage, hash functions, and how many must agree.
@@ -550,17 +550,17 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     spans = found.groupBy("doc_id", F.col("digest").alias("__digest")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("__spans"))
 
-    @F.pandas_udf("string")
-    def rest(texts, spans):
+    @F.arrow_udf("string")
+    def rest(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for text, own in zip(texts, spans):
-            if own is None or text is None:
-                out.append(text)
+            if not own.is_valid or not text.is_valid:
+                out.append(None)
                 continue
-            data = text.encode()
+            data = text.as_py().encode()
             at = [m.span() for m in word.finditer(data)]
             gone = np.zeros(len(at), bool)
-            for s in own:
+            for s in own.as_py():
                 gone[s["start_word"] : s["end_word"]] = True
             if gone.all():
                 out.append(None)
@@ -572,11 +572,13 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                 last = at[e - 1][1]
             kept.append(data[last:])
             out.append(b"".join(kept).decode())
-        import pandas as pd
-
-        return pd.Series(out, dtype=object)
+        left = pa.array(out, pa.string())
+        del out
+        returned()
+        return left
 
-    joined = docs.withColumn("__digest", F.xxhash64(F.col("text").cast("string"))).join(spans, ["doc_id", "__digest"], "left").withColumn("__rest", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rest("text", "__spans")))
+    cut = rest(F.when(F.col("__spans").isNotNull(), F.col("text")), "__spans")  # no other text goes to a worker
+    joined = docs.withColumn("__digest", F.xxhash64(F.col("text").cast("string"))).join(spans, ["doc_id", "__digest"], "left").withColumn("__rest", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut))
     left = joined.filter(F.col("__spans").isNull() | F.col("__rest").isNotNull()).withColumn("text", F.col("__rest"))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))

@@ -35,9 +35,10 @@ KEPT = 1 << 19
 SLICE = 4 << 20
 
 
-def split(text: str | None, pieces: Pieces) -> list[str]:
-    """The words of a text as the model sees it, with a space before it."""
-    return re.findall(pieces.words, " " + text.replace(SPACE, " ")) if text else []
+def split(text: str | None, words: str) -> list[str]:
+    """The words of a text as the model sees it, with a space before it, by the pattern
+    that the model's pieces have for them."""
+    return re.findall(words, " " + text.replace(SPACE, " ")) if text else []
 
 
 class Trie:
@@ -96,7 +97,7 @@ class Trie:
 
 def counts(texts: list[str | None], pieces: Pieces, kept: dict[str, int]) -> list[int]:
     """Tokens of each text. ``kept`` is read and, up to KEPT words, added to."""
-    words = [split(t, pieces) for t in texts]
+    words = [split(t, pieces.words) for t in texts]
     new = sorted(set().union(*words).difference(kept))
     trie = Trie(pieces)
     for w in new:

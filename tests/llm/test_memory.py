@@ -4,7 +4,8 @@ import sys
 
 import pytest
 
-from songfield.llm import lattice
+from songfield.llm import lattice, substrings
+from songfield.llm.pieces import load
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: A process of its own, as a worker is: MB held before a task, in it and after it.
@@ -43,3 +44,20 @@ def test_rows_are_decoded_in_parts_alike(spark, rows, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
     got = {r["doc_id"]: r["text"] for r in lattice.decode(lattice.encode(docs)).collect()}
     assert got == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
+
+
+def test_texts_are_split_without_the_pieces(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("pieces sent to workers that only split")
+
+    texts = spark.createDataFrame([(1, "a tale")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    assert lattice.sliced(texts, load()).columns[0] == "slice"
+
+
+def test_only_texts_with_passages_are_cut_in_workers(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x"), (3, None), (4, "a b")], "doc_id bigint, text string")
+    found = docs.selectExpr("doc_id", "xxhash64(text) digest", "1 start_word", "int(doc_id * 2) end_word").filter("doc_id IN (1, 4)")
+    left = substrings.remove(docs, found)
+    assert sorted(map(tuple, left.collect())) == [(1, "a  c d"), (2, "x"), (3, None), (4, "a ")]
+    assert "rest(CASE WHEN isnotnull(__spans" in left._jdf.queryExecution().optimizedPlan().toString()
