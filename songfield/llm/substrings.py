@@ -45,15 +45,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from songfield.llm.common import dropped, returned, returning, written
+from songfield.llm.common import dropped, once, returned, returning, written
 from songfield.llm.jaccard import grams, mixed, word_hashes
 
 #: Words of an n-gram, words of a passage, hash functions, and how many must agree.
 GRAM, LEAST, FUNCTIONS, ENOUGH = 5, 50, 3, 2
 #: log2 of the bits of the bitmaps of keys and of texts, the largest data that is broadcast.
 KEY_BITS, TEXT_BITS = 27, 24
+#: log2 of the ranges of places by which the bitmap of keys is made.
+RANGE_BITS = 8
 #: Pairs of windows of a text that are looked at at once.
 PAIRS = 1 << 18
+#: Rounds of jumps to nearest smaller keys that are made for all places at once.
+JUMPS = 8
 #: Offsets of one region differ by no more from one window to the next.
 SLACK = 16
 #: n-grams of a block that is fetched, of texts that are worked on at once, and of a
@@ -75,31 +79,42 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(keys) - width + 1], out[width - have :]) if have < width else out
 
 
-def compact_windows(keys: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the windows that hold a stretch of ``width``. Keys differ.
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """Where the nearest smaller value before each stands, -1 without one. Values differ."""
+    at = np.arange(-1, len(values) - 1)
+    left = np.arange(1, len(values))
+    for _ in range(JUMPS):
+        left = left[values[at[left]] > values[left]]
+        if not len(left):
+            return at
+        at[left] = at[at[left]]  # what lies between is no smaller
+        left = left[at[left] >= 0]
+    own, before = values.tolist(), at.tolist()
+    for i in left.tolist():  # few; after a rise their jumps are single steps, of which none is made twice
+        j = before[i]
+        while j >= 0 and own[j] > own[i]:
+            j = before[j]
+        before[i] = j
+    return np.array(before, np.int64)
+
+
+def compact_windows(keys: np.ndarray, width: int) -> np.ndarray:
+    """Rows (l, c, r) of the windows that hold a stretch of ``width``. Keys differ.
 
     The neighbours of such a place in the Cartesian tree's path to the root, the
-    nearest smaller keys left and right, are smallest in some stretch too, so a
-    stack over those places finds both.
+    nearest smaller keys left and right, are smallest in some stretch too, so they
+    are looked for among those places only.
     """
     if len(keys) < width:
-        return []
+        return np.zeros((0, 3), np.int64)
     least = (window_minima(keys, width) & PLACE).astype(np.int64)
-    places = least[np.concatenate([[True], least[1:] != least[:-1]])].tolist()
-    own = keys[places].tolist()
-    out, stack = [], []  # of (place, key, left end)
-    for place, key in zip(places, own):
-        left = 0
-        while stack and stack[-1][1] > key:
-            at, _, begin = stack.pop()
-            out.append((begin, at, place - 1))
-        if stack:
-            left = stack[-1][0] + 1
-        stack.append((place, key, left))
-    while stack:
-        at, _, begin = stack.pop()
-        out.append((begin, at, len(keys) - 1))
-    return out
+    places = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    own = keys[places]
+    edge = np.append(places, -1)
+    left = edge[smaller_before(own)] + 1
+    edge[-1] = len(keys)
+    right = edge[len(own) - 1 - smaller_before(own[::-1])[::-1]] - 1
+    return np.stack([left, places, right], axis=1)
 
 
 def document_windows(ids: list[int], sequences: list[np.ndarray], least: int, functions: int):
@@ -120,7 +135,7 @@ def document_windows(ids: list[int], sequences: list[np.ndarray], least: int, fu
         hashed = mixed(base ^ seed)
         keys = (hashed | np.uint64(1 << 63)) & ~PLACE | place
         keys[ends] = place[ends]  # between documents stands what is smaller than all
-        windows = np.array(compact_windows(keys, width), np.int64).reshape(-1, 3)
+        windows = compact_windows(keys, width)
         windows = windows[keys[windows[:, 1]] >= np.uint64(1 << 63)]
         own = np.searchsorted(starts, windows[:, 1], side="right") - 1
         begin = starts[own]
@@ -300,6 +315,7 @@ def stretch_hashes(own: np.ndarray, width: int) -> np.ndarray:
     return grams(own, width)
 
 
+PACKED = "key binary, row binary, own binary, f binary, c binary, l binary, r binary"
 WINDOW = "key bigint, doc bigint, digest bigint, f int, c int, l int, r int"
 JOINT = "key bigint, doc bigint, digest bigint, exact boolean, c int, c2 int, l int, r int"
 #: Columns of a window, as those of a source's.
@@ -318,13 +334,14 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64(text).alias("digest"), text.alias("text")).filter("doc IS NOT NULL")
 
-    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-        """(key, row, doc, digest, f, c, l, r) arrays of several texts."""
+    @returning
+    def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row of arrays for the windows of several texts, ``row`` says of which."""
 
         def rows(own, parts, at=0):
             key, row, f, *where = document_windows(list(range(len(own))), parts, least, functions)
-            doc, digest = np.array(own, np.int64).reshape(-1, 2)[row].T
-            return [key, row, doc, digest, f, *((x + at).astype(np.int32) for x in where)]
+            arrays = [key, row.astype(np.int32), np.array(own, np.int64), f, *((x + at).astype(np.int32) for x in where)]
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["key", "row", "own", "f", "c", "l", "r"])
 
         own, parts, size, seen = [], [], 0, set()
         for batch in batches:
@@ -351,22 +368,46 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
 
     @returning
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, row, *_ in windows(batches):
-            # A text's own repeats don't count; of one slot two texts are as good as many.
-            each = np.unique(row.astype(np.int64) << KEY_BITS | places(key, KEY_BITS)) & ((1 << KEY_BITS) - 1)
-            slot, n = np.unique(each, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(np.minimum(n, 2).astype(np.int32))], ["slot", "n"])
+        for batch in batches:
+            for key, row in zip(*batch.columns):
+                key, row = np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(row.as_buffer(), np.int32)
+                # A text's own repeats don't count; of one slot two texts are as good as many.
+                each = np.unique(row.astype(np.int64) << KEY_BITS | places(key, KEY_BITS)) & ((1 << KEY_BITS) - 1)
+                slot, n = np.unique(each, return_counts=True)
+                cuts = np.searchsorted(slot, np.arange((1 << RANGE_BITS) + 1) << (KEY_BITS - RANGE_BITS))
+                filled = np.nonzero(np.diff(cuts))[0]
+                code = slot.astype(np.uint32) << 1 | (n > 1)
+                lists = [code[a:b].tobytes() for a, b in zip(cuts[filled].tolist(), cuts[filled + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(lists, pa.binary())], ["range", "codes"])
 
-    twice = texts.mapInArrow(slots, "slot bigint, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").select("slot")
+    @returning
+    def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The slots in some ranges that several texts have; of a range a byte for each is held."""
+        counts = {}
+        for batch in batches:
+            for part, codes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                code, own = np.frombuffer(codes.as_buffer(), np.uint32), counts.setdefault(part, np.zeros(1 << (KEY_BITS - RANGE_BITS), np.uint8))
+                at = (code >> 1) & ((1 << (KEY_BITS - RANGE_BITS)) - 1)
+                own[at] = np.minimum(own[at] + 1 + (code & 1), 2)
+        for part, own in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.nonzero(own > 1)[0] + (part << (KEY_BITS - RANGE_BITS)))], ["slot"])
+
+    # Texts are read once here: their windows, of which most leave no worker but in this table, take less room.
+    packed = written(texts.mapInArrow(windows, PACKED), "packed")
+    twice = packed.select("key", "row").mapInArrow(slots, "range int, codes binary").repartition("range").mapInArrow(repeated, "slot bigint")
     common = spark.sparkContext.broadcast(bitmap(twice, KEY_BITS))
 
     @returning
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, *rest in windows(batches):
-            kept = held(common.value, places(key, KEY_BITS))
-            yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (key, *rest)], ["key", "doc", "digest", "f", "c", "l", "r"])
-
-    every = written(texts.mapInArrow(shared, WINDOW), "windows")
+        for batch in batches:
+            for key, row, own, *rest in zip(*batch.columns):
+                key, row, own, rest = np.frombuffer(key.as_buffer(), np.int64), np.frombuffer(row.as_buffer(), np.int32), np.frombuffer(own.as_buffer(), np.int64), [np.frombuffer(x.as_buffer(), np.int32) for x in rest]
+                kept = held(common.value, places(key, KEY_BITS))
+                doc, digest = own.reshape(-1, 2)[row[kept]].T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[kept], doc, digest, *(x[kept] for x in rest))], ["key", "doc", "digest", "f", "c", "l", "r"])
+
+    every = written(packed.mapInArrow(shared, WINDOW), "windows")
+    dropped(packed)
     several = every.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("key")
     several = written(several, "several")
     own = every.join(several, "key").select("doc", "digest", "f", "key", "c", "l", "r").repartition("doc", "digest").sortWithinPartitions("doc", "digest")
@@ -440,17 +481,19 @@ def find(docs: DataFrame, least: int = LEAST, similarity: float = 0.8, functions
     lows = written(lows, "lows")  # so that a hot key's rows can be split in the join
     marked = written(every_joint.join(lows, "key").withColumn("first", F.col("doc") == F.col("low")).drop("low"), "shared")
     dropped(every_joint, lows)
-    joint, heads = marked.drop("first"), heads_of_first(marked.filter("first"))
-    found = _verified(texts, joint.join(heads, "key").filter("doc > source"), width, similarity)
+    joint, heads, later = marked.drop("first"), heads_of_first(marked.filter("first")), marked.filter("NOT first").drop("first")
+    found = _verified(texts, later.join(heads, "key"), width, similarity)
 
     low, high = F.least("c", "c2"), F.greatest("c", "c2")
     begin, end = F.greatest("l", high - (width - 1)), F.least("r", low + (width - 1))
-    beside = written(spread(joint, found).join(heads, "key").select("key", "exact", ((F.col("doc") > F.col("source")) & ~inside(begin, end + GRAM)).alias("partly"), ((F.col("doc") > F.col("source")) & ~inside(low, high + GRAM)).alias("left")).filter("partly OR left"), "beside")
+    marks = spread(later, found).select("key", "exact", once(~inside(begin, end + GRAM)).alias("partly"), once(~inside(low, high + GRAM)).alias("left"))
+    marks = marks.groupBy("key").agg(F.bool_or(F.col("exact") & F.col("partly")).alias("partly"), F.bool_or("left").alias("left"))
+    beside = written(marks.filter("partly OR left"), "beside")
     # Exact stretches in windows that a passage doesn't hold whole meet by a hash of all their n-grams;
     # in windows that lie in no passage, what a near passage leaves whole meets by a hash of it.
-    exact = joint.filter("exact").join(beside.filter("exact AND partly").select("key").distinct(), "key").select("doc", "digest", F.lit(width).alias("size"), begin.alias("begin"), end.alias("end"))
-    near = joint.join(beside.filter("left").select("key").distinct(), "key").select("doc", "digest", F.lit(run).alias("size"), begin.alias("begin"), end.alias("end"))
-    return _longest(found.unionByName(by_stretches(exact.unionByName(near), found)))
+    sizes = F.array_compact(F.array(F.when(F.col("exact") & F.col("partly"), F.lit(width)), F.when(F.col("left"), F.lit(run))))
+    wanted = joint.join(beside, "key").select("doc", "digest", begin.alias("begin"), end.alias("end"), F.explode(sizes).alias("size"))
+    return _longest(found.unionByName(by_stretches(wanted, found)))
 
 
 def _whole_run(width: int, similarity: float) -> int:
@@ -522,14 +565,20 @@ def _verified(texts: DataFrame, hits: DataFrame, width: int, similarity: float,
     def verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, digest, source, _, start, _, offsets, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                side = ([], [])
-                for p in sorted(parts, key=lambda p: (p["side"], p["block"])):
-                    side[p["side"]].append((p["at"], np.frombuffer(p["hashes"], np.uint32)))
-                if not all(side):
+            # Sorted by region, side and block, what a side has is one run of hashes.
+            row, parts = np.repeat(np.arange(batch.num_rows), batch.column(7).value_lengths().to_numpy()), batch.column(7).flatten()
+            side, block, at = (parts.field(i).to_numpy() for i in range(3))
+            order = np.lexsort((block, side, row))
+            hashes, at = parts.field(3).take(pa.array(order)).cast(pa.large_binary()), at[order]
+            ends = np.frombuffer(hashes.buffers()[1], np.int64)[hashes.offset :][: len(hashes) + 1] // 4
+            values = np.frombuffer(hashes.buffers()[2] or b"", np.uint32)
+            cuts = np.searchsorted((2 * row + side)[order], np.arange(2 * batch.num_rows + 1)).tolist()
+            for i, (doc, digest, source, start, offsets) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 6)))):
+                a, b, c = cuts[2 * i : 2 * i + 3]
+                if a == b or b == c:
                     continue
-                a0 = side[1][0][0]
-                copy, origin = (np.concatenate([h for _, h in own]) for own in side)
+                a0 = int(at[b])
+                copy, origin = values[ends[a] : ends[b]], values[ends[b] : ends[c]]
                 for s, e, d, like in passages(copy, origin, [x + start - a0 for x in offsets], width, similarity):
                     out.append((doc, start + s, start + e + GRAM - 1, source, a0 + s + d, like, digest))
             cols = list(zip(*out)) or [()] * 7
