@@ -7,10 +7,16 @@
    how many documents hold it, then by hash; the rest comes after. Two sets that
    link share an n-gram among the first few of both (as many as may be missing,
    plus one). So a set whose first few are its own alone links with nothing, and
-   is done. The others are joined to the smallest class of each such n-gram they
-   share with another; what hangs together by that is a block, and no link leaves
-   a block. The steps are told by a bitmap of fixed size; where two n-grams meet
-   in it one comes later than it might, which costs time and no link.
+   is done. The others meet by n-gram, each with its size, the n-gram's place and
+   a sketch: the parities of its n-grams in 256 slots. Two sets differ by as many
+   n-grams at least as their sketches by parities, and where the first n-gram they
+   share stands bounds the overlap, so sets that share one by chance part again.
+   What is left hangs together in blocks, and no link leaves a block. As a sketch
+   tells nothing of a long set, n-grams of sets from ``SPLIT`` on are dealt by hash
+   into 4, 16, ... ranges; sets that link do so in one range at least, and in both
+   ways to deal where their sizes are on two sides of a bound. The steps are told by
+   a bitmap whose size is bounded; where two n-grams meet in it one comes later
+   than it might, which costs time and no link.
 3. In a block the ordered sets are stored in a trie, and each set walks it:
    overlaps with all sets below a node are counted once, and a subtree is left
    when what remains of either side can't bring the overlap that a link needs,
@@ -40,15 +46,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from songfield.llm.common import dropped, returning, written
 from songfield.operators.components import components
 
-#: The part of all hashes that is counted, log2 of the bits of the bitmap, and
-#: the numbers of documents at which an n-gram comes a step later, a bit for each.
-COUNTED, BITS, STEPS = 0.25, 26, (2, 5, 20, 200)
+#: The part of all hashes that is counted, log2 of the least and most bits of the
+#: bitmap, and the numbers of documents at which an n-gram comes a step later, a bit for each.
+COUNTED, BITS, MOST_BITS, STEPS = 0.25, 26, 28, (2, 5, 20, 200)
+#: Sizes from which n-grams are dealt into ranges, words of a sketch, rows of an
+#: n-gram whose pairs are all compared, and about how many pairs at once.
+SPLIT, WORDS, FEW, PAIRS = 384, 4, 128, 1 << 19
 #: Sets that are walked in one trie, and bits of a tile's number within its band.
 TILE, TILE_BITS = 2048, 32
 
@@ -98,13 +108,13 @@ def counted(own: np.ndarray) -> np.ndarray:
 
 
 def steps(own: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """For each of a sorted set its step: 0 for one document's own, up to 4 by how
-    many hold it, 5 where that isn't counted."""
+    """For each n-gram its step: 0 for one document's own, up to 4 by how many hold
+    it, 5 where that isn't counted."""
     out = np.full(len(own), len(STEPS) + 1, np.int8)
-    n = len(counted(own))
-    slot = own[:n] & np.uint64((1 << (BITS - 2)) - 1)
+    told = own < np.uint64(int(COUNTED * 2**64))
+    slot = own[told] & np.uint64(16 * len(bitmap) - 1)
     four = (bitmap[(slot >> np.uint64(4)).astype(np.int64)] >> ((slot & np.uint64(15)) << np.uint64(2))) & np.uint64(15)
-    out[:n] = np.bitwise_count(four)
+    out[told] = np.bitwise_count(four)
     return out
 
 
@@ -118,6 +128,89 @@ def linked(overlap: int, a: int, b: int, percent: int) -> bool:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def levels(size: int, percent: int) -> range:
+    """How sets of a size are dealt: at level k into 4 ** k ranges. A set is dealt as
+    the largest it may link with is, too."""
+    level = lambda n: next(k for k in range(32) if n < SPLIT << 2 * k)
+    return range(level(size), level(100 * size // percent) + 1)
+
+
+def heads(sets: list[np.ndarray], bitmap: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The first n-grams of each range of sorted sets that others may share: n-gram and
+    level as one number, the set's number, its size in the range, the n-gram's place
+    there, and the range's sketch."""
+    dealt = [(i, k) for i, own in enumerate(sets) if len(own) for k in levels(len(own), percent)]
+    if not dealt:
+        return [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)] + [np.zeros(0, np.int64)] * WORDS
+    all_ = np.concatenate([sets[i] for i, _ in dealt])
+    ranges = np.array([1 << 2 * k for _, k in dealt])
+    entry = np.repeat(np.arange(len(dealt)), [len(sets[i]) for i, _ in dealt])
+    part = (np.cumsum(ranges) - ranges)[entry] + ((all_ >> np.uint64(32)) & (ranges - 1).astype(np.uint64)[entry]).astype(np.int64)
+    sketch = np.zeros(int(ranges.sum()) * WORDS, np.uint64)
+    np.bitwise_xor.at(sketch, part * WORDS + ((all_ >> np.uint64(30)) & np.uint64(WORDS - 1)).astype(np.int64), np.uint64(1) << ((all_ >> np.uint64(24)) & np.uint64(63)))
+    step = steps(all_, bitmap)
+    order = np.argsort(part * 8 + step, kind="stable")
+    sizes = np.bincount(part, minlength=int(ranges.sum()))
+    size = sizes[part[order]]
+    at = np.arange(len(all_)) - (np.cumsum(sizes) - sizes)[part[order]]
+    kept = (at < size - -(-percent * size // 100) + 1) & (step[order] > 0)
+    order = order[kept]
+    level = np.array([k for _, k in dealt], np.uint64)[entry[order]]
+    number = np.array([i for i, _ in dealt])[entry[order]]
+    words = sketch.reshape(-1, WORDS)[part[order]].view(np.int64)
+    return [(all_[order] ^ (level << np.uint64(52))).view(np.int64), number, size[kept].astype(np.int32), at[kept].astype(np.int32), *words.T]
+
+
+def may_link(size: np.ndarray, at: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows a and b, of one n-gram, may be of sets that link with this n-gram as
+    the first they share: by the least overlap of a link, what can still be shared from
+    it on, and what their sketches differ by."""
+    total = size[a] + size[b]
+    least = -(-percent * total // (100 + percent))
+    ok = (at[a] <= size[a] - least) & (at[b] <= size[b] - least)
+    left = np.flatnonzero(ok)
+    differ = np.bitwise_count((sketch[a[left]] ^ sketch[b[left]]).view(np.uint64)).sum(1, dtype=np.int64)
+    ok[left] = differ <= (total - 2 * least)[left]
+    return ok
+
+
+def meeting(gram: np.ndarray, cls: np.ndarray, size: np.ndarray, at: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of classes (n, 2) that connect what may link, among rows by n-gram and size."""
+    size, at = size.astype(np.int64), at.astype(np.int64)
+    begins = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+    counts = np.diff(np.r_[begins, len(gram)])
+    group = np.repeat(np.arange(len(counts)), counts)
+    found = [np.zeros((0, 2), np.int64)]
+    few = np.flatnonzero(counts[group] <= FEW)
+    ends = np.searchsorted((group << 40) + size, (group[few] << 40) + 100 * size[few] // percent, side="right")
+    most = np.cumsum(ends - few - 1)
+    for part in np.split(few, np.searchsorted(most, np.arange(PAIRS, most[-1], PAIRS))) if len(few) else ():
+        with_ = ends[np.searchsorted(few, part)] - part - 1
+        a = np.repeat(part, with_)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(with_) - with_, with_)
+        ok = (cls[a] != cls[b]) & may_link(size, at, sketch, a, b, percent)
+        found.append(np.unique(np.stack([cls[a[ok]], cls[b[ok]]], 1), axis=0))
+    for k in np.flatnonzero(counts > FEW):  # rows that are connected already aren't compared again
+        begin, end = int(begins[k]), int(begins[k] + counts[k])
+        _, own = np.unique(np.stack([cls[begin:end], size[begin:end], at[begin:end]], 1), axis=0, return_index=True)
+        own = begin + np.sort(own)
+        sizes, open_ = size[own], np.ones(len(own), bool)
+        for first in range(len(own)):
+            stack = [first] if open_[first] else []
+            open_[first] = False
+            while stack:
+                i = stack.pop()
+                low, high = np.searchsorted(sizes, [-(-percent * int(sizes[i]) // 100), 100 * int(sizes[i]) // percent + 1])
+                others_ = low + np.flatnonzero(open_[low:high])
+                if len(others_):
+                    new = others_[may_link(size, at, sketch, np.full(len(others_), own[i]), own[others_], percent)]
+                    open_[new] = False
+                    stack += new.tolist()
+                    found.append(np.stack([np.full(len(new), cls[own[i]]), cls[own[new]]], 1))
+    pairs = np.concatenate(found)
+    return np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+
+
 class Node:
     """A run of n-grams, the nodes after it, and what is stored below: the least
     and largest size of a set, and one of them where all are known to connect."""
@@ -260,9 +353,14 @@ def summaries(texts: DataFrame, n: int) -> DataFrame:
     return written(texts.mapInArrow(rows, "doc_id bigint, n_shingles bigint, digest binary"), "summaries")
 
 
-def shared_bitmap(texts: DataFrame, n: int) -> np.ndarray:
-    """Four bits for each of 2 ** (BITS - 2) places: one for each of STEPS that a
-    counted n-gram there reaches. As large for any corpus."""
+def bits_for(n_grams: int) -> int:
+    """log2 of a bitmap's bits that leaves room for the n-grams that some 10⁹ share."""
+    return min(MOST_BITS, max(BITS, (n_grams // 4).bit_length()))
+
+
+def shared_bitmap(texts: DataFrame, n: int, bits: int) -> np.ndarray:
+    """Four bits for each of 2 ** (bits - 2) places: one for each of STEPS that a
+    counted n-gram there reaches."""
 
     @returning
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +371,11 @@ def shared_bitmap(texts: DataFrame, n: int) -> np.ndarray:
 
     grams_ = texts.select("text").mapInArrow(rows, "gram bigint")
     several = grams_.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = F.col("gram").bitwiseAND(F.lit((1 << (BITS - 2)) - 1).cast("bigint"))
+    slot = F.col("gram").bitwiseAND(F.lit((1 << (bits - 2)) - 1).cast("bigint"))
     reached = sum((F.when(F.col("n") >= at, 1 << i).otherwise(0) for i, at in enumerate(STEPS)), F.lit(0)).cast("bigint")
-    bits = F.call_function("shiftleft", reached, (slot.bitwiseAND(F.lit(15).cast("bigint")) * 4).cast("int"))
-    words = several.groupBy(F.shiftright(slot, 4).alias("word")).agg(F.bit_or(bits).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITS - 6), np.uint64)
+    four = F.call_function("shiftleft", reached, (slot.bitwiseAND(F.lit(15).cast("bigint")) * 4).cast("int"))
+    words = several.groupBy(F.shiftright(slot, 4).alias("word")).agg(F.bit_or(four).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return bitmap
 
@@ -309,36 +407,54 @@ def others() -> Column:
     return F.concat(of(band, F.col("tiles")), F.coalesce(of(band + 1, F.col("above")), none), F.coalesce(of(band - 1, F.col("below")), none))
 
 
+def candidates(texts: DataFrame, n: int, percent: int, told: Broadcast[np.ndarray]) -> DataFrame:
+    """Pairs (a, b) of classes that connect all that may link, by what rows of one n-gram tell."""
+    names = ["gram", "cls", "size", "at", *(f"s{i}" for i in range(WORDS))]
+
+    @returning
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = {class_of(digest(own)): own for text in batch.column(0).slice(at, 256) if len(own := gram_set(text.as_py(), n))}
+                gram, number, *rest = heads(list(sets.values()), told.value, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, np.array([*sets, 0], np.int64)[number], *rest)], names)
+
+    @returning
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            columns = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+            found = meeting(*columns[:4], np.stack(columns[4:], 1), percent)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the rows of an n-gram come one after another
+        for batch in filter(len, batches):
+            gram = batch.column(0).to_numpy()
+            begin = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if gram[0] != gram[-1] else 0
+            if held and gram[0] != held[-1].column(0)[-1].as_py():
+                yield met(held)
+                held = []
+            if begin:
+                yield met([*held, batch.slice(0, begin)])
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield met(held)
+
+    shape = "gram bigint, cls bigint, size int, at int, " + ", ".join(f"s{i} bigint" for i in range(WORDS))
+    by_gram = texts.select("text").mapInArrow(rows, shape).repartition("gram").sortWithinPartitions("gram", "size")
+    return by_gram.mapInArrow(pairs, "a bigint, b bigint").distinct()
+
+
 def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: its component holds
     all that links, 100 * intersection >= percent * union, lead to."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = summaries(texts, n)
-    sketch = spark.sparkContext.broadcast(shared_bitmap(texts, n))
+    n_grams = own.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    told = spark.sparkContext.broadcast(shared_bitmap(texts, n, bits_for(n_grams)))
     classes = written(own.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size")), "classes")
-
-    @returning
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = sketch.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found, cls = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for text in batch.column(0).slice(at, 256):
-                    grams_ = gram_set(text.as_py(), n)
-                    step = steps(grams_, bitmap)
-                    first = np.argsort(step, kind="stable")[: prefix_size(len(grams_), percent)] if len(grams_) else np.zeros(0, np.int64)
-                    head = grams_[first][step[first] > 0]
-                    if len(head):
-                        found.append(head)
-                        cls.append(np.full(len(head), class_of(digest(grams_)), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(cls))], ["gram", "cls"])
-
-    heads = written(texts.select("text").mapInArrow(prefixes, "gram bigint, cls bigint"), "prefixes")
-    several = heads.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high").select("gram", "low")
-    near = heads.join(several, "gram").filter("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
-    blocks = written(components(near), "blocks")
-    dropped(heads)
+    blocks = written(components(candidates(texts, n, percent, told)), "blocks")
     # class_of(digest), as Spark says it: the first eight bytes, the last one leading.
     code = F.hex("digest")
     turned = F.concat(*[F.substring(code, 15 - 2 * i, 2) for i in range(8)])
@@ -351,7 +467,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
     def group(pairs: bool):
         def links(table: pa.Table) -> pa.Table:
-            order = sketch.value
+            order = told.value
             ids, sets, side, known = [], [], [], []
             for row in table.select([c for c in table.column_names if c in ("doc_id", "text", "digest", "side", "known")]).to_pylist():
                 grams_ = gram_set(row["text"], n)

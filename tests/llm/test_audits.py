@@ -237,3 +237,54 @@ def test_links_of_a_tile_lead_to_its_smallest_id():
     random.Random(1).shuffle(links)
     assert sorted(jaccard.stars(links)) == [(i, 1) for i in range(2, 10)] + [(11, 10)]
     assert jaccard.stars([(5, 5)]) == [] and jaccard.stars([]) == []
+
+
+@pytest.mark.parametrize("few", [128, 2])
+def test_what_links_meets_in_one_range_at_least(monkeypatch, few):
+    """Sets of all sizes around the bounds from which they are dealt, some of them near copies."""
+    from songfield.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SPLIT", 20)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64, 4000, np.uint64)
+    sets = []
+    for size in [*range(1, 40), *range(66, 102), *range(300, 330), 1300]:
+        own = rng.choice(pool, size, replace=False)
+        sets.append(np.unique(own))
+        for _ in range(2):
+            most = size // 9 + 1
+            sets.append(np.unique(np.concatenate([own[rng.integers(0, most) :], rng.choice(pool, rng.integers(0, most))])))
+    bitmap = rng.integers(0, 2**64, 1 << 6, np.uint64) | np.uint64(0x1111111111111111)  # no n-gram is its set's own
+    for percent in (80, 100):
+        gram, number, size, at, *words = jaccard.heads(sets, bitmap, percent)
+        order = np.lexsort((size, gram))
+        met = jaccard.meeting(gram[order], number[order], size[order], at[order], np.stack(words, 1)[order], percent)
+        block = {i: i for i in range(len(sets))}
+        for a, b in jaccard.stars(met.tolist()):
+            block[a] = b
+        linked = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), percent)]
+        assert all(block[a] == block[b] for a, b in linked) and (percent == 100 or len(linked) > 150)
+        assert len(set(block.values())) > len(sets) / 4 and len(met) < 8 * len(sets)
+
+
+def test_texts_that_have_halves_in_common_stay_out_of_blocks(spark, monkeypatch):
+    """Each text is a half of the one before and a half of the next: a chain was one block,
+    whose work grew with its square."""
+    from songfield.llm import jaccard
+
+    half = lambda n, i: [f"w{n}x{i}x{k}" for k in range(n)]
+    texts = [" ".join(half(n, i) + half(n, i + 1)) for n in (50, 200, 700) for i in range(20)]
+    rows = spark.createDataFrame([*enumerate(texts), (90, texts[7] + " more"), (91, texts[46] + " more")], "doc_id bigint, text string")
+    held, written = {}, jaccard.written
+
+    def counting(table, name):
+        out = written(table, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counting)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(rows, n=5, percent=80).collect()}
+    assert got == {i: i for i in range(60)} | {90: 7, 91: 46}
+    assert held["members"] == 4
